@@ -217,3 +217,16 @@ def covered(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     new[1:] = starts[1:] > reach[:-1]
     begin = np.flatnonzero(new)
     return starts[begin], reach[np.append(begin[1:], len(starts)) - 1]
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, written as a Parquet table in the shared checkpoint folder; for what is larger than a few rows a document."""
+    import uuid
+
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    home = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    path = f"{home.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

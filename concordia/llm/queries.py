@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import curriculum, importance, language_id, license_scan, packing, quality_rules, simhash, syncmers
+from . import curriculum, importance, language_id, license_scan, packing, passages, quality_rules, simhash, syncmers
 from .common import kept, table
 
 
@@ -17,6 +17,16 @@ def op1_language_id(spark, sf_dir):
     return found.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op2_suffix_array_dedup(spark, sf_dir):
+    found = passages.repeated_bytes(table(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
+
+
+def op3_substring_dedup(spark, sf_dir):
+    found = passages.repeated_words(table(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", F.col("n_units").alias("n_words"), "n_removed", "kept_sha256")
+
+
 def op4_quality_rules(spark, sf_dir):
     return quality_rules.compression_bands(table(spark, sf_dir, "documents"))
 
@@ -48,6 +58,6 @@ def op10_license_scan(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op4_quality_rules, op5_syncmer_fingerprints, op6_simhash_near_dedup, op7_best_fit_packing, op8_importance_resampling, op9_source_mixing, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_suffix_array_dedup, op3_substring_dedup, op4_quality_rules, op5_syncmer_fingerprints, op6_simhash_near_dedup, op7_best_fit_packing, op8_importance_resampling, op9_source_mixing, op10_license_scan)}
 
 ORACLE_SQL: dict[str, str] = {}

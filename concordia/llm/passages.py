@@ -17,6 +17,7 @@ Hashes have 64 bits; equal anchors (64 bits) are only ever told apart by a secon
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ from .common import anchored, bitmap, byte_units, chunks, covered, marked, parti
 
 BYTES, BYTE_GRAM = 200, 32
 WORDS, WORD_GRAM = 13, 5
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Bytes of segments that a task searches at a time, and different segments of one anchor that stay together.
 BLOCK = 1 << 21
 TOGETHER = 4_000
@@ -182,7 +184,7 @@ def _windows(crowded: DataFrame, by_words: bool, length: int) -> DataFrame:
 
 
 def remove(docs: DataFrame, id_col: str, text_col: str, by_words: bool, length: int, k: int, carry=(), block: int = BLOCK, together: int = TOGETHER) -> DataFrame:
-    """One row per row of docs: carry, n_units, n_removed, n_spans, kept_sha256 and kept_text (words joined by one space).
+    """One row per row of docs: carry, n_units, n_removed, n_spans, kept_sha256 (of words: joined by one space) and kept_text (white space as it was).
 
     Only texts from which something may have to be removed are shuffled.
     """
@@ -220,7 +222,12 @@ def remove(docs: DataFrame, id_col: str, text_col: str, by_words: bool, length:
                 gone.append(int(sum(e - s for s, e in zip(starts, ends))))
                 count.append(len(starts))
                 digest.append(hashlib.sha256(rest).hexdigest())
-                left.append(rest.decode(errors="ignore"))
+                if by_words and len(starts):
+                    # the text as it was between what is removed, with its own white space
+                    at = [m.span() for m in _WORD.finditer(raw)]
+                    cuts = [0, *(x for s, e in zip(starts, ends) for x in (at[s][0], at[e][0] if e < len(at) else len(raw))), len(raw)]
+                    rest = b"".join(raw[x:y] for x, y in zip(cuts[::2], cuts[1::2]))
+                left.append((rest if len(starts) else raw).decode(errors="ignore"))
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string()), pa.array(left, pa.string())], names=["row", "n_units", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
     out = f"row {base.schema['row'].dataType.simpleString()}, n_units long, n_removed long, n_spans long, kept_sha256 string, kept_text string"

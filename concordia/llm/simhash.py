@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, partitions
+from .common import bitmap, kept, marked, mix, partitions, stored
 from .components import components
 
 BITS = 3
@@ -63,76 +63,118 @@ def variants(values: np.ndarray, low: int, width: int) -> tuple[np.ndarray, np.n
     return keys.ravel(), np.repeat(np.arange(len(values)), width)
 
 
-def _emit(kind: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int8()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["kind", "a", "b"])
+class _Rows:
+    """Fingerprints, the nodes that they belong to and their sketches, as columns of equal length."""
 
+    def __init__(self, fp, node, sketch):
+        self.fp, self.node, self.sketch = fp, node, sketch
 
-def _links(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among some fingerprints: as many edges as rows at most, whatever the pairs."""
-    root = np.arange(len(fps))
-    out: list[tuple[int, int]] = []
-    for i in range(len(fps) - 1):
-        for j in np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= bits) + i + 1:
-            if root[j] != root[i]:
-                root[root == root[j]] = root[i]
-                out.append((i, j))
-    at = np.array(out, np.int64).reshape(-1, 2)
-    return fps[at[:, 0]], fps[at[:, 1]]
+    def __len__(self):
+        return len(self.fp)
 
+    def __getitem__(self, at) -> _Rows:
+        return _Rows(self.fp[at], self.node[at], self.sketch[at])
 
-def _small(keys: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    def __add__(self, other: _Rows) -> _Rows:
+        return _Rows(*(np.concatenate(x) for x in zip((self.fp, self.node, self.sketch), (other.fp, other.node, other.sketch))))
+
+    def likeness(self, other: _Rows, bits: int) -> np.ndarray:
+        """How many sketch bits agree, or -1 where fingerprints differ in more than ``bits``."""
+        same = 64 - np.bitwise_count(self.sketch ^ other.sketch).astype(np.int16)
+        return np.where(np.bitwise_count(self.fp ^ other.fp) <= bits, same, -1)
+
+
+_NONE = _Rows(*(np.zeros(0, _U),) * 3)
+_OUT = "kind byte, a long, b long, node long, sketch long"
+
+
+def _edges(a: _Rows, b: _Rows) -> pa.RecordBatch:
+    return _batch(0, a.node, b.node, a.node, a.sketch)
+
+
+def _batch(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int8)), *(pa.array(c.view(np.int64)) for c in columns)], names=["kind", "a", "b", "node", "sketch"])
+
+
+def _links(rows: _Rows, bits: int, need: int) -> tuple[_Rows, _Rows]:
+    """A spanning forest of the links among some rows, the likest first: fewer edges than rows, whatever the pairs."""
+    left, right, like = [], [], []
+    for i in range(len(rows) - 1):
+        same = rows[i : i + 1].likeness(rows[i + 1 :], bits)
+        near = np.flatnonzero(same >= need)
+        left.append(np.full(len(near), i))
+        right.append(near + i + 1)
+        like.append(same[near])
+    left, right, like = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right, like))
+    root, out = list(range(len(rows))), []
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for e in np.argsort(-like, kind="stable").tolist():
+        x, y = find(int(left[e])), find(int(right[e]))
+        if x != y:
+            root[y] = x
+            out.append(e)
+            if len(out) == len(rows) - 1:
+                break
+    return rows[left[out].astype(np.int64)], rows[right[out].astype(np.int64)]
+
+
+def _small(keys: np.ndarray, rows: _Rows, bits: int, need: int) -> tuple[_Rows, _Rows]:
     """Links of many small groups at once: rows sorted by key are compared with the next, the one after it, and so on."""
-    a, b, step = [], [], 1
+    a, b, step = _NONE, _NONE, 1
     while step < len(keys):
         same = np.flatnonzero(keys[step:] == keys[:-step])
         if not len(same):
             break
-        near = same[np.bitwise_count(fps[same] ^ fps[same + step]) <= bits]
-        a.append(fps[near])
-        b.append(fps[near + step])
-        step += 1
-    return (np.concatenate(a), np.concatenate(b)) if a else (fps[:0], fps[:0])
+        near = same[rows[same].likeness(rows[same + step], bits) >= need]
+        a, b, step = a + rows[near], b + rows[near + step], step + 1
+    return a, b
 
 
-def _grouped(bits: int, group: int, deeper):
-    """Reads (key, fp) sorted by key. kind 0: a link (a, b). kind 1: a row of a group of over ``group`` rows, for deeper: (key, fp).
+def _grouped(bits: int, need: int, group: int, deeper):
+    """Reads (key, fp, node, sketch) sorted by key. kind 0: a link of nodes a, b. kind 1: a row of a group of over ``group`` rows, for deeper: key a, fp b.
 
     A group is held only up to ``group`` rows; the rest of a larger one streams through.
     """
 
     def run(batches):
-        key, held, large = None, np.zeros(0, _U), False
+        key, held, large = None, _NONE, False
 
         def close():
             if len(held) > 1 and not large:
-                a, b = _links(held, bits)
+                a, b = _links(held, bits, need)
                 if len(a):
-                    yield _emit(np.zeros(len(a), np.int8), a, b)
+                    yield _edges(a, b)
 
         for batch in batches:
-            keys, fps = (batch.column(i).to_numpy(zero_copy_only=False).view(_U) for i in (0, 1))
+            keys, *rest = (c.to_numpy(zero_copy_only=False).view(_U) for c in batch.columns)
+            rows = _Rows(*rest)
             if not len(keys):
                 continue
             edge = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
             sizes = np.diff(np.append(edge, len(keys)))
             whole = np.zeros(len(edge), bool)
-            whole[1:-1] = sizes[1:-1] <= 64
+            whole[1:-1] = sizes[1:-1] <= 16
             inside = np.repeat(whole, sizes)
-            a, b = _small(keys[inside], fps[inside], bits)
+            a, b = _small(keys[inside], rows[inside], bits, need)
             if len(a):
-                yield _emit(np.zeros(len(a), np.int8), a, b)
+                yield _edges(a, b)
             for at, n in zip(edge[~whole], sizes[~whole]):
                 if keys[at] != key:
                     yield from close()
-                    key, held, large = keys[at], np.zeros(0, _U), False
-                new = fps[at : at + n]
+                    key, held, large = keys[at], _NONE, False
+                new = rows[at : at + n]
                 if not large and len(held) + n > group and deeper:
-                    large, new, held = True, np.concatenate([held, new]), np.zeros(0, _U)
+                    large, new, held = True, held + new, _NONE
                 if large:
-                    sub, row = deeper(key, new)
-                    yield _emit(np.ones(len(sub), np.int8), sub, new[row])
+                    sub, row = deeper(key, new.fp)
+                    yield _batch(1, sub, new.fp[row], new.node[row], new.sketch[row])
                 else:
-                    held = np.concatenate([held, new])
+                    held = held + new
         yield from close()
 
     return run
@@ -143,15 +185,16 @@ def _deeper(key: int, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
     Rows that share such a key agree in 46 bits, so that at most 2**18 different ones can.
     """
-    other = 32 if int(key) >> 40 == 0 else 0
+    other = 0 if int(key) >> 40 & 32 else 32
     parts = [variants(fps, other + low, 16) for low in (0, 16)]
     keys, row = (np.concatenate(x) for x in zip(*parts))
     h = (keys ^ (_U(key) * _U(0x9E3779B97F4A7C15))) * _U(0xD6E8FEB86659FD93)
     return h ^ (h >> _U(29)), row
 
 
-def links(fps: DataFrame, bits: int = BITS, group: int = GROUP) -> DataFrame:
-    """Edges (a, b) that connect all different fingerprints of fps (column fp) at up to ``bits`` (three at most) differing bits.
+def links(nodes: DataFrame, bits: int = BITS, need: int = 0, group: int = GROUP) -> DataFrame:
+    """Edges (a, b) among nodes (node, fp, sketch, salt): fingerprints of one salt with up to ``bits`` (three at most) differing
+    bits, and ``need`` equal bits of the sketches.
 
     Not every pair, but whatever pairs connect is connected. Keys of the deeper index are hashed: a clash only
     brings together rows that are then compared and rejected.
@@ -161,19 +204,20 @@ def links(fps: DataFrame, bits: int = BITS, group: int = GROUP) -> DataFrame:
 
     def index(batches):
         for b in batches:
-            v = b.column(0).to_numpy(zero_copy_only=False).view(_U)
-            for i in range(0, len(v), 4096):
-                part = v[i : i + 4096]
+            columns = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            for i in range(0, b.num_rows, 4096):
+                salt, fp, node, sketch = (c[i : i + 4096] for c in columns)
                 for low in (0, 32):
-                    keys, row = variants(part, low, 32)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(part[row].view(np.int64))], names=["key", "fp"])
+                    keys, row = variants(fp.view(_U), low, 32)
+                    keys = keys | (salt[row].astype(_U) << _U(48))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(c[row]) for c in (fp, node, sketch))], names=["key", "fp", "node", "sketch"])
 
-    n = partitions(fps)
-    keyed = fps.select("fp").distinct().mapInArrow(index, "key long, fp long")
-    first = kept(keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_grouped(bits, group, _deeper), "kind byte, a long, b long"))
-    again = first.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("fp"))
-    again = again.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_grouped(bits, group, None), "kind byte, a long, b long")
-    return first.filter("kind = 0").select("a", "b").unionByName(again.select("a", "b"))
+    n = partitions(nodes)
+    keyed = nodes.select("salt", "fp", "node", "sketch").distinct().mapInArrow(index, "key long, fp long, node long, sketch long")
+    first = stored(keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_grouped(bits, need, group, _deeper), _OUT))
+    again = first.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("fp"), "node", "sketch")
+    again = again.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_grouped(bits, need, group, None), _OUT)
+    return first.filter("kind = 0").select("a", "b").unionByName(again.select("a", "b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
@@ -184,8 +228,110 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     fps = kept(fingerprints(docs, id_col, text_col, shingle))
     least = fps.groupBy("fp").agg(F.min("id").alias("first"))
-    roots = kept(components(links(least, bits)))
+    nodes = least.select(F.col("fp").alias("node"), "fp", F.lit(0).cast("long").alias("sketch"), F.lit(0).alias("salt"))
+    roots = kept(components(links(nodes, bits)))
     classes = least.join(roots, least["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = classes.groupBy("root").agg(F.min("first").alias("component_id"))
     named = classes.join(smallest, "root").select(F.col("fp").alias("f"), "component_id")
     return fps.join(named, F.col("fp") == F.col("f")).select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+#: Near copies: words in a shingle, the Jaccard similarity of shingle sets, sketch bits that must agree (64 * (1 + 0.625) / 2), salts.
+NEAR = {"shingle": 5, "similarity": 0.8, "need": 52, "salts": 3}
+_CAP = 3
+_COINS = mix(np.arange(1, 65, dtype=_U))[:, None]
+
+
+def shingles(words: list[bytes], n: int) -> set[bytes]:
+    return {b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
+
+
+def signature(text: bytes, salts: int, n: int) -> tuple[list[int], int]:
+    """Fingerprints of a text's words, each counted up to _CAP times, one a salt; and one bit of each of 64 MinHash values of its shingles.
+
+    Words move fewer fingerprint bits than shingles do when some of them are replaced; capped counts keep the commonest
+    ones from making all texts of a language alike.
+    """
+    words = text.lower().split()
+    if not words:
+        return [0] * salts, 0
+    count: dict[bytes, int] = {}
+    for w in words:
+        count[w] = count.get(w, 0) + 1
+    h = np.fromiter(map(xxhash.xxh64_intdigest, count), _U, len(count))
+    weight = np.minimum(np.fromiter(count.values(), np.int64, len(count)), _CAP)
+    fps = []
+    for s in range(salts):
+        bits = np.unpackbits(mix(h + _U(s)).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        fps.append(int.from_bytes(np.packbits(2 * (weight @ bits) > weight.sum()).tobytes(), "big"))
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles(words, n)), _U)
+    least = np.full(64, ~_U(0))
+    for i in range(0, len(hashes), 4096):
+        x = (hashes[i : i + 4096] ^ _COINS) * _U(0xD6E8FEB86659FD93)
+        least = np.minimum(least, ((x ^ (x >> _U(32))) * _U(0x9E3779B97F4A7C15)).min(axis=1))
+    return fps, int.from_bytes(np.packbits((least >> _U(40)) & _U(1) == 1).tobytes(), "big")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR["shingle"], similarity: float = NEAR["similarity"], need: int = NEAR["need"], salts: int = NEAR["salts"]) -> DataFrame:
+    """(node, stays): the text hash of each different text that has near copies, and whether it's the one of its group that stays.
+
+    Candidates come from the same index as in near_duplicates(), over fingerprints of single words under several salts,
+    as shingles of five words differ in too many bits at a similarity of 0.8. Sketches then sort out unrelated texts, and
+    the exact similarity of shingle sets decides. Of a group the text with the smallest id stays (the smallest hash
+    where ids are equal or null). Texts without words are copies of each other only if equal.
+    """
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    named = docs.select(F.xxhash64(text).alias("node"), F.col(f"`{id_col}`").alias("id"), text.alias("text"))
+
+    def sign(batches):
+        for b in batches:
+            node = b.column(0).to_numpy(zero_copy_only=False)
+            for i in range(0, b.num_rows, 512):
+                signed = [signature(t, salts, shingle) for t in b.column(1).slice(i, 512).cast(pa.binary()).to_pylist()]
+                fps = np.array([f for f, _ in signed], _U).ravel().view(np.int64)
+                sketch = np.repeat(np.array([x for _, x in signed], _U), salts).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node[i : i + 512], salts)), pa.array(fps), pa.array(sketch), pa.array(np.tile(np.arange(salts, dtype=np.int32), len(signed)))], names=["node", "fp", "sketch", "salt"])
+
+    nodes = named.select("node", "text").mapInArrow(sign, "node long, fp long, sketch long, salt int")
+    found = stored(links(nodes, BITS, need).filter("a <> b"))
+    ends = found.select(F.explode(F.array("a", "b")).alias("node"))
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(ends, "node"))
+
+    def pick(batches):
+        for b in batches:
+            yield b.filter(pa.array(marked(wanted.value, b.column(0).to_numpy(zero_copy_only=False))))
+
+    body = named.select("node", "text").mapInArrow(pick, "node long, text string").groupBy("node").agg(F.first("text").alias("text"))
+
+    def verify(batches):
+        for b in batches:
+            near = []
+            for x, y in zip(b.column(2).cast(pa.binary()).to_pylist(), b.column(3).cast(pa.binary()).to_pylist()):
+                s, t = (shingles(z.lower().split(), shingle) for z in (x, y))
+                both = len(s & t)
+                near.append(both >= similarity * (len(s) + len(t) - both))
+            yield b.filter(pa.array(near, pa.bool_())).select(["a", "b"])
+
+    pairs = found.join(body.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(body.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    roots = kept(components(pairs.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")))
+    first = named.groupBy("node").agg(F.min("id").alias("id")).join(roots, "node")
+    best = first.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "node")).alias("best"))
+    return first.join(best, "root").select("node", (F.col("best.node") == F.col("node")).alias("stays"))
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **near) -> DataFrame:
+    """docs without exact and near copies: of each group one row stays, of the smallest id; its columns are as they were.
+
+    Equal rows are copies. Null and blank texts are copies only of texts with the same characters (null: empty).
+    """
+    from pyspark.sql import Window
+
+    node = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    copies = kept(near_copies(docs, id_col, text_col, **near))
+    ids = docs.select(node.alias("node"), F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id")).alias("id"))
+    stay = ids.groupBy("node").agg(F.min("id").alias("id")).join(copies.filter("not stays"), "node", "left_anti")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), node.alias("node"), F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id")).alias("id"))
+    one = rows.join(stay, ["node", "id"])
+    # rows of equal text and id: the first of their few
+    turn = Window.partitionBy("node", "id").orderBy(F.xxhash64("row"))
+    return one.withColumn("turn", F.row_number().over(turn)).filter("turn = 1").select("row.*")

@@ -100,7 +100,7 @@ def disposition(before: Column, after: Column) -> Column:
 def propose(cases: DataFrame, tree) -> DataFrame:
     """Rule conclusions held to two invariants: a key is only set on an accepted match, and nothing is set to null."""
     out = tree.infer(cases)
-    unsafe = (F.col("action") == "set") & (F.col("value").isNull() | (F.col("field") == "plate_number") & ~F.coalesce(F.col("match_decision") == "ACCEPT", F.lit(False)))
+    unsafe = (F.col("action") == "set") & (F.col("set_to").isNull() | (F.col("field") == "plate_number") & ~F.coalesce(F.col("match_decision") == "ACCEPT", F.lit(False)))
     return out.withColumn("action", F.when(unsafe, "quarantine").otherwise(F.col("action")))
 
 

@@ -7,6 +7,7 @@ not on the corpus; pieces then find their places by their rank among those of th
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
@@ -23,7 +24,7 @@ SALTS = 64
 #: Rounds of the local search, and patterns that one tries to empty.
 ROUNDS = 20
 TRIED = 256
-_CACHE = 400_000
+_CACHE = 200_000
 _loaded: dict = {}
 
 
@@ -33,23 +34,62 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Letters and digits of the first 256 code points, lower case; as the tokenizer's own pattern parts them.
+_PARTS = re.compile("[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff]+|[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]|[^a-z0-9\u00aa\u00b2\u00b3\u00b5\u00b9\u00ba\u00bc-\u00be\u00df-\u00f6\u00f8-\u00ff]+")
+#: Words of which every character is its own normal form; apostrophes may part a word in other ways, and <| begins special tokens.
+_PLAIN = re.compile("(?!.*<\\|)[!-&(-~\u00a1-\u00ff]+")
+
+
+def _byte_signs() -> list[str]:
+    """The sign that byte-level vocabularies use for each byte: itself if it prints, else the next free one from 256 on."""
+    out, free = [], 256
+    for b in range(256):
+        prints = 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b
+        out.append(chr(b) if prints else chr(free))
+        free += not prints
+    return out
+
+
 class Words:
-    """Token ids (packed) of a text. This tokenizer never joins what white space parts, so words are encoded once and remembered."""
+    """Token ids (packed) of a text. This tokenizer never joins what white space parts, so words are encoded once and remembered.
+
+    A word of plain Latin characters is cut into letters, single digits and signs here, and only a part that is new goes
+    through the tokenizer's model; any other word goes through the whole tokenizer. Both memories are bounded.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.signs = _byte_signs()
         self.known: dict[bytes, bytes] = {}
-
-    def ids(self, batch: list[list[bytes]]) -> list[bytes]:
-        known = self.known
-        if len(known) > _CACHE:
-            known.clear()
-        new = [*{w for words in batch for w in words if w not in known}]
-        for w, e in zip(new, self.encode([w.decode() for w in new], add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[w] for w in words]) for words in batch]
+        self.parts: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        text = "".join([self.signs[b] for b in part.encode()])
+        packed = self.parts[part] = np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
+        return packed
+
+    def _word(self, raw: bytes) -> bytes:
+        word = raw.decode()
+        if _PLAIN.fullmatch(word):
+            get = self.parts.get
+            return b"".join([get(p) or self._part(p) for p in _PARTS.findall(word.lower())])
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def ids(self, words: list[bytes]) -> bytes:
+        if len(self.known) > _CACHE:
+            self.known.clear()
+        if len(self.parts) > _CACHE:
+            self.parts.clear()
+        known, out = self.known, []
+        for w in words:
+            packed = known.get(w)
+            if packed is None:
+                packed = known[w] = self._word(w)
+            out.append(packed)
+        return b"".join(out)
 
 
 def words_of(path: str) -> Words:
@@ -72,8 +112,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
             keys, text = b.column(0), b.column(1).cast(pa.binary())
             for i in range(0, b.num_rows, 64):
                 rows, piece, start, length, crc, ids = [], [], [], [], [], []
-                for r, packed in enumerate(words.ids([(t or b"").split() for t in text.slice(i, 64).to_pylist()]), i):
-                    packed += stop
+                for r, raw in enumerate(text.slice(i, 64).to_pylist(), i):
+                    packed = words.ids((raw or b"").split()) + stop
                     for p, at in enumerate(range(0, len(packed), 4 * capacity)):
                         part = packed[at : at + 4 * capacity]
                         rows.append(r)

@@ -97,30 +97,25 @@ def _batch(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
 
 
 def _links(rows: _Rows, bits: int, need: int) -> tuple[_Rows, _Rows]:
-    """A spanning forest of the links among some rows, the likest first: fewer edges than rows, whatever the pairs."""
-    left, right, like = [], [], []
-    for i in range(len(rows) - 1):
-        same = rows[i : i + 1].likeness(rows[i + 1 :], bits)
-        near = np.flatnonzero(same >= need)
-        left.append(np.full(len(near), i))
-        right.append(near + i + 1)
-        like.append(same[near])
-    left, right, like = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right, like))
-    root, out = list(range(len(rows))), []
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = i = root[root[i]]
-        return i
-
-    for e in np.argsort(-like, kind="stable").tolist():
-        x, y = find(int(left[e])), find(int(right[e]))
-        if x != y:
-            root[y] = x
-            out.append(e)
-            if len(out) == len(rows) - 1:
-                break
-    return rows[left[out].astype(np.int64)], rows[right[out].astype(np.int64)]
+    """A spanning forest of the links among some rows, by the likest links: fewer edges than rows, and memory in proportion to rows.
+
+    Rows are taken one by one, always the one most alike to a row taken before; a row that none is near begins a new tree.
+    """
+    n = len(rows)
+    best, parent, left = np.full(n, -1, np.int16), np.zeros(n, np.int64), np.arange(n)
+    a, b = [], []
+    while len(left):
+        i = int(np.argmax(best[left]))
+        at = int(left[i])
+        if best[at] >= max(need, 0):
+            a.append(int(parent[at]))
+            b.append(at)
+        left = np.delete(left, i)
+        like = rows[at : at + 1].likeness(rows[left], bits)
+        closer = left[like > best[left]]
+        best[left] = np.maximum(best[left], like)
+        parent[closer] = at
+    return rows[np.array(a, np.int64)], rows[np.array(b, np.int64)]
 
 
 def _small(keys: np.ndarray, rows: _Rows, bits: int, need: int) -> tuple[_Rows, _Rows]:

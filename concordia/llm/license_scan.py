@@ -42,9 +42,14 @@ def shingles(w: Column, n: int = SHINGLE) -> Column:
     return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), run)).otherwise(F.array().cast("array<bigint>"))
 
 
-def bands(s: Column, step: int, span: int = SPAN, k: int = BANDS) -> Column:
-    """Band values of the windows of span shingles that start at every step-th shingle; a last one may be shorter."""
-    value = lambda i, b: F.least(*(F.when(F.get(s, i + j).isNotNull(), F.xxhash64(F.get(s, i + j), F.lit(b))) for j in range(span)))
+def bands(s: Column, step: int, span: int = SPAN, k: int = BANDS, exact: bool = False) -> Column:
+    """Band values of the windows of span shingles that start at every step-th shingle.
+
+    A last window may be shorter. Templates leave out what it lacks (exact); in documents all of that counts as one more
+    shingle, which costs less to compute and leaves a shingle of the window at least the same chance.
+    """
+    hashed = lambda i, b: F.xxhash64(F.get(s, i), F.lit(b))
+    value = lambda i, b: F.least(*((F.when(F.get(s, i + j).isNotNull(), hashed(i + j, b)) if exact else hashed(i + j, b)) for j in range(span)))
     window = lambda i: F.array(*(value(i, b) for b in range(k)))
     return F.when(F.size(s) > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.size(s) - 1, F.lit(step)), window))).otherwise(F.array().cast("array<bigint>"))
 
@@ -53,7 +58,7 @@ def template_table(spark: SparkSession, templates=None) -> DataFrame:
     """(license, t_shingles, t_bands) of the templates; those of fewer than SHINGLE words can't be found."""
     rows = spark.createDataFrame([*(templates or TEMPLATES).items()], "license string, body string")
     t = rows.select("license", F.array_distinct(shingles(words(F.col("body")))).alias("t_shingles")).filter(F.size("t_shingles") > 0)
-    return t.select("license", "t_shingles", F.array_distinct(bands(F.col("t_shingles"), 1)).alias("t_bands"))
+    return t.select("license", "t_shingles", F.array_distinct(bands(F.col("t_shingles"), 1, exact=True)).alias("t_bands"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=None, containment: float = CONTAINMENT) -> DataFrame:

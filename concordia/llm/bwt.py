@@ -1,20 +1,22 @@
 """Repeated substrings of a set of strings by merging Burrows-Wheeler transforms.
 
 The strings are dealt to small shards. A shard's transform comes from sorting its own rotations. The
-transforms are merged by refining an interleave: the order of all suffixes by their first h bytes is known as
-the sequence of the shards they come from; one pass of stable bucketing by the bytes that precede them gives
-the order by h + 1 bytes. Where neighbours of the order part ways in pass h, their common prefix is h - 1
-bytes. After as many passes as the wanted length, suffixes that were never parted begin with the same bytes:
-they form the repeated intervals. No suffix of two shards is ever compared.
+transforms are merged by refining an interleave: rows of all shards stand in the order of the first h bytes of
+their suffixes, in groups that agree in them. One pass of stable bucketing by the two bytes that precede
+each suffix, read from the transforms, gives order and groups by h + 2 bytes. A row that is alone in its group
+has its longest common prefix and leaves: whatever precedes it is alone too. After as many passes as the wanted
+length needs, the rows that are left form the repeated intervals. No suffixes of two shards are ever compared.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+from .common import byte_units, prefix_hash, span_hash
+
 #: Ends a string; it's no byte of UTF-8.
 END = 0xFF
-SHARD = 1 << 16
+SHARD = 1 << 15
 
 
 def rotations(text: np.ndarray) -> np.ndarray:
@@ -46,46 +48,72 @@ def shards(strings: list[bytes], limit: int = SHARD) -> list[np.ndarray]:
 
 
 def merged(parts: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(position in the shards laid end to end, group) of all suffixes in order; those of one group agree in depth bytes."""
+    """(position in the shards laid end to end, group) of the suffixes, in order, that agree in ``depth`` bytes with another.
+
+    The last rows of a group that others have left are left out with it.
+    """
     orders = [rotations(p) for p in parts]
-    sizes = [len(p) for p in parts]
-    bases = np.cumsum([0, *sizes[:-1]])
-    before = np.concatenate([p[(o - 1) % len(p)] for p, o in zip(parts, orders)])
-    kind = np.uint8 if len(parts) <= 256 else np.uint16 if len(parts) <= 65_536 else np.uint32
-    source = np.repeat(np.arange(len(parts), dtype=kind), sizes)
-    group = np.zeros(len(source), np.int32)
-    for _ in range(depth):
-        # each shard's transform, read in its own order, laid out as the shards interleave now
-        place = np.argsort(source, kind="stable")
-        byte = np.empty(len(source), np.uint8)
-        byte[place] = before
-        order = np.argsort(byte, kind="stable")
-        byte, source, old = byte[order], source[order], group[order]
-        new = np.append(True, (byte[1:] != byte[:-1]) | (old[1:] != old[:-1]))
-        group = np.cumsum(new, dtype=np.int32)
-        if group[-1] == len(group):
+    bases = np.cumsum([0, *(len(p) for p in parts[:-1])])
+    transform = np.concatenate([p[(o - 1) % len(p)] for p, o in zip(parts, orders)])
+    # the row of the suffix that is one byte longer: stable order of the transform, shard by shard
+    longer = np.empty(len(transform), np.int64)
+    for p, b in zip(parts, bases):
+        longer[b + np.argsort(transform[b : b + len(p)], kind="stable")] = b + np.arange(len(p))
+    two = transform.astype(np.uint16) | transform[longer].astype(np.uint16) << 8
+    longest = longer[longer]
+    row, group = np.arange(len(transform)), np.zeros(len(transform), np.int32)
+    for passed in range(0, depth, 2):
+        symbols, onward = (two, longest) if depth - passed > 1 else (transform, longer)
+        symbol = symbols[row]
+        order = np.argsort(symbol, kind="stable")
+        symbol, old, row = symbol[order], group[order], onward[row[order]]
+        new = np.ones(len(row) + 1, bool)
+        new[1:-1] = (symbol[1:] != symbol[:-1]) | (old[1:] != old[:-1])
+        shared = ~(new[1:] & new[:-1])
+        row, group = row[shared], np.cumsum(new[:-1], dtype=np.int32)[shared]
+        if not len(row):
             break
-    place = np.argsort(source, kind="stable")
-    position = np.empty(len(source), np.int64)
-    position[place] = np.concatenate([o + b for o, b in zip(orders, bases)])
-    return position, group
+    return np.concatenate([o + b for o, b in zip(orders, bases)])[row], group
 
 
-def repeated(strings: list[bytes], length: int, limit: int = SHARD) -> list[tuple[int, int, int]]:
-    """Runs (string, start, end) that the strings' repeated substrings of ``length`` bytes cover; each in some string or twice in one."""
-    strings_at = np.cumsum([0, *(len(s) + 1 for s in strings)])
-    parts = shards(strings, limit)
-    if not parts:
+def promising(strings: list[bytes], length: int) -> list[tuple[int, int, int]]:
+    """Runs (string, start, end) of windows of which both halves stand twice or more: only they can repeat as a whole."""
+    half = length // 2
+    text = np.frombuffer(b"".join(s + b"\xff" for s in strings), np.uint8)
+    n = len(text) - length + 1
+    if n < 1:
         return []
-    position, group = merged(parts, length)
-    same = np.append(False, group[1:] == group[:-1])
-    same[:-1] |= same[1:]
-    starts = np.sort(position[same])
-    which = np.searchsorted(strings_at, starts, "right") - 1
-    starts, which = (x[starts + length < strings_at[which + 1]] for x in (starts, which))
+    prefix = prefix_hash(byte_units(text))
+    at = np.arange(len(text) - half + 1)
+    _, rank, count = np.unique(span_hash(prefix, at, at + half), return_inverse=True, return_counts=True)
+    twice = count[rank] > 1
+    ends = np.cumsum([len(s) + 1 for s in strings])
+    starts = np.flatnonzero(twice[:n] & twice[length - half : length - half + n])
+    which = np.searchsorted(ends, starts, "right")
+    starts, which = (x[starts + length < ends[which]] for x in (starts, which))
+    return _runs(starts, which, ends - np.array([len(s) + 1 for s in strings]), length)
+
+
+def _runs(starts: np.ndarray, which: np.ndarray, bases: np.ndarray, length: int) -> list[tuple[int, int, int]]:
+    """Windows at sorted starts, as runs (string, start, end) of what they cover, where they overlap or touch."""
     if not len(starts):
         return []
     new = np.append(True, (starts[1:] > starts[:-1] + length) | (which[1:] != which[:-1]))
     first, last = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(starts)) - 1
-    base = strings_at[which[first]]
+    base = bases[which[first]]
     return list(zip(which[first].tolist(), (starts[first] - base).tolist(), (starts[last] + length - base).tolist()))
+
+
+def repeated(strings: list[bytes], length: int, limit: int = SHARD) -> list[tuple[int, int, int]]:
+    """Runs (string, start, end) that the strings' repeated substrings of ``length`` bytes cover; each in some string or twice in one."""
+    near = promising(strings, length)
+    cut = [strings[i][x:y] for i, x, y in near]
+    parts = shards(cut, limit)
+    if not parts:
+        return []
+    bases = np.cumsum([0, *(len(s) + 1 for s in cut)])
+    position, _ = merged(parts, length)
+    starts = np.sort(position)
+    which = np.searchsorted(bases, starts, "right") - 1
+    starts, which = (x[starts + length < bases[which + 1]] for x in (starts, which))
+    return [(near[i][0], near[i][1] + x, near[i][1] + y) for i, x, y in _runs(starts, which, bases[:-1], length)]

@@ -32,7 +32,7 @@ BYTES, BYTE_GRAM = 200, 32
 WORDS, WORD_GRAM = 13, 5
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Bytes of segments that a task searches at a time, and different segments of one anchor that stay together.
-BLOCK = 1 << 21
+BLOCK = 1 << 18
 TOGETHER = 4_000
 
 

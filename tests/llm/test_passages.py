@@ -52,8 +52,10 @@ def test_merge_equals_sorting():
         base += len(t)
     by_place = dict((b, a) for a, b in cyclic)
     prefixes = [by_place[p] for p in position.tolist()]
-    assert prefixes == sorted(prefixes) and len(prefixes) == len(text)
+    want = sorted(p for p in by_place.values() if sum(q == p for q in by_place.values()) > 1)
+    assert prefixes == want and len(by_place) == len(text)
     assert all((a == b) == (g == h) for a, b, g, h in zip(prefixes, prefixes[1:], group, group[1:]))
+    assert len(merged(parts, 11)[0]) >= len(position)
 
 
 def test_repeats_within_one_string():

@@ -26,12 +26,18 @@ _powers = np.ones(1, _U)
 _inverse = np.ones(1, _U)
 
 
+def tuned(spark: SparkSession) -> SparkSession:
+    """Sends texts to Python in batches of a thousand rows: they are long, and a worker holds a batch a few times over."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tuned(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def partitions(df: DataFrame, times: int = 1) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * times
+    return int(tuned(df.sparkSession).conf.get("spark.sql.shuffle.partitions")) * times
 
 
 def kept(df: DataFrame) -> DataFrame:

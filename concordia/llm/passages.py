@@ -197,12 +197,16 @@ def remove(docs: DataFrame, id_col: str, text_col: str, by_words: bool, length:
     base = docs.select(key.alias("key"), F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row") if carry else F.lit(None).cast("int").alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     spans = runs.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
-    def pick(wanted: bool):
-        def run(batches):
-            for b in batches:
-                yield b.filter(pa.array(marked(hit.value, b.column(0).to_numpy(zero_copy_only=False)) == wanted))
+    def hits(b: pa.RecordBatch, wanted: bool) -> pa.RecordBatch:
+        return b.filter(pa.array(marked(hit.value, b.column(0).to_numpy(zero_copy_only=False)) == wanted))
 
-        return run
+    def pick(batches):
+        for b in batches:
+            yield hits(b, True)
+
+    def rest(batches):
+        """What is not hit has no runs: it needs no shuffle and is finished in the same pass."""
+        yield from finish(pa.RecordBatch.from_arrays([*b.columns, pa.nulls(b.num_rows)], names=[*b.schema.names, "spans"]) for b in (hits(x, False) for x in batches))
 
     def finish(batches):
         for b in batches:
@@ -231,10 +235,8 @@ def remove(docs: DataFrame, id_col: str, text_col: str, by_words: bool, length:
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string()), pa.array(left, pa.string())], names=["row", "n_units", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
     out = f"row {base.schema['row'].dataType.simpleString()}, n_units long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
-    none = "array<struct<start:int,end:int>>"
-    clean = base.mapInArrow(pick(False), base.schema).withColumn("spans", F.lit(None).cast(none))
-    dirty = base.mapInArrow(pick(True), base.schema).join(spans, "key", "left").select("key", "row", "text", "spans")
-    return clean.mapInArrow(finish, out).unionByName(dirty.mapInArrow(finish, out))
+    dirty = base.mapInArrow(pick, base.schema).join(spans, "key", "left").select("key", "row", "text", "spans")
+    return base.mapInArrow(rest, out).unionByName(dirty.mapInArrow(finish, out))
 
 
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = BYTES, k: int = BYTE_GRAM, carry=("doc_id",), **sizes) -> DataFrame:

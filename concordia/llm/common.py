@@ -182,12 +182,14 @@ def _chosen(grams: np.ndarray, least: np.ndarray, wide: int) -> np.ndarray:
     return np.flatnonzero(~sliding_min(~pad, wide) == grams)
 
 
-def bitmap(df: DataFrame, column: str, bits: int = 27) -> np.ndarray:
-    """A map of 2**bits bits that has a one wherever a 64-bit value of the column falls by its top bits.
+def bitmap(df: DataFrame, column: str, most: int = 27) -> np.ndarray:
+    """A map of bits that has a one wherever a 64-bit value of the column falls by its top bits.
 
-    At most 2**bits / 8 bytes (16 MB) reach the driver and, broadcast, the executors, whatever the input: as it grows
-    the map fills and sorts out less, but never hides a value. Each slice of the map is made in one task.
+    It has 32 bits a row, up to 2**most: at most 2**most / 8 bytes (16 MB) reach the driver and, broadcast, the executors,
+    whatever the input. As more rows share it the map fills and sorts out less, but never hides a value. Each slice of it
+    is made in one task.
     """
+    bits = min(most, max(16, (32 * df.count()).bit_length()))
     low = max(0, bits - 10)
 
     def slices(batches):

@@ -51,7 +51,7 @@ def op8_importance_resampling(spark, sf_dir):
 
 def op9_source_mixing(spark, sf_dir):
     mixed = curriculum.mix(table(spark, sf_dir, "documents"), carry=["doc_id"])
-    return mixed.select("row.doc_id", "size", "source_size", "target", "taken", "first_position")
+    return mixed.select("row.doc_id", "size", "source_size", "target", "taken", F.round("first_position", 6).alias("first_position"))
 
 
 def op10_license_scan(spark, sf_dir):
@@ -60,4 +60,25 @@ def op10_license_scan(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_suffix_array_dedup, op3_substring_dedup, op4_quality_rules, op5_syncmer_fingerprints, op6_simhash_near_dedup, op7_best_fit_packing, op8_importance_resampling, op9_source_mixing, op10_license_scan)}
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = "[^\\x20\\x09-\\x0D]+"
+_BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+_ORDER = "ORDER BY 3 * source_size / weight, weight, source NULLS LAST"
+
+#: What SQL can express; the others are held against brute-force versions in tests/llm.
+ORACLE_SQL: dict[str, str] = {
+    "op9_source_mixing": f"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{_WORDS}')), 0) AS size FROM documents),
+s AS (SELECT source, sum(size)::bigint AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS place FROM d GROUP BY source),
+w AS (SELECT *, ([5, 2, 1])[place] AS weight, ([1.5::double, 1.0::double, 0.5::double])[place] AS a, ([0.5::double, 1.0::double, 1.5::double])[place] AS b FROM s),
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER ({_ORDER} {_BEFORE}), 0))::double / (sum(weight) OVER () - coalesce(sum(weight) OVER ({_ORDER} {_BEFORE}), 0))::double AS level FROM w),
+t AS (SELECT *, least((3 * source_size)::double, max(level) OVER () * weight) AS target FROM l),
+g AS (SELECT *, round(target)::bigint AS goal, round(target)::bigint // greatest(source_size, 1) AS passes FROM t),
+o AS (SELECT d.doc_id, d.size, g.* EXCLUDE (source), coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(d.doc_id::varchar), d.doc_id {_BEFORE}), 0)::bigint AS ahead FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+p AS (SELECT *, (a + b) / 2 * least((ahead + size / 2) / greatest(goal, 1), 1.0::double) AS area, (b - a) / 2 AS bend FROM o)
+SELECT doc_id, size, source_size, target, passes * size + greatest(0, least(size, goal - passes * source_size - ahead)) AS taken,
+round(CASE WHEN area <= 0 THEN 0.0::double ELSE least(1.0::double, 2 * area / (a + sqrt(greatest(a * a + 4 * bend * area, 0.0::double)))) END, 6) AS first_position FROM p""",
+    "op10_license_scan": f"""WITH t(license, body) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in license_scan.TEMPLATES.items())}),
+tw AS (SELECT license, regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}]+') AS w FROM t), ts AS (SELECT DISTINCT license, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM tw),
+n AS (SELECT license, count(*) AS n_shingles FROM ts GROUP BY 1), dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
+ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM dw),
+f AS (SELECT doc_id, license, count(*) AS n_found FROM ds JOIN ts USING (s) GROUP BY 1, 2) SELECT doc_id, license, n_found / n_shingles AS containment, n_found, n_shingles FROM f JOIN n USING (license) WHERE n_found / n_shingles >= 0.8""",
+}

@@ -29,7 +29,7 @@ crime AS (SELECT event_id, {_plate('user_id')} AS key, ts::date AS day, CASE WHE
 captures AS (SELECT event_id AS capture_id, CASE WHEN event_id % 10 = 0 THEN replace({_plate('user_id + 20')}, '0', 'O') ELSE {_plate('user_id + 20')} END AS plate_id, event_id % 7 AS camera_id, date_trunc('second', ts) AS seen_at,
   CASE WHEN event_id % 4 = 0 THEN 'TRUCK' END AS observed_make, 'model ' || ((user_id + 20) % 7) AS observed_model, {_colour('user_id + 20 + CASE WHEN event_id % 4 = 0 THEN 1 ELSE 0 END')} AS observed_colour, round(least(1.0, value / 100), 3) AS ocr_confidence
   FROM events WHERE event_type IN ('view', 'click', 'purchase')),
-reg AS (SELECT registration_no AS key, {_title('lower(n_name)')} AS owner_name, {_title('r_name')} AS owner_city, {_title('make')} AS vehicle_make, {_title('model')} AS vehicle_model, colour AS vehicle_colour, status AS registration_status, rto_code
+reg AS (SELECT registration_no AS key, {_title('lower(n_name)')} AS owner_name, r_name AS owner_city, {_title('make')} AS vehicle_make, {_title('model')} AS vehicle_model, colour AS vehicle_colour, status AS registration_status, rto_code
   FROM vehicle LEFT JOIN nation ON owner_id = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey QUALIFY row_number() OVER (PARTITION BY registration_no ORDER BY registration_id) = 1),
 ins AS (SELECT * FROM policy QUALIFY row_number() OVER (PARTITION BY key ORDER BY expiry DESC, policy_id) = 1),
 theft AS (SELECT * FROM crime QUALIFY row_number() OVER (PARTITION BY key ORDER BY day DESC, event_id) = 1),

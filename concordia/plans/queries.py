@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from concordia.functions import similarity as S
 from concordia.functions import transforms as T
-from concordia.operators import adjudicate, blocking, cleansing, evaluate, matching, rules
+from concordia.operators import adjudicate, blocking, cleansing, evaluate, matching, rules, schema_match
 from concordia.plans import console, mediate
 from concordia.sources import sample
 from concordia.sources import tables as sinks
@@ -171,6 +171,14 @@ def schema_discovery(spark, d):
     return sinks.describe(n).select("column", "type", F.size("samples").cast("long").alias("n_samples"), F.get("samples", F.lit(0)).alias("first_sample"))
 
 
+@query
+def schema_matching(spark, d):
+    kinds = {"plate_number": "string", "owner_name": "string", "vehicle_make": "string", "vehicle_model": "string", "vehicle_colour": "string", "registration_date": "date", "registration_status": "string", "insurance_start": "date", "insurance_expiry": "date", "last_seen_time": "datetime", "last_seen_location": "string", "observed_colour": "string", "case_status": "string"}
+    t = sample.tables(spark, d)
+    found = [(n, *row) for n in ("VEHICLE", "OWNERS", "POLICY", "CRIME", "CAPTURES", "CAMERAS") for row in schema_match.match(t[n], n, kinds)]
+    return spark.createDataFrame(found, "table_name string, column_name string, attribute string, score double")
+
+
 @query
 def upsert_latest(spark, d):
     (o,) = load(spark, d, "orders")

@@ -13,6 +13,8 @@ STORED = (
     "insurance_start", "insurance_expiry", "last_incident_date", "case_status", "stolen_status", "last_seen_time", "last_seen_location", "observed_make", "observed_model", "observed_colour",
 )
 DERIVED = {"insurance_status": ("insurance_expiry",), "stolen_status": ("stolen_flag", "recovered_flag")}
+#: Inputs of derived attributes that are no part of the shared schema themselves.
+FLAGS = ("stolen_flag", "recovered_flag")
 NEEDS_IDENTITY = ("insurance_start", "insurance_expiry", "insurance_status")
 _NAME = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
 
@@ -93,7 +95,7 @@ class Registry:
         ids = [s.id for s in self.sources]
         if len(set(ids)) < len(ids):
             raise RegistryError("two sources have one id")
-        known = {*STORED, *self.extra}
+        known = {*STORED, *FLAGS, *self.extra}
         for s in self.sources:
             if unknown := s.covers - known:
                 raise RegistryError(f"{s.id}: unknown attributes {sorted(unknown)}")
@@ -106,7 +108,7 @@ class Registry:
 
     def inputs(self, attributes) -> set[str]:
         """Derived attributes replaced by what they're derived from."""
-        known = {*STORED, *self.extra, *self.derived}
+        known = {*STORED, *FLAGS, *self.extra, *self.derived}
         if unknown := set(attributes) - known:
             raise RegistryError(f"unknown attributes {sorted(unknown)}")
         return {i for a in attributes for i in self.derived.get(a, (a,))}

@@ -108,3 +108,46 @@ def active_resolutions(log: DataFrame) -> DataFrame:
     """Per record the codes that its resolutions not undone cover, and the newest one's decision."""
     live = log.filter("undone_at is null")
     return live.groupBy("source_id", "record_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("codes")))).alias("codes"), F.max_by("decision", "log_id").alias("decision"))
+
+
+def modes(df: DataFrame, by: list[str], column: str) -> DataFrame:
+    """by, column and n: the most frequent value of each group, ties to the smallest."""
+    counted = df.filter(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*by).orderBy(F.desc("n"), column)
+    return counted.withColumn("at", F.row_number().over(w)).filter("at = 1").drop("at")
+
+
+def dominant_format(df: DataFrame, column: str) -> DataFrame:
+    """The format that most of a column's timestamps have: one row, format and n."""
+    named = df.select(parse_ts(F.col(column))["format"].alias("format"))
+    return named.filter("format is not null").groupBy("format").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "format").limit(1)
+
+
+def tally(log: DataFrame, now: DataFrame, key: str) -> DataFrame:
+    """By actor: records changed, and those where the logged value still stands (now: key, field, value)."""
+    still = log.join(now, (F.col("record_id") == F.col(key)) & (log["field"] == now["field"]), "left")
+    holds = F.col("value").eqNullSafe(F.col("after_value")) & F.col(key).isNotNull()
+    return still.groupBy("actor").agg(F.count_distinct("record_id").alias("records"), F.count_distinct(F.when(holds, F.col("record_id"))).alias("holding"))
+
+
+# Kinds of injected damage.
+KINDS = ("plate_misread", "plate_shape", "colour_typo", "time_format", "duplicate", "control")
+
+
+def inject(records: DataFrame, key: str, seed: int = 20261017) -> DataFrame:
+    """Clean records with damage of a known kind, chosen by a hash of their key: kind and the damaged plate_id, colour, captured_at."""
+    roll = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(len(KINDS))).cast("int")
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), roll + 1)
+    out = records.withColumn("kind", kind)
+    swap = F.translate(F.substring("plate_id", 3, 2), "01258", "OIZSB")
+    return out.withColumns({
+        "true_plate": F.col("plate_id"),
+        "plate_id": F.when(F.col("kind") == "plate_misread", F.concat(F.substring("plate_id", 1, 2), swap, F.substring("plate_id", 5, 20))).when(F.col("kind") == "plate_shape", F.substring("plate_id", 1, 6)).otherwise(F.col("plate_id")),
+        "observed_colour": F.when(F.col("kind") == "colour_typo", F.concat(F.substring("observed_colour", 1, 2), F.lit("x"), F.substring("observed_colour", 3, 20))).otherwise(F.col("observed_colour")),
+        "captured_at": F.when(F.col("kind") == "time_format", F.date_format(F.col("captured_at").cast("timestamp_ntz"), "dd/MM/yyyy HH:mm:ss")).otherwise(F.col("captured_at")),
+    })
+
+
+def detection(scored: DataFrame) -> DataFrame:
+    """By kind: records, and how many have an anomaly (of controls: false alarms)."""
+    return scored.groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.when(F.size("anomalies") > 0, 1).otherwise(0)).alias("found"))

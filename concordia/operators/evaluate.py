@@ -64,3 +64,21 @@ def stratified(df: DataFrame, by: list[str], order: str, n: int) -> DataFrame:
     w = Window.partitionBy(*by)
     ranked = df.withColumns({"turn": F.row_number().over(w.orderBy(order)), "class_first": F.min(order).over(w)}).filter(F.col("turn") <= n)
     return ranked.orderBy("turn", "class_first").limit(n)
+
+
+def percentiles(df: DataFrame, column: str, shares=(0.5, 0.95)) -> DataFrame:
+    return df.agg(*(F.percentile(column, p).alias(f"p{round(100 * p)}") for p in shares))
+
+
+def bootstrap(df: DataFrame, column: str, key: str, replicas: int = 100, seed: int = 1) -> DataFrame:
+    """2.5 and 97.5 percentiles of a mean over Poisson resamples, whose weights come from hashes of key and replica.
+
+    Each row meets every replica (a fixed number), and is summed before anything is shuffled.
+    """
+    u = (F.pmod(F.xxhash64(F.col(key), F.col("replica"), F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    # the Poisson distribution of mean 1, cut at 6
+    bounds = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
+    weight = sum((F.when(u > b, 1).otherwise(0) for b in bounds), F.lit(0))
+    drawn = df.select(key, column, F.explode(F.sequence(F.lit(1), F.lit(replicas))).alias("replica")).withColumn("w", weight)
+    means = drawn.groupBy("replica").agg((F.sum(F.col(column) * F.col("w")) / F.sum("w")).alias("m"))
+    return means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))

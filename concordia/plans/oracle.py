@@ -182,4 +182,12 @@ SELECT capture_id, from_id, round(km, 4) AS km, round(minutes, 4) AS minutes, co
     "learned_cost": NOISY + ", z AS (SELECT read[i:i] AS x, truth[i:i] AS y FROM (SELECT read, truth, unnest(range(1, 11)) AS i FROM reads)), c AS (SELECT least(x, y) AS a, greatest(x, y) AS b, count(*) AS n FROM z WHERE x <> y GROUP BY 1, 2) SELECT a, b, round(greatest(0.1::double, 1 - ln(1 + n) / ln(1 + max(n) OVER ())), 6) AS cost FROM c",
     "stratified_sample": "WITH r AS (SELECT o_orderkey, o_orderstatus, o_orderpriority, row_number() OVER (w ORDER BY o_orderkey) AS turn, min(o_orderkey) OVER w AS class_first FROM orders WINDOW w AS (PARTITION BY o_orderstatus, o_orderpriority)) SELECT * FROM r ORDER BY turn, class_first LIMIT 40",
     "hash_split": f"WITH {TABLES}, b AS (SELECT ('0x' || md5(registration_no)[1:4])::int % 100 AS b FROM vehicle) SELECT CASE WHEN b < 60 THEN 'train' WHEN b < 80 THEN 'validation' ELSE 'test' END AS part, count(*) AS n FROM b GROUP BY 1",
+    "percentiles": "SELECT round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events",
+    "mode_per_group": "SELECT p_brand, p_type, n FROM (SELECT p_brand, p_type, count(*) AS n, row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, p_type) AS r FROM part GROUP BY 1, 2) WHERE r = 1",
+    "dominant_format": f"WITH {TABLES} SELECT CASE WHEN capture_id % 3 = 0 THEN '%d/%m/%Y %H:%M' ELSE 'iso' END AS format, count(*) AS n FROM captures GROUP BY 1 ORDER BY n DESC, format LIMIT 1",
+    "operator_tally": "SELECT o_orderpriority AS actor, count(*) AS records, count(*) FILTER (o_orderstatus = 'F') AS holding FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1",
+    "key_shapes": f"WITH {TABLES}, s AS (SELECT regexp_replace(regexp_replace(plate_id, '[A-Za-z]', 'L', 'g'), '[0-9]', 'D', 'g') AS shape, count(*) AS support FROM captures GROUP BY 1) SELECT *, support >= 2 AS plausible FROM s",
+    "pages_by_host": "SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, count(*) AS n, max(page_id) AS last FROM pages GROUP BY 1",
+    "report_story": _profile() + "SELECT key, 'Vehicle: ' || key || chr(10) || 'Decision: ' || decision || chr(10) || 'Case: ' || coalesce(case_status, 'not checked') || chr(10) || 'Last seen: ' || coalesce(location, 'not checked') AS story FROM p WHERE decision LIKE 'STOLEN%' OR decision LIKE 'SCRAPPED%'",
+    "disputes_union": f"WITH {TABLES}, x AS (SELECT registration_no, colour = 'Red' AS r, registration_id % 4 = 0 AS f FROM vehicle) SELECT registration_no, CASE WHEN r AND f THEN 'both' WHEN r THEN 'red' ELSE 'few' END AS part FROM x WHERE r OR f",
 }

@@ -598,3 +598,78 @@ def hash_split(spark, d):
     v = sample.tables(spark, d)["VEHICLE"]
     bucket = F.conv(F.substring(F.md5("registration_no"), 1, 4), 16, 10).cast("int") % 100
     return v.groupBy(F.when(bucket < 60, "train").when(bucket < 80, "validation").otherwise("test").alias("part")).agg(F.count("*").alias("n"))
+
+
+@query
+def percentiles(spark, d):
+    (e,) = load(spark, d, "events")
+    return evaluate.percentiles(e, "value").select(_r("p50").alias("p50"), _r("p95").alias("p95"))
+
+
+@query
+def bootstrap_interval(spark, d):
+    return evaluate.bootstrap(_scored(spark, d), "quality", "doc_id").select((F.col("low") <= F.col("high")).alias("ordered"))
+
+
+@query
+def mode_per_group(spark, d):
+    (p,) = load(spark, d, "part")
+    return cleansing.modes(p, ["p_brand"], "p_type")
+
+
+@query
+def dominant_format(spark, d):
+    cam, _ = _captures(spark, d)
+    text = F.when(F.col("capture_id") % 3 == 0, F.date_format("at", "dd/MM/yyyy HH:mm")).otherwise(F.col("captured_at"))
+    return cleansing.dominant_format(cam.withColumn("t", text), "t")
+
+
+@query
+def operator_tally(spark, d):
+    (o,) = load(spark, d, "orders")
+    i = F.col("o_orderkey")
+    log = o.filter("o_orderkey % 3 = 0").select(i.alias("record_id"), F.lit("status").alias("field"), F.lit("F").alias("after_value"), F.col("o_orderpriority").alias("actor"))
+    now = o.select(i.alias("k"), F.lit("status").alias("field"), F.col("o_orderstatus").alias("value"))
+    return cleansing.tally(log, now, "k")
+
+
+@query
+def noise_detection(spark, d):
+    """Clean captures, damaged in known ways, and how many of each kind are noticed."""
+    cam, t = _captures(spark, d)
+    reg = t["VEHICLE"].select(F.col("registration_no").alias("true"), F.lit(True).alias("known"))
+    clean = cam.filter("capture_id % 10 <> 0 and ocr_confidence >= 0.7").select("capture_id", "plate_id", "observed_colour", "captured_at")
+    noisy = cleansing.inject(clean, "capture_id")
+    full = noisy.join(F.broadcast(spark.createDataFrame([(c,) for c in sample.COLOURS], "c string")), F.col("c") == F.col("observed_colour"), "left").join(reg, F.col("true") == F.col("plate_id"), "left")
+    full = full.withColumns({"registered": F.coalesce("known", F.lit(False)), "shape_ok": F.col("plate_id").rlike("^[A-Z]{2}[0-9]{2}[A-Z]{1,3}[0-9]{4}$"), "colour_in_lexicon": F.col("c").isNotNull()})
+    return cleansing.detection(cleansing.detect(full, "2026-01-01 00:00:00"))
+
+
+@query
+def key_shapes(spark, d):
+    """Support of each shape of the recorded keys, and whether a read of that shape is plausible."""
+    cam, _ = _captures(spark, d)
+    return cam.groupBy(T.shape(F.col("plate_id")).alias("shape")).agg(F.count("*").alias("support")).withColumn("plausible", F.col("support") >= 2)
+
+
+@query
+def pages_by_host(spark, d):
+    (p,) = load(spark, d, "pages")
+    return p.groupBy(F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("host")).agg(F.count("*").alias("n"), F.max("page_id").alias("last"))
+
+
+@query
+def report_story(spark, d):
+    """The lines of a report on each hot key, in order, as one text."""
+    p = _answer(spark, d).filter("decision like 'STOLEN%' or decision like 'SCRAPPED%'")
+    nil = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("not checked"))
+    return p.select("key", F.concat_ws("\n", F.concat(F.lit("Vehicle: "), F.col("key")), F.concat(F.lit("Decision: "), F.col("decision")), F.concat(F.lit("Case: "), nil("case_status")), F.concat(F.lit("Last seen: "), nil("last_seen_location"))).alias("story"))
+
+
+@query
+def disputes_union(spark, d):
+    """Keys of both hot and watched lists once, those of either alone, by set operations."""
+    a = sample.tables(spark, d)["VEHICLE"]
+    red, few = (a.filter(c).select("registration_no") for c in ("colour = 'Red'", "registration_id % 4 = 0"))
+    both, any_, only = red.intersect(few), red.union(few).distinct(), red.exceptAll(few)
+    return both.select("registration_no", F.lit("both").alias("part")).unionByName(only.select("registration_no", F.lit("red").alias("part"))).unionByName(any_.join(red, "registration_no", "left_anti").select("registration_no", F.lit("few").alias("part")))

@@ -171,7 +171,8 @@ def anchored(prefix: np.ndarray, bounds: np.ndarray, length: int, k: int) -> dic
     keys = np.sort(rank.astype(np.int64) * span + chosen)
     own = np.searchsorted(values, anchor).astype(np.int64) * span
     count = np.searchsorted(keys, own + end - k, "right") - np.searchsorted(keys, own + start, "left")
-    return {"row": row[begin], "start": start, "end": end, "anchor": anchor, "segment": span_hash(prefix, start, end), "inner": count > 1}
+    # smallest hashes are small numbers; mixed, they are spread over all
+    return {"row": row[begin], "start": start, "end": end, "anchor": mix(anchor), "segment": span_hash(prefix, start, end), "inner": count > 1}
 
 
 def _chosen(grams: np.ndarray, least: np.ndarray, wide: int) -> np.ndarray:

@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bitmap, kept, marked, mix, partitions, stored
@@ -231,84 +231,172 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, F.col("fp") == F.col("f")).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-#: Near copies: words in a shingle, the Jaccard similarity of shingle sets, sketch bits that must agree (64 * (1 + 0.625) / 2), salts.
-NEAR = {"shingle": 5, "similarity": 0.8, "need": 52, "salts": 3}
-_CAP = 3
-_COINS = mix(np.arange(1, 65, dtype=_U))[:, None]
+#: Near copies: words in a shingle, the Jaccard similarity of shingle sets, sketch bits that must agree (6.7 standard deviations under what a similarity of 0.8 gives, 57.6).
+NEAR = {"shingle": 5, "similarity": 0.8, "need": 44}
+#: MinHash bands and the values in each: two texts of similarity s share a band with probability 1 - (1 - s**4)**16, 0.9998 at 0.8.
+BANDS, ROWS = 16, 4
+#: Texts that a task holds and compares with each other.
+SLICE = 512
+#: Texts of a large group that all of its slices see: those with the most company in their bands.
+GUESTS = 16
+_COINS = mix(np.arange(1, BANDS * ROWS + 1, dtype=_U))[:, None]
 
 
 def shingles(words: list[bytes], n: int) -> set[bytes]:
     return {b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
 
 
-def signature(text: bytes, salts: int, n: int) -> tuple[list[int], int]:
-    """Fingerprints of a text's words, each counted up to _CAP times, one a salt; and one bit of each of 64 MinHash values of its shingles.
-
-    Words move fewer fingerprint bits than shingles do when some of them are replaced; capped counts keep the commonest
-    ones from making all texts of a language alike.
-    """
+def hashed(text: bytes, n: int) -> np.ndarray:
+    """Sorted 64-bit hashes of a text's different shingles; none without words."""
     words = text.lower().split()
-    if not words:
-        return [0] * salts, 0
-    count: dict[bytes, int] = {}
-    for w in words:
-        count[w] = count.get(w, 0) + 1
-    h = np.fromiter(map(xxhash.xxh64_intdigest, count), _U, len(count))
-    weight = np.minimum(np.fromiter(count.values(), np.int64, len(count)), _CAP)
-    fps = []
-    for s in range(salts):
-        bits = np.unpackbits(mix(h + _U(s)).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        fps.append(int.from_bytes(np.packbits(2 * (weight @ bits) > weight.sum()).tobytes(), "big"))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles(words, n)), _U)
-    least = np.full(64, ~_U(0))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles(words, n)), _U)) if words else np.zeros(0, _U)
+
+
+def signature(hashes: np.ndarray) -> tuple[np.ndarray, int]:
+    """A key of each band of the MinHash values of some shingles, and one bit of each value."""
+    least = np.full(BANDS * ROWS, ~_U(0))
     for i in range(0, len(hashes), 4096):
         x = (hashes[i : i + 4096] ^ _COINS) * _U(0xD6E8FEB86659FD93)
         least = np.minimum(least, ((x ^ (x >> _U(32))) * _U(0x9E3779B97F4A7C15)).min(axis=1))
-    return fps, int.from_bytes(np.packbits((least >> _U(40)) & _U(1) == 1).tobytes(), "big")
+    keys = np.arange(BANDS, dtype=_U)
+    for column in least.reshape(BANDS, ROWS).T:
+        keys = mix(keys ^ column)
+    return keys, int.from_bytes(np.packbits((least >> _U(40)) & _U(1) == 1).tobytes(), "big")
+
+
+def alike(s: np.ndarray, t: np.ndarray, similarity: float) -> bool:
+    both = len(np.intersect1d(s, t, assume_unique=True))
+    return both >= similarity * (len(s) + len(t) - both)
+
+
+def _joined(known: np.ndarray, side: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], need: int, similarity: float) -> list[tuple[int, int]]:
+    """Verified links of some texts that connect whatever their similar pairs connect. Texts of equal ``known`` are connected already.
+
+    All pairs that agree in ``need`` sketch bits are taken, the likest first, but those that are connected by then; pairs of
+    one side are only taken on side 0.
+    """
+    size = np.array([len(s) for s in sets])
+    root = list(np.unique(known, return_index=True)[1][np.unique(known, return_inverse=True)[1]])
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    like = 64 - np.bitwise_count(sketch[:, None] ^ sketch).astype(np.int16)
+    fit = (like >= need) & (np.minimum(size[:, None], size) >= similarity * np.maximum(size[:, None], size)) & ((side[:, None] == 0) | (side == 0)) & (known[:, None] != known)
+    if side.any():
+        fit &= side[:, None] != side
+    a, b = np.nonzero(np.triu(fit, 1))
+    order = np.argsort(-like[a, b], kind="stable")
+    out = []
+    for i, j in zip(a[order].tolist(), b[order].tolist()):
+        x, y = find(i), find(j)
+        if x != y and alike(sets[i], sets[j], similarity):
+            root[x] = y
+            out.append((i, j))
+    return out
+
+
+def _verified(rows: DataFrame, shingle: int, need: int, similarity: float) -> DataFrame:
+    """Links (a, b) within the tasks of rows (task, node, known, side, sketch, text), by the exact similarity of shingle sets."""
+
+    def run(batches):
+        at, held = None, []
+
+        def close():
+            if len(held) < 2:
+                return
+            node, known, side, sketch, sets = zip(*held)
+            node = np.array(node, np.int64)
+            found = np.array(_joined(np.array(known, np.int64), np.array(side), np.array(sketch, np.int64).view(_U), list(sets), need, similarity), np.int64).reshape(-1, 2)
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(node[found[:, 0]]), pa.array(node[found[:, 1]])], names=["a", "b"])
+
+        for b in batches:
+            for task, node, known, side, sketch, text in zip(*(c.to_pylist() for c in b.columns[:5]), b.column(5).cast(pa.binary()).to_pylist()):
+                if task != at:
+                    yield from close()
+                    at, held = task, []
+                held.append((node, known, side, sketch, hashed(text, shingle)))
+        yield from close()
+
+    task = F.concat_ws(" ", "root", "slice", "other").alias("task")
+    dealt = rows.select(task, "node", "known", "side", "sketch", "text").repartition(partitions(rows, 4), "task").sortWithinPartitions("task")
+    return dealt.mapInArrow(run, "a long, b long")
+
 
+def _part(column: str, parts: str):
+    return F.pmod(F.xxhash64(F.col(column), F.lit(SEED)), F.col(parts)).cast("int")
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR["shingle"], similarity: float = NEAR["similarity"], need: int = NEAR["need"], salts: int = NEAR["salts"]) -> DataFrame:
+
+def _every(parts: str):
+    return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR["shingle"], similarity: float = NEAR["similarity"], need: int = NEAR["need"], group: int = GROUP, part: int = SLICE) -> DataFrame:
     """(node, stays): the text hash of each different text that has near copies, and whether it's the one of its group that stays.
 
-    Candidates come from the same index as in near_duplicates(), over fingerprints of single words under several salts,
-    as shingles of five words differ in too many bits at a similarity of 0.8. Sketches then sort out unrelated texts, and
-    the exact similarity of shingle sets decides. Of a group the text with the smallest id stays (the smallest hash
-    where ids are equal or null). Texts without words are copies of each other only if equal.
+    Texts that share a MinHash band of their shingles are put in one group, loosely: in bands of up to ``group`` texts by
+    their sketches, in larger ones all. Within a group the exact similarity of shingle sets links texts. A group of up to
+    ``part`` texts is compared by one task. A larger one is dealt into slices, which are linked within and to common guests;
+    then each text outside the group's largest linked set is compared with all of the group. So no task holds more than
+    two slices, and every pair of a group is compared or connected by links that were.
+    Of linked texts the one with the smallest id stays (the smallest hash where ids are equal or null). Texts without words
+    are copies of each other only if equal.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     named = docs.select(F.xxhash64(text).alias("node"), F.col(f"`{id_col}`").alias("id"), text.alias("text"))
 
     def sign(batches):
         for b in batches:
-            node = b.column(0).to_numpy(zero_copy_only=False)
             for i in range(0, b.num_rows, 512):
-                signed = [signature(t, salts, shingle) for t in b.column(1).slice(i, 512).cast(pa.binary()).to_pylist()]
-                fps = np.array([f for f, _ in signed], _U).ravel().view(np.int64)
-                sketch = np.repeat(np.array([x for _, x in signed], _U), salts).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node[i : i + 512], salts)), pa.array(fps), pa.array(sketch), pa.array(np.tile(np.arange(salts, dtype=np.int32), len(signed)))], names=["node", "fp", "sketch", "salt"])
-
-    nodes = named.select("node", "text").mapInArrow(sign, "node long, fp long, sketch long, salt int")
-    found = stored(links(nodes, BITS, need).filter("a <> b"))
-    ends = found.select(F.explode(F.array("a", "b")).alias("node"))
-    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(ends, "node"))
+                part = b.slice(i, 512)
+                signed = [(n, *signature(h)) for n, t in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()) if len(h := hashed(t, shingle))]
+                node, keys, sketch = zip(*signed) if signed else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array([k.view(np.int64) for k in keys], pa.list_(pa.int64())), pa.array(np.array(sketch, _U).view(np.int64))], names=["node", "keys", "sketch"])
+
+    signed = named.select("node", "text").mapInArrow(sign, "node long, keys array<long>, sketch long")
+    signed = stored(signed.groupBy("node").agg(F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
+    keyed = signed.select("node", "sketch", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1")
+    members = stored(keyed.join(shared, "key"))
+    few = members.filter(F.col("n") <= group).select("key", F.lit(0).cast("long").alias("fp"), "node", "sketch").repartition(partitions(docs), "key").sortWithinPartitions("key").mapInArrow(_grouped(BITS, need, group, None), _OUT)
+    many = members.filter((F.col("n") > group) & (F.col("node") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    loose = components(few.select("a", "b").unionByName(many))
+    parts = F.ceil(F.col("size") / F.lit(part)).cast("int").alias("p")
+    sizes = loose.groupBy("root").agg(F.count("*").alias("size")).select("root", parts)
+    placed = kept(loose.join(sizes, "root").join(signed.select("node", "sketch"), "node").select("root", "node", "sketch", "p", _part("node", "p").alias("slice")))
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(placed, "node"))
 
     def pick(batches):
         for b in batches:
             yield b.filter(pa.array(marked(wanted.value, b.column(0).to_numpy(zero_copy_only=False))))
 
     body = named.select("node", "text").mapInArrow(pick, "node long, text string").groupBy("node").agg(F.first("text").alias("text"))
-
-    def verify(batches):
-        for b in batches:
-            near = []
-            for x, y in zip(b.column(2).cast(pa.binary()).to_pylist(), b.column(3).cast(pa.binary()).to_pylist()):
-                s, t = (shingles(z.lower().split(), shingle) for z in (x, y))
-                both = len(s & t)
-                near.append(both >= similarity * (len(s) + len(t) - both))
-            yield b.filter(pa.array(near, pa.bool_())).select(["a", "b"])
-
-    pairs = found.join(body.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(body.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-    roots = kept(components(pairs.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")))
+    body = stored(body.join(placed.select("node"), "node", "left_semi"))
+
+    def check(rows):
+        return kept(_verified(rows.join(body, "node"), shingle, need, similarity))
+
+    large = placed.filter("p > 1")
+    company = large.join(members.groupBy("node").agg(F.sum("n").alias("company")), "node")
+    best = company.groupBy("root", "slice").agg(F.max_by(F.struct("node", "sketch", "p"), F.struct("company", "node")).alias("best"), F.max("company").alias("company"))
+    first = Window.partitionBy("root").orderBy(F.desc("company"), "slice")
+    guests = best.withColumn("turn", F.row_number().over(first)).filter(F.col("turn") <= GUESTS).select("root", "best.*", F.col("slice").alias("home")).select("root", "node", "sketch", _every("p").alias("slice"), "home").filter("slice <> home").drop("home")
+    rows = placed.select("root", "node", "sketch", "slice").unionByName(guests)
+    edges = check(rows.withColumns({"known": F.col("node"), "side": F.lit(0), "other": F.lit(0)}))
+    if not large.isEmpty():
+        sets = components(edges).withColumnRenamed("root", "known")
+        large = kept(large.join(sets, "node", "left").withColumn("known", F.coalesce("known", "node")))
+        most = large.groupBy("root", "known").agg(F.count("*").alias("n")).groupBy("root").agg(F.max_by("known", F.struct("n", "known")).alias("most"))
+        rest = kept(large.join(most, "root").filter("known <> most").drop("most"))
+        q = rest.groupBy("root").agg(F.count("*").alias("size")).select("root", parts.alias("q"))
+        left = rest.join(q, "root").select("root", "node", "known", "sketch", _every("p").alias("slice"), _part("node", "q").alias("other"), F.lit(0).alias("side"))
+        right = large.join(q, "root").select("root", "node", "known", "sketch", "slice", _every("q").alias("other"), F.lit(1).alias("side"))
+        edges = edges.unionByName(check(left.unionByName(right)))
+    roots = kept(components(edges))
     first = named.groupBy("node").agg(F.min("id").alias("id")).join(roots, "node")
     best = first.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "node")).alias("best"))
     return first.join(best, "root").select("node", (F.col("best.node") == F.col("node")).alias("stays"))
@@ -319,8 +407,6 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Equal rows are copies. Null and blank texts are copies only of texts with the same characters (null: empty).
     """
-    from pyspark.sql import Window
-
     node = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
     copies = kept(near_copies(docs, id_col, text_col, **near))
     ids = docs.select(node.alias("node"), F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id")).alias("id"))

@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline as cp
 from concordia.llm import simhash
 
@@ -35,6 +37,69 @@ def test_near_copies(spark):
     assert len(missed) <= 1
 
 
+def test_edited_copies_of_one_text_all_leave(spark):
+    """Copies are alike to the base (0.86), mostly not to each other (0.75): only links to the base join them."""
+    r = random.Random(5)
+    base = [f"w{r.randrange(10**6)}" for _ in range(200)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 501):
+        w = base[:]
+        for at in r.sample(range(200), 3):
+            w[at] = f"e{k}x{at}"
+        rows.append((k, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    lone = {k for k, t in rows[1:] if not near(t, rows[0][1]) and not any(near(t, u) for j, u in rows if j != k)}
+    for limits in ({}, {"group": 60, "part": 100}):
+        left = {x.doc_id for x in simhash.without_copies(docs, **limits).collect()}
+        assert left == {0} | lone
+
+
+def edits(r, kind, words):
+    n, w = len(words), words[:]
+    if kind == "appended":
+        return w + [f"a{r.randrange(10**6)}" for _ in range(n // 5)]
+    if kind == "cut":
+        return w[: n - n // 10]
+    if kind == "block":
+        at = r.randrange(n - n // 12)
+        return w[:at] + [f"b{r.randrange(10**6)}" for _ in range(n // 12)] + w[at + n // 12 :]
+    for at in r.sample(range(n), n // 60):
+        w[at] = f"s{r.randrange(10**6)}"
+    return w
+
+
+def test_recall_by_kind_of_edit(spark):
+    r = random.Random(6)
+    vocabulary = [f"v{i}" for i in range(5000)]
+    chance = [1 / (i + 2) for i in range(5000)]
+    rows, kinds = [], {}
+    for i in range(400):
+        kind = ("appended", "cut", "block", "scattered")[i % 4]
+        w = r.choices(vocabulary, chance, k=(60, 200, 600)[i % 3])
+        pair = [(2 * i, " ".join(w)), (2 * i + 1, " ".join(edits(r, kind, w)))]
+        if near(pair[0][1], pair[1][1]):
+            kinds.setdefault(kind, []).append(2 * i + 1)
+        rows += pair
+    left = {x.doc_id for x in simhash.without_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {k: sum(i not in left for i in ids) / len(ids) for k, ids in kinds.items()}
+    assert all(len(ids) > 40 for ids in kinds.values()) and len(kinds) == 4
+    assert min(found.values()) >= 0.98, found
+    assert len(left) >= 800 - sum(map(len, kinds.values()))
+
+
+def test_many_copies_of_one_template(spark):
+    """A group larger than what a task may hold: copies are alike to the template (0.81), hardly to each other (0.68)."""
+    r = random.Random(7)
+    base = [f"w{r.randrange(10**6)}" for _ in range(100)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 3001):
+        w, at = base[:], r.randrange(5, 45)
+        w[at], w[at + 45] = f"e{k}", f"f{k}"
+        rows.append((k, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert [x.doc_id for x in simhash.without_copies(docs, group=500).collect()] == [0]
+
+
 def test_stages_keep_columns_and_take_effect(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")

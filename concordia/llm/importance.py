@@ -134,12 +134,13 @@ def gumbel(id_col: str, seed: int = SEED):
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", share: float = SHARE, limit: int = LABELLED, seed: int = SEED) -> DataFrame:
     """id, log_ratio, mean, kept (the classifier's verdict), gumbel_key and selected (a sample of ``share`` of the rows).
 
-    The key uses the mean log ratio, so that length alone doesn't decide. Null and blank texts have ratio 0 and aren't
-    kept if that's below the threshold. Rows of equal ids share their noise; other columns aren't read.
+    The key uses the log ratio itself, so rows are drawn in proportion to their importance weight; the mean only says
+    what is kept. Null and blank texts have ratio 0 and aren't kept if that's below
+    the threshold. Rows of equal ids share their noise; other columns aren't read.
     """
     from .common import kept as written
 
     weights, cut = fit(docs, labels, id_col, text_col, label_col, limit)
     scored = score(docs, weights, [id_col], text_col)
-    keyed = written(scored.withColumns({"kept": F.col("mean") >= F.lit(cut), "gumbel_key": F.col("mean") + gumbel(id_col, seed)}))
+    keyed = written(scored.withColumns({"kept": F.col("mean") >= F.lit(cut), "gumbel_key": F.col("log_ratio") + gumbel(id_col, seed)}))
     return top_k(keyed, "gumbel_key", int(share * keyed.count()), id_col)

@@ -153,6 +153,13 @@ def test_importance(docs, empty, spark):
     assert all(r.kept for r in importance.resample(docs, labels.filter("false")).collect())
 
 
+def test_importance_weighs_documents_by_their_log_ratio(docs, spark):
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(40)], "doc_id long, quality int")
+    got = importance.resample(docs, labels).withColumn("noise", importance.gumbel("doc_id")).filter("doc_id is not null").collect()
+    assert any(abs(r.log_ratio - r.mean) > 1 for r in got)
+    assert all(abs(r.gumbel_key - r.log_ratio - r.noise) < 1e-6 for r in got)
+
+
 def test_license_scan(docs, empty, spark):
     texts = [t for t in license_scan.TEMPLATES.values()]
     rows = [(i, f"some words before it\n{t}\nand after") for i, t in enumerate(texts)] + [(50, None), (51, ""), (52, "mit license"), (53, "word " * 3000 + texts[2])]

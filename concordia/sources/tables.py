@@ -20,11 +20,20 @@ def read_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, hig
 
 
 def describe(df: DataFrame, samples: int = 20) -> DataFrame:
-    """One row per column: name, type, position and up to ``samples`` of its smallest values, as text. One pass over the data."""
-    smallest = [F.slice(F.array_sort(F.collect_set(F.col(f"`{f.name}`").cast("string"))), 1, samples).alias(f.name) for f in df.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
-    wide = df.limit(10_000).agg(*smallest)
-    rows = F.array(*(F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.lit(i).alias("position"), (F.col(f"`{f.name}`") if f.name in wide.columns else F.array().cast("array<string>")).alias("samples")) for i, f in enumerate(df.schema)))
-    return wide.select(F.inline(rows))
+    """One row per column: name, type, position and up to ``samples`` of its smallest values, as text. All rows are read.
+
+    Distinct values are ranked in hash slices first, so that no task sorts all values of a column.
+    """
+    plain = [(i, f) for i, f in enumerate(df.schema) if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+    names = df.sparkSession.createDataFrame([(f.name, f.dataType.simpleString(), i) for i, f in enumerate(df.schema)], "column string, type string, position int")
+    if not plain:
+        return names.withColumn("samples", F.array().cast("array<string>"))
+    cells = df.select(F.inline(F.array(*(F.struct(F.lit(i).alias("position"), F.col(f"`{f.name}`").cast("string").alias("value")) for i, f in plain))))
+    values = cells.filter("value is not null").distinct().withColumn("slice", F.pmod(F.xxhash64("value"), F.lit(64)))
+    for by in (("position", "slice"), ("position",)):
+        values = values.withColumn("_at", F.row_number().over(Window.partitionBy(*by).orderBy("value"))).filter(F.col("_at") <= samples).drop("_at")
+    found = values.groupBy("position").agg(F.array_sort(F.collect_list("value")).alias("samples"))
+    return names.join(found, "position", "left").select("column", "type", "position", F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))
 
 
 def probe(df: DataFrame) -> str:

@@ -141,3 +141,9 @@ def test_streams(spark, tmp_path):
     assert {r.plate_id: r.capture_id for r in drain(S.latest(stream()), "complete")} == {"p": 2, "q": 3}
     found = drain(S.impossible_journeys(stream()), "append")
     assert [r.plate_id for r in found] == ["p"] and found[0].kmh > 160
+
+
+def test_describe_reads_all_rows(spark):
+    df = spark.range(30_000, 0, -1, 1).selectExpr("lpad(id, 6, '0') k", "id % 3 n", "array(id) a")
+    got = {r.column: r.samples for r in sinks.describe(df).collect()}
+    assert got == {"k": [f"{i:06d}" for i in range(1, 21)], "n": ["0", "1", "2"], "a": []}

@@ -1,11 +1,12 @@
 """Repeated substrings of a set of strings by merging Burrows-Wheeler transforms.
 
-The strings are dealt to small shards. A shard's transform comes from sorting its own rotations. The
-transforms are merged by refining an interleave: rows of all shards stand in the order of the first h bytes of
-their suffixes, in groups that agree in them. One pass of stable bucketing by the two bytes that precede
-each suffix, read from the transforms, gives order and groups by h + 2 bytes. A row that is alone in its group
-has its longest common prefix and leaves: whatever precedes it is alone too. After as many passes as the wanted
-length needs, the rows that are left form the repeated intervals. No suffixes of two shards are ever compared.
+The strings are dealt to small shards. A shard's transform comes from sorting its own rotations. The transforms are
+merged by refining an interleave: rows of all shards stand in the order of the first h bytes of their suffixes, in groups
+that agree in them. The transforms say which row is a suffix's extension by one byte and, composed, by h bytes. A pass
+deals the extensions, in the order of their suffixes, by the groups of their own first h bytes: that is the order, and the
+groups, by 2h bytes. No suffixes of two shards are ever compared. The groups of all passes give the longest common prefix
+of neighbours, from the largest h down, and runs of neighbours that have a prefix of the wanted length in common are
+the repeated intervals.
 """
 
 from __future__ import annotations
@@ -17,21 +18,29 @@ from .common import byte_units, prefix_hash, span_hash
 #: Ends a string; it's no byte of UTF-8.
 END = 0xFF
 SHARD = 1 << 15
+#: Bytes that the first ranking of a shard's rotations looks at.
+_FIRST = 7
+
+
+def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    order = np.argsort(key, kind="stable")
+    new = np.append(True, key[order][1:] != key[order][:-1])
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return order, rank, bool(new.all())
 
 
 def rotations(text: np.ndarray) -> np.ndarray:
     """The order of a shard's rotations, by doubling the length that ranks look at."""
-    n = len(text)
-    rank, k = text.astype(np.int64), 1
-    while True:
-        key = rank * (n + 257) + np.roll(rank, -k)
-        order = np.argsort(key, kind="stable")
-        new = np.append(True, key[order][1:] != key[order][:-1])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new) - 1
+    n, k = len(text), _FIRST
+    key = np.zeros(n, np.int64)
+    for i in range(k):
+        key = key << 8 | np.roll(text, -i)
+    order, rank, done = _ranked(key)
+    while not done and k < n:
+        order, rank, done = _ranked(rank * (n + 1) + np.roll(rank, -k % n))
         k *= 2
-        if new.all() or k >= n:
-            return order
+    return order
 
 
 def shards(strings: list[bytes], limit: int = SHARD) -> list[np.ndarray]:
@@ -47,33 +56,64 @@ def shards(strings: list[bytes], limit: int = SHARD) -> list[np.ndarray]:
     return out
 
 
+def _dealt(group: np.ndarray) -> np.ndarray:
+    """The stable order of some group numbers, 16 bits at a time."""
+    order = np.argsort((group & 0xFFFF).astype(np.uint16), kind="stable")
+    if len(group) and int(group.max()) >> 16:
+        order = order[np.argsort((group[order] >> 16).astype(np.uint16), kind="stable")]
+    return order
+
+
 def merged(parts: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(position in the shards laid end to end, group) of the suffixes, in order, that agree in ``depth`` bytes with another.
+    """(position in the shards laid end to end, longest common prefix with the row before, ``depth`` at most) of all rows, interleaved.
 
-    The last rows of a group that others have left are left out with it.
+    Shards are cyclic: a suffix goes on at its shard's beginning.
     """
     orders = [rotations(p) for p in parts]
     bases = np.cumsum([0, *(len(p) for p in parts[:-1])])
-    transform = np.concatenate([p[(o - 1) % len(p)] for p, o in zip(parts, orders)])
     # the row of the suffix that is one byte longer: stable order of the transform, shard by shard
-    longer = np.empty(len(transform), np.int64)
-    for p, b in zip(parts, bases):
-        longer[b + np.argsort(transform[b : b + len(p)], kind="stable")] = b + np.arange(len(p))
-    two = transform.astype(np.uint16) | transform[longer].astype(np.uint16) << 8
-    longest = longer[longer]
-    row, group = np.arange(len(transform)), np.zeros(len(transform), np.int32)
-    for passed in range(0, depth, 2):
-        symbols, onward = (two, longest) if depth - passed > 1 else (transform, longer)
-        symbol = symbols[row]
-        order = np.argsort(symbol, kind="stable")
-        symbol, old, row = symbol[order], group[order], onward[row[order]]
-        new = np.ones(len(row) + 1, bool)
-        new[1:-1] = (symbol[1:] != symbol[:-1]) | (old[1:] != old[:-1])
-        shared = ~(new[1:] & new[:-1])
-        row, group = row[shared], np.cumsum(new[:-1], dtype=np.int32)[shared]
-        if not len(row):
-            break
-    return np.concatenate([o + b for o, b in zip(orders, bases)])[row], group
+    longer = np.concatenate([b + np.argsort(np.argsort(p[(o - 1) % len(p)], kind="stable"), kind="stable") for p, o, b in zip(parts, orders, bases)])
+    symbol = np.concatenate([p[o] for p, o in zip(parts, orders)])
+    back, h = {1: longer}, 1
+    while 2 * h <= depth:
+        back[2 * h] = back[h][back[h]]
+        h *= 2
+    row = np.argsort(symbol, kind="stable")
+    group = np.empty(len(row), np.int64)
+    group[row] = np.cumsum(np.append(False, symbol[row][1:] != symbol[row][:-1]))
+    levels, h = [(1, group)], 1
+    while h < depth:
+        step = min(h, depth - h)
+        extension, old = row, group[row]
+        for k in back:
+            if step & k:
+                extension = back[k][extension]
+        own = group[extension]
+        order = _dealt(own)
+        row, own, old = extension[order], own[order], old[order]
+        group = np.empty(len(row), np.int64)
+        group[row] = np.cumsum(np.append(False, (own[1:] != own[:-1]) | (old[1:] != old[:-1])))
+        h += step
+        levels.append((h, group))
+    common = np.full(len(row), depth, np.int64)
+    common[:1] = 0
+    apart = np.flatnonzero(group[row[1:]] != group[row[:-1]]) + 1
+    a, b, length = row[apart - 1], row[apart], np.zeros(len(apart), np.int64)
+    for h, of in levels[-2::-1]:
+        same = of[a] == of[b]
+        if h in back:
+            on = np.empty(len(row), np.int64)
+            on[back[h]] = np.arange(len(row))
+            length += h * same
+            a, b = np.where(same, on[a], a), np.where(same, on[b], b)
+    common[apart] = np.minimum(length, depth)
+    return np.concatenate([o + b for o, b in zip(orders, bases)])[row], common
+
+
+def intervals(common: np.ndarray, length: int) -> np.ndarray:
+    """Whether each row of an interleave is in a repeated interval: it has ``length`` bytes in common with the row before or after."""
+    with_last = common >= length
+    return with_last | np.append(with_last[1:], False)
 
 
 def promising(strings: list[bytes], length: int) -> list[tuple[int, int, int]]:
@@ -85,8 +125,11 @@ def promising(strings: list[bytes], length: int) -> list[tuple[int, int, int]]:
         return []
     prefix = prefix_hash(byte_units(text))
     at = np.arange(len(text) - half + 1)
-    _, rank, count = np.unique(span_hash(prefix, at, at + half), return_inverse=True, return_counts=True)
-    twice = count[rank] > 1
+    found = span_hash(prefix, at, at + half)
+    order = np.argsort(found, kind="stable")
+    same = found[order][1:] == found[order][:-1]
+    twice = np.zeros(len(found), bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
     ends = np.cumsum([len(s) + 1 for s in strings])
     starts = np.flatnonzero(twice[:n] & twice[length - half : length - half + n])
     which = np.searchsorted(ends, starts, "right")
@@ -112,8 +155,8 @@ def repeated(strings: list[bytes], length: int, limit: int = SHARD) -> list[tupl
     if not parts:
         return []
     bases = np.cumsum([0, *(len(s) + 1 for s in cut)])
-    position, _ = merged(parts, length)
-    starts = np.sort(position)
+    position, common = merged(parts, length)
+    starts = np.sort(position[intervals(common, length)])
     which = np.searchsorted(bases, starts, "right") - 1
     starts, which = (x[starts + length < bases[which + 1]] for x in (starts, which))
     return [(near[i][0], near[i][1] + x, near[i][1] + y) for i, x, y in _runs(starts, which, bases[:-1], length)]

@@ -1,17 +1,18 @@
-"""Removal of passages that repeat: byte strings anywhere (by merged suffix arrays), word windows of earlier documents (by suffix automata).
+"""Removal of passages that repeat: byte strings anywhere (by merged Burrows-Wheeler transforms), word windows of earlier documents (by suffix automata).
 
 Both cut each text into segments of windows that share an anchor, their smallest k-gram (see common.anchored): equal windows
 share it, wherever they stand. So
-1. anchors are counted, with the smallest and the largest hash of their segments. Most stand once and are done with;
-2. where all segments of an anchor are equal, nothing has to be searched: they repeat as a whole;
-3. the different segments of the other anchors, each once, are dealt out by anchor. A task takes some whole anchors at a time,
-   in blocks of bounded size, and finds which windows repeat: op2 merges the block's Burrows-Wheeler transforms, op3 builds
-   the suffix automaton of the block and streams the block's segments through it. Every segment meets the one block that
-   can hold its matches, instead of all of them;
-4. anchors with more different segments than a block should hold (the edge of a passage that very many documents quote) are
-   split further, down to single windows, whose hashes are counted;
-5. found runs are gathered by text and removed.
-Hashes have 64 bits; equal anchors (64 bits) are only ever told apart by a second hash of 64 bits.
+1. anchors are counted. Most stand once and are done with: that is a filter, which loses nothing;
+2. segments of the others are dealt out by anchor: of each different one (by 64 bits of hash besides the anchor's 64) two
+   occurrences with their text, and how many there are. A task takes some whole anchors at a time, in blocks of bounded
+   size, and finds which windows repeat: op2 merges the transforms of the block's segments, op3 builds the suffix automaton
+   of the reference, the segments' occurrences in the texts of smallest rank, and streams the others through it. Every segment
+   meets the one block that can hold its matches, instead of all of them;
+3. an anchor with more different segments than a block should hold (the edge of a passage that very many documents quote) is
+   dealt out finer: its windows are parted by how far from their start the anchor stands, which equal windows share too,
+   and at last by what they are. What is found, and how, doesn't depend on how fine the parts are;
+4. found runs go back to all occurrences of their segment, in 64 slices of each so that no task gets a whole hot segment,
+   are gathered by text and removed.
 """
 
 from __future__ import annotations
@@ -21,19 +22,21 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
 from .bwt import repeated
-from .common import anchored, bitmap, byte_units, chunks, covered, marked, partitions, prefix_hash, stored, texts, word_hashes, words
+from .common import anchored, bitmap, byte_units, chunks, covered, kept, marked, mix, partitions, prefix_hash, span_hash, stored, texts, word_hashes, words
 
 BYTES, BYTE_GRAM = 200, 32
 WORDS, WORD_GRAM = 13, 5
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-#: Bytes of segments that a task searches at a time, and different segments of one anchor that stay together.
+#: Bytes of segments that a task searches at a time, and different segments of one part that are dealt out together.
 BLOCK = 1 << 18
-TOGETHER = 4_000
+TOGETHER = 1_000
+#: Slices in which the occurrences of one segment get back what was found of it.
+SLICES = 64
 
 
 def _segments(column: pa.Array, by_words: bool, length: int, k: int):
@@ -58,6 +61,11 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _place(key: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A hash of where a segment stands, that tells its occurrences apart."""
+    return mix(key.view(np.uint64) ^ mix(start.astype(np.uint64) + np.uint64(1)))
+
+
 def find(keyed: DataFrame, by_words: bool, length: int, k: int, block: int = BLOCK, together: int = TOGETHER) -> DataFrame:
     """(key, start, end) of runs to remove; keyed has key (long), rank (long) and text.
 
@@ -66,53 +74,111 @@ def find(keyed: DataFrame, by_words: bool, length: int, k: int, block: int = BLO
 
     def count(batches):
         for b in batches:
-            rank = b.column(1).to_numpy(zero_copy_only=False)
+            rank, key = (b.column(c).to_numpy(zero_copy_only=False) for c in (1, 2))
             for i, s, *_ in _segments(b.column(0), by_words, length, k):
-                seg = _signed(s["segment"])
-                # a window may repeat within its segment; for words that is no other document
-                other = seg if by_words else np.where(s["inner"], ~seg, seg)
-                yield _arrow(anchor=_signed(s["anchor"]), low=np.minimum(seg, other), high=np.maximum(seg, other), n=np.where(other == seg, 1, 2), rank=rank[s["row"] + i])
+                row = s["row"] + i
+                yield _arrow(anchor=_signed(s["anchor"]), segment=_signed(s["segment"]), inner=s["inner"], rank=rank[row], place=_signed(_place(key[row], s["start"])))
 
     source = keyed.select("text", "rank", "key")
-    counted = source.mapInArrow(count, "anchor long, low long, high long, n long, rank long").groupBy("anchor")
-    counted = counted.agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("rank").alias("least")).filter("n > 1")
-    again = stored(counted.select("anchor", "least", (F.col("low") != F.col("high")).alias("mixed")))
+    counted = source.mapInArrow(count, "anchor long, segment long, inner boolean, rank long, place long").groupBy("anchor")
+    counted = counted.agg(F.count("*").alias("n"), F.min("segment").alias("low"), F.max("segment").alias("high"), F.max(F.col("inner").cast("int")).alias("inner"), F.min("rank").alias("least"), F.max("rank").alias("most"), F.min("place").alias("one"), F.max("place").alias("two"))
+    # words that only texts of one rank have are nobody's copy; bytes may repeat within a segment
+    again = stored(counted.filter("least < most" if by_words else "n > 1 or inner = 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed"), "one", "two"))
     context = keyed.sparkSession.sparkContext
-    maps = context.broadcast((bitmap(again, "anchor"), bitmap(again.filter("mixed"), "anchor")))
+    maps = context.broadcast((bitmap(again, "anchor"), bitmap(again.filter("mixed"), "anchor"), bitmap(again.filter("not mixed").select(F.explode(F.array("one", "two")).alias("place")), "place")))
 
     def occurrences(batches):
-        repeats, mixed = maps.value
+        repeats, mixed, shown = maps.value
         for b in batches:
             rank, key = (b.column(c).to_numpy(zero_copy_only=False) for c in (1, 2))
             for i, s, first, part, starts, ends in _segments(b.column(0), by_words, length, k):
                 use = np.flatnonzero(marked(repeats, s["anchor"]))
                 row, start, end = s["row"][use], s["start"][use], s["end"][use]
+                place = _place(key[row + i], start)
                 at, to = (starts[start], ends[end - 1]) if by_words else (start, end)
                 raw = part.tobytes()
-                body = [raw[x:y] if m else None for x, y, m in zip(at.tolist(), to.tolist(), marked(mixed, s["anchor"][use]).tolist())]
-                yield _arrow(anchor=_signed(s["anchor"][use]), segment=_signed(s["segment"][use]), key=key[row + i], rank=rank[row + i], start=(start - first[row]).astype(np.int32), end=(end - first[row]).astype(np.int32), body=pa.array(body, pa.binary()))
-
-    seen = source.mapInArrow(occurrences, "anchor long, segment long, key long, rank long, start int, end int, body binary").join(again, "anchor")
-    if by_words:
-        seen = seen.filter("mixed or rank > least")
-    tell: list[Column] = [F.when(F.col("mixed"), F.col(c)).alias(c) for c in ("anchor", "segment", "rank", "body")]
-    seen = stored(seen.select("key", "start", "end", "mixed", *tell))
-    plain = seen.filter("not mixed").select("key", "start", "end")
-
-    mixed = seen.filter("mixed")
-    distinct = stored(mixed.groupBy("anchor", "segment").agg(F.first("body").alias("body"), F.count("*").alias("n"), F.min("rank").alias("rank")))
-    crowds = distinct.groupBy("anchor").agg(F.count("*").alias("m")).filter(F.col("m") > together).select("anchor")
-    few = distinct.join(crowds, "anchor", "left_anti")
-    search = _by_automaton if by_words else _by_bwt
-    found = few.repartition(partitions(keyed, 2), "anchor").sortWithinPartitions("anchor").mapInArrow(_blocks(search, length, block), "anchor long, segment long, least long, from int, to int")
-    found = found.unionByName(_windows(distinct.join(crowds, "anchor", "left_semi"), by_words, length))
-    if not by_words:
-        found = found.unionByName(distinct.filter("n > 1").select("anchor", "segment", F.lit(0).cast("long").alias("least"), F.lit(0).alias("from"), F.lit(-1).alias("to")))
-    runs = mixed.drop("body").join(found, ["anchor", "segment"])
+                # where all segments of an anchor are equal, two of them show their text
+                body = [raw[x:y] if m else None for x, y, m in zip(at.tolist(), to.tolist(), (marked(mixed, s["anchor"][use]) | marked(shown, place)).tolist())]
+                yield _arrow(anchor=_signed(s["anchor"][use]), segment=_signed(s["segment"][use]), key=key[row + i], rank=rank[row + i], start=(start - first[row]).astype(np.int32), end=(end - first[row]).astype(np.int32), place=_signed(place), body=pa.array(body, pa.binary()))
+
+    seen = source.mapInArrow(occurrences, "anchor long, segment long, key long, rank long, start int, end int, place long, body binary").join(again.select("anchor"), "anchor", "left_semi")
+    seen = stored(seen.withColumn("slice", F.pmod("place", F.lit(SLICES)).cast("int")))
+    shown = F.when(F.col("body").isNotNull(), F.struct("rank", "place", "body"))
+    sliced = stored(seen.groupBy("anchor", "segment", "slice").agg(F.min(shown).alias("one"), F.max(shown).alias("two"), F.count("*").alias("n"), F.min("rank").alias("rank")))
+    distinct = sliced.groupBy("anchor", "segment").agg(F.min("one").alias("one"), F.max("two").alias("two"), F.sum("n").alias("n"), F.min("rank").alias("rank"))
+    second = F.when(F.col("one.place") != F.col("two.place"), F.col("two.body"))
+    distinct = stored(distinct.select(F.col("anchor").alias("part"), "segment", "anchor", F.col("one.body").alias("body"), second.alias("second"), "n", "rank"))
+    wide = length - k + 1
+    found = _searched(distinct, by_words, length, k, block, together, (max(2, wide // 8), 1))
+    found = found.select(F.col("part").alias("anchor"), "segment", "least", "from", "to")
+    runs = _handed(seen.select("anchor", "segment", "slice", "key", "rank", "start"), sliced, found, ["anchor", "segment"])
     if by_words:
         runs = runs.filter(F.col("rank") > F.col("least"))
-    whole = F.when(F.col("to") < 0, F.col("end")).otherwise(F.col("start") + F.col("to"))
-    return plain.unionByName(runs.select("key", (F.col("start") + F.col("from")).alias("start"), whole.alias("end")))
+    return runs.select("key", (F.col("start") + F.col("from")).alias("start"), (F.col("start") + F.col("to")).alias("end"))
+
+
+def _handed(rows: DataFrame, sliced: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
+    """rows joined to what was found of their group; a group's rows are dealt by slice, and what was found goes to each slice that it has."""
+    return rows.join(sliced.select(*by, "slice").join(found, by), [*by, "slice"])
+
+
+def _searched(distinct: DataFrame, by_words: bool, length: int, k: int, block: int, together: int, widths: tuple[int, ...]) -> DataFrame:
+    """(part, segment, least, from, to): repeated runs within the segments (part, segment, anchor, body, second, n, rank) of each part."""
+    search, n = (_by_automaton if by_words else _by_bwt), partitions(distinct, 2)
+    rows = distinct.select("part", "segment", "body", "second", "n", "rank")
+    out = "part long, segment long, least long, from int, to int"
+    crowds = kept(distinct.groupBy("part").agg(F.count("*").alias("m")).filter(F.col("m") > together).select("part")) if widths else None
+    if crowds is None or crowds.isEmpty():
+        return rows.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_blocks(search, length, block), out)
+    few = rows.join(crowds, "part", "left_anti").repartition(n, "part").sortWithinPartitions("part").mapInArrow(_blocks(search, length, block), out)
+    cut = distinct.join(crowds, "part", "left_semi").select("part", "segment", "anchor", "body", "second", "n", "rank")
+    cut = cut.mapInArrow(_finer(by_words, length, k, widths[0], len(widths) == 1), "part long, segment long, at int, anchor long, finer long, cut long, body binary, second binary, n long, rank long")
+    cut = stored(cut.withColumn("slice", F.pmod("segment", F.lit(SLICES)).cast("int")))
+    text = F.struct("segment", "at", "body", "second")
+    sliced = stored(cut.groupBy("finer", "cut", "slice").agg(F.first("anchor").alias("anchor"), F.min(text).alias("one"), F.max(text).alias("two"), F.sum("n").alias("n"), F.min("rank").alias("rank")))
+    inner = sliced.groupBy("finer", "cut").agg(F.first("anchor").alias("anchor"), F.min("one").alias("one"), F.max("two").alias("two"), F.sum("n").alias("n"), F.min("rank").alias("rank"))
+    other = F.when((F.col("one.segment") != F.col("two.segment")) | (F.col("one.at") != F.col("two.at")), F.col("two.body")).otherwise(F.col("one.second"))
+    inner = stored(inner.select(F.col("finer").alias("part"), F.col("cut").alias("segment"), "anchor", F.col("one.body").alias("body"), other.alias("second"), "n", "rank"))
+    hits = _searched(inner, by_words, length, k, block, together, widths[1:]).select(F.col("part").alias("finer"), F.col("segment").alias("cut"), "least", "from", "to")
+    hits = _handed(cut.select("part", "segment", "at", "finer", "cut", "slice"), sliced, hits, ["finer", "cut"])
+    return few.unionByName(hits.select("part", "segment", "least", (F.col("at") + F.col("from")).alias("from"), (F.col("at") + F.col("to")).alias("to")))
+
+
+def _finer(by_words: bool, length: int, k: int, width: int, alone: bool):
+    """Parts the windows of crowded segments by how far from their start the anchor stands, ``width`` places in a part; alone: and by what they are."""
+
+    def pieces(body: bytes):
+        part = np.frombuffer(body, np.uint8)
+        if by_words:
+            starts, ends, _ = words(part, np.array([0, len(part)]))
+            return word_hashes(part, starts, ends), lambda x, y: body[starts[x] : ends[y - 1]]
+        return byte_units(part), lambda x, y: body[x:y]
+
+    def run(batches):
+        for b in batches:
+            rows: list[tuple] = []
+            for part, segment, anchor, body, second, n, rank in zip(*(c.to_pylist() for c in b.columns)):
+                units, text = pieces(body)
+                other = pieces(second)[1] if second is not None else None
+                prefix = prefix_hash(units)
+                gram = np.arange(len(units) - k + 1)
+                stands = np.flatnonzero(mix(span_hash(prefix, gram, gram + k)) == np.int64(anchor).view(np.uint64))
+                window = np.arange(len(units) - length + 1)
+                after = stands[np.searchsorted(stands, window)]
+                place = (after - window) // width
+                begin = np.flatnonzero(np.append(True, (after[1:] != after[:-1]) | (place[1:] != place[:-1])))
+                end = np.append(begin[1:], len(window)) - 1 + length
+                cut = span_hash(prefix, begin, end)
+                finer = mix(np.int64(anchor).view(np.uint64) ^ mix(place[begin].astype(np.uint64) * np.uint64(width) + np.uint64(width << 20)))
+                if alone:
+                    finer = mix(finer ^ cut)
+                for x, y, f, c in zip(begin.tolist(), end.tolist(), _signed(finer).tolist(), _signed(cut).tolist()):
+                    rows.append((part, segment, x, anchor, f, c, text(x, y), other(x, y) if other else None, n, rank))
+            names = ("part", "segment", "at", "anchor", "finer", "cut", "body", "second", "n", "rank")
+            kinds = (pa.int64(), pa.int64(), pa.int32(), *(pa.int64(),) * 3, pa.binary(), pa.binary(), pa.int64(), pa.int64())
+            yield _arrow(**{c: pa.array(v, t) for c, v, t in zip(names, zip(*rows) if rows else [()] * len(names), kinds)})
+
+    return run
 
 
 def _blocks(search, length: int, block: int):
@@ -126,7 +192,7 @@ def _blocks(search, length: int, block: int):
                     yield from search(rows, length)
                     rows, size = [], 0
                 rows.append(r)
-                size += len(r[2])
+                size += len(r[2]) + len(r[3] or b"")
         if rows:
             yield from search(rows, length)
 
@@ -136,19 +202,22 @@ def _blocks(search, length: int, block: int):
 def _found(rows, runs) -> pa.RecordBatch:
     """runs: (index in rows, least, from, to)."""
     at, least, start, end = zip(*runs) if runs else ((),) * 4
-    return _arrow(anchor=pa.array([rows[i][0] for i in at], pa.int64()), segment=pa.array([rows[i][1] for i in at], pa.int64()), least=pa.array(least, pa.int64()), **{"from": pa.array(start, pa.int32()), "to": pa.array(end, pa.int32())})
+    return _arrow(part=pa.array([rows[i][0] for i in at], pa.int64()), segment=pa.array([rows[i][1] for i in at], pa.int64()), least=pa.array(least, pa.int64()), **{"from": pa.array(start, pa.int32()), "to": pa.array(end, pa.int32())})
 
 
 def _by_bwt(rows, length):
-    yield _found(rows, [(i, 0, x, y) for i, x, y in repeated([r[2] for r in rows], length)])
+    """rows: (part, segment, body, second, n, rank). All bodies are merged, and all seconds, which are other occurrences of their bodies."""
+    strings = [r[2] for r in rows] + [r[3] for r in rows if r[3] is not None]
+    yield _found(rows, [(i, 0, x, y) for i, x, y in repeated(strings, length) if i < len(rows)])
 
 
 def _by_automaton(rows, length):
+    """The bodies, in the texts of smallest rank, are the reference; the seconds, and bodies that have none, are streamed."""
     lists = [r[2].split() for r in rows]
-    automaton = SuffixAutomaton([(w, r[4]) for w, r in zip(lists, rows)])
+    automaton = SuffixAutomaton([(w, r[5]) for w, r in zip(lists, rows)])
     runs: list[tuple] = []
-    for i, w in enumerate(lists):
-        for at, least in automaton.windows(w, length):
+    for i, (w, r) in enumerate(zip(lists, rows)):
+        for at, least in automaton.windows(w if r[3] is None else r[3].split(), length):
             if runs and runs[-1][:2] == (i, least) and runs[-1][3] == at + length - 1:
                 runs[-1] = (i, least, runs[-1][2], at + length)
             else:
@@ -156,33 +225,6 @@ def _by_automaton(rows, length):
     yield _found(rows, runs)
 
 
-def _windows(crowded: DataFrame, by_words: bool, length: int) -> DataFrame:
-    """The same for anchors of very many different segments: their windows are counted one by one, by two hashes of 64 bits."""
-    from .common import span_hash
-
-    def cut(batches):
-        for b in batches:
-            body = b.column(2)
-            for k in range(b.num_rows):
-                part, bounds = texts(body.slice(k, 1))
-                part = part[bounds[0] : bounds[1]]
-                units = byte_units(part)
-                if by_words:
-                    starts, ends, _ = words(part, np.array([0, len(part)]))
-                    units = word_hashes(part, starts, ends)
-                at = np.arange(len(units) - length + 1)
-                one = span_hash(prefix_hash(units), at, at + length)
-                two = span_hash(prefix_hash((units >> np.uint64(7)) * np.uint64(0x9FB21C651E98DF25) ^ units), at, at + length)
-                n = len(at)
-                whole = lambda c, k=k, n=n: pa.array([b.column(c)[k].as_py()] * n, pa.int64())
-                yield _arrow(anchor=whole(0), segment=whole(1), n=whole(3), rank=whole(4), one=_signed(one), two=_signed(two), at=at.astype(np.int32))
-
-    d = crowded.select("anchor", "segment", "body", "n", "rank").mapInArrow(cut, "anchor long, segment long, n long, rank long, one long, two long, at int")
-    counted = d.groupBy("one", "two").agg(F.sum("n").alias("total"), F.min("rank").alias("least")).filter("total > 1")
-    hits = d.select("anchor", "segment", "one", "two", "at").join(counted, ["one", "two"])
-    return hits.select("anchor", "segment", F.coalesce("least", F.lit(0)).alias("least"), F.col("at").alias("from"), (F.col("at") + length).alias("to"))
-
-
 def remove(docs: DataFrame, id_col: str, text_col: str, by_words: bool, length: int, k: int, carry=(), block: int = BLOCK, together: int = TOGETHER) -> DataFrame:
     """One row per row of docs: carry, n_units, n_removed, n_spans, kept_sha256 (of words: joined by one space) and kept_text (white space as it was).
 

@@ -1,5 +1,10 @@
+import random
+
+import pytest
+
 from concordia.llm import passages
-from concordia.llm.bwt import merged, repeated, shards
+from concordia.llm.automaton import SuffixAutomaton
+from concordia.llm.bwt import intervals, merged, repeated, shards
 
 from . import brute
 
@@ -21,7 +26,7 @@ def test_against_all_windows(spark):
     check(spark, brute.documents())
 
 
-def test_crowded_anchors_go_by_single_windows(spark):
+def test_crowded_anchors_are_dealt_out_finer(spark):
     check(spark, brute.documents(2), together=1)
 
 
@@ -38,24 +43,42 @@ def test_synthetic_documents(spark):
     check(spark, rows, "doc_id long, text string")
 
 
-def test_merge_equals_sorting():
-    strings = [s.encode() for s in ("banana", "ananas", "bananarama", "", "na" * 20, "nab")]
-    parts = shards(strings, 8)
-    assert len(parts) > 1
-    text = b"".join(p.tobytes() for p in parts)
-    position, group = merged(parts, 12)
-    cyclic = []
-    base = 0
-    for p in parts:
-        t = p.tobytes()
-        cyclic += [((t * 14)[i : i + 12], base + i) for i in range(len(t))]
-        base += len(t)
-    by_place = dict((b, a) for a, b in cyclic)
-    prefixes = [by_place[p] for p in position.tolist()]
-    want = sorted(p for p in by_place.values() if sum(q == p for q in by_place.values()) > 1)
-    assert prefixes == want and len(by_place) == len(text)
-    assert all((a == b) == (g == h) for a, b, g, h in zip(prefixes, prefixes[1:], group, group[1:]))
-    assert len(merged(parts, 11)[0]) >= len(position)
+def _common(a, b):
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+
+
+@pytest.mark.parametrize("limit", [1, 8, 1000])
+def test_merge_equals_sorting(limit):
+    strings = [s.encode() for s in ("banana", "ananas", "bananarama", "", "na" * 20, "nab", "banana")]
+    for depth in (1, 2, 3, 11, 12, 200):
+        parts = shards(strings, limit)
+        position, common = merged(parts, depth)
+        prefixes = [(p.tobytes()[i:] + p.tobytes() * depth)[:depth] for p in parts for i in range(len(p))]
+        ordered = [prefixes[i] for i in position.tolist()]
+        assert ordered == sorted(prefixes) and sorted(position) == list(range(len(prefixes)))
+        assert common.tolist() == [0, *map(_common, ordered, ordered[1:])]
+        twice = [sum(q == p for q in prefixes) > 1 for p in ordered]
+        assert intervals(common, depth).tolist() == twice
+
+
+def test_nothing_is_removed_beside_the_method(spark, monkeypatch):
+    """With a search that finds nothing, no byte and no word goes: no plainer path stands beside it."""
+    docs = spark.createDataFrame(brute.documents(4), brute.SCHEMA)
+    monkeypatch.setattr(passages, "_by_bwt", lambda rows, length: iter(()))
+    monkeypatch.setattr(passages, "_by_automaton", lambda rows, length: iter(()))
+    for together in (1, 1000):
+        for f in (passages.repeated_bytes, passages.repeated_words):
+            assert f(docs, together=together).agg({"n_removed": "sum"}).first()[0] == 0
+
+
+def test_automaton_against_all_windows():
+    r = random.Random(5)
+    lists = [([r.choice("abc") for _ in range(r.randint(0, 40))], rank) for rank in range(8)]
+    automaton = SuffixAutomaton(lists)
+    for n in (1, 3, 7):
+        for words in [w for w, _ in lists] + [[r.choice("abcd") for _ in range(60)]]:
+            want = [(i, min(ranks)) for i in range(len(words) - n + 1) if (ranks := [k for w, k in lists for j in range(len(w) - n + 1) if w[j : j + n] == words[i : i + n]])]
+            assert list(automaton.windows(words, n)) == want
 
 
 def test_repeats_within_one_string():

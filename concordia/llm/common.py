@@ -6,7 +6,9 @@ what ``bytes.split()`` and the pattern ``[^\\x20\\x09-\\x0D]+`` use.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -26,28 +28,28 @@ _powers = np.ones(1, _U)
 _inverse = np.ones(1, _U)
 
 
-def tuned(spark: SparkSession) -> SparkSession:
-    """Sends texts to Python in batches of a thousand rows: they are long, and a worker holds a batch a few times over."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    return spark
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return tuned(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def partitions(df: DataFrame, times: int = 1) -> int:
-    return int(tuned(df.sparkSession).conf.get("spark.sql.shuffle.partitions")) * times
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * times
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder, so that its lineage is cut and lost executors do no harm.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir. Only in local mode, and where it is unset, a temporary folder takes its place."""
+    home = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not home:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        home = tempfile.mkdtemp(prefix="checkpoint-")
+        spark.sparkContext.setCheckpointDir(home)
+    return home.rstrip("/")
 
-    The folder is the session's spark.checkpoint.dir; a temporary one is set only where none is.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, written to the shared checkpoint folder, so that its lineage is cut and lost executors do no harm."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -228,14 +230,26 @@ def covered(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts[begin], reach[np.append(begin[1:], len(starts)) - 1]
 
 
+_tables: set[str] = set()
+
+
+def _forget(spark: SparkSession, home: str) -> None:
+    """Deletes the folder of this application's tables, if its session still runs."""
+    if spark.sparkContext._jsc is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(home)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """df, written as a Parquet table in the shared checkpoint folder; for what is larger than a few rows a document."""
-    import uuid
+    """df, written as a Parquet table in the shared checkpoint folder; for what is larger than a few rows a document.
 
+    The tables of an application stand in one folder, which is deleted when the driver's Python ends.
+    """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    home = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    path = f"{home.rstrip('/')}/table-{uuid.uuid4().hex}"
+    home = f"{shared_folder(spark)}/tables-{spark.sparkContext.applicationId}"
+    if home not in _tables:
+        _tables.add(home)
+        atexit.register(_forget, spark, home)
+    path = f"{home}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

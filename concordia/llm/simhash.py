@@ -215,6 +215,16 @@ def links(nodes: DataFrame, bits: int = BITS, need: int = 0, group: int = GROUP)
     return first.filter("kind = 0").select("a", "b").unionByName(again.select("a", "b")).distinct()
 
 
+def linked_fingerprints(rows: DataFrame, first: str, bits: int = BITS) -> DataFrame:
+    """(a, b): the smallest ``first`` of all rows that their fp's links lead to, and that of each different fp linked to it."""
+    least = rows.groupBy("fp").agg(F.min(first).alias("first"))
+    nodes = least.select(F.col("fp").alias("node"), "fp", F.lit(0).cast("long").alias("sketch"), F.lit(0).alias("salt"))
+    classes = least.join(kept(components(links(nodes, bits))), F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    smallest = classes.groupBy("root").agg(F.min("first").alias("a"))
+    hubs = classes.join(smallest, "root").select(F.col("fp").alias("f"), "a")
+    return rows.join(hubs, F.col("fp") == F.col("f")).filter(F.col("a") != F.col(first)).select("a", F.col(first).alias("b"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
     """(id, fp, component_id) of every row: component_id is the smallest id that links lead to, its own included.
 
@@ -252,16 +262,19 @@ def hashed(text: bytes, n: int) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles(words, n)), _U)) if words else np.zeros(0, _U)
 
 
-def signature(hashes: np.ndarray) -> tuple[np.ndarray, int]:
-    """A key of each band of the MinHash values of some shingles, and one bit of each value."""
-    least = np.full(BANDS * ROWS, ~_U(0))
+def signature(hashes: np.ndarray) -> tuple[int, np.ndarray, int]:
+    """The SimHash of some different shingles, a key of each band of their MinHash values, and one bit of each value."""
+    least, ones = np.full(BANDS * ROWS, ~_U(0)), np.zeros(64, np.int64)
     for i in range(0, len(hashes), 4096):
-        x = (hashes[i : i + 4096] ^ _COINS) * _U(0xD6E8FEB86659FD93)
+        part = hashes[i : i + 4096]
+        ones += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        x = (part ^ _COINS) * _U(0xD6E8FEB86659FD93)
         least = np.minimum(least, ((x ^ (x >> _U(32))) * _U(0x9E3779B97F4A7C15)).min(axis=1))
+    simhash = int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
     keys = np.arange(BANDS, dtype=_U)
     for column in least.reshape(BANDS, ROWS).T:
         keys = mix(keys ^ column)
-    return keys, int.from_bytes(np.packbits((least >> _U(40)) & _U(1) == 1).tobytes(), "big")
+    return simhash, keys, int.from_bytes(np.packbits((least >> _U(40)) & _U(1) == 1).tobytes(), "big")
 
 
 def alike(s: np.ndarray, t: np.ndarray, similarity: float) -> bool:
@@ -336,35 +349,38 @@ def _every(parts: str):
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR["shingle"], similarity: float = NEAR["similarity"], need: int = NEAR["need"], group: int = GROUP, part: int = SLICE) -> DataFrame:
-    """(node, stays): the text hash of each different text that has near copies, and whether it's the one of its group that stays.
+    """(node, stays): the number of each different text that has near copies, and whether it's the one of its group that stays.
 
-    Texts that share a MinHash band of their shingles are put in one group, loosely: in bands of up to ``group`` texts by
-    their sketches, in larger ones all. Within a group the exact similarity of shingle sets links texts. A group of up to
+    docs needs ``node`` (see numbered()). Two indexes put texts in one group, loosely: the one-wildcard variants of their
+    SimHash, which find up to three differing bits, and bands of the MinHash values of the same shingles, which find
+    what a similarity of 0.8 moves further: in bands of up to ``group`` texts by their sketches, in larger ones all.
+    Within a group the exact similarity of shingle sets links texts. A group of up to
     ``part`` texts is compared by one task. A larger one is dealt into slices, which are linked within and to common guests;
     then each text outside the group's largest linked set is compared with all of the group. So no task holds more than
     two slices, and every pair of a group is compared or connected by links that were.
-    Of linked texts the one with the smallest id stays (the smallest hash where ids are equal or null). Texts without words
+    Of linked texts the one with the smallest id stays (the smallest number where ids are equal or null). Texts without words
     are copies of each other only if equal.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    named = docs.select(F.xxhash64(text).alias("node"), F.col(f"`{id_col}`").alias("id"), text.alias("text"))
+    named = docs.select("node", F.col(f"`{id_col}`").alias("id"), text.alias("text"))
 
     def sign(batches):
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
                 signed = [(n, *signature(h)) for n, t in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()) if len(h := hashed(t, shingle))]
-                node, keys, sketch = zip(*signed) if signed else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array([k.view(np.int64) for k in keys], pa.list_(pa.int64())), pa.array(np.array(sketch, _U).view(np.int64))], names=["node", "keys", "sketch"])
+                node, fp, keys, sketch = zip(*signed) if signed else ((), (), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(np.array(fp, _U).view(np.int64)), pa.array([k.view(np.int64) for k in keys], pa.list_(pa.int64())), pa.array(np.array(sketch, _U).view(np.int64))], names=["node", "fp", "keys", "sketch"])
 
-    signed = named.select("node", "text").mapInArrow(sign, "node long, keys array<long>, sketch long")
-    signed = stored(signed.groupBy("node").agg(F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
+    signed = named.select("node", "text").mapInArrow(sign, "node long, fp long, keys array<long>, sketch long")
+    signed = stored(signed.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
+    close = linked_fingerprints(signed, "node")
     keyed = signed.select("node", "sketch", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1")
     members = stored(keyed.join(shared, "key"))
     few = members.filter(F.col("n") <= group).select("key", F.lit(0).cast("long").alias("fp"), "node", "sketch").repartition(partitions(docs), "key").sortWithinPartitions("key").mapInArrow(_grouped(BITS, need, group, None), _OUT)
     many = members.filter((F.col("n") > group) & (F.col("node") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    loose = components(few.select("a", "b").unionByName(many))
+    loose = components(few.select("a", "b").unionByName(many).unionByName(close))
     parts = F.ceil(F.col("size") / F.lit(part)).cast("int").alias("p")
     sizes = loose.groupBy("root").agg(F.count("*").alias("size")).select("root", parts)
     placed = kept(loose.join(sizes, "root").join(signed.select("node", "sketch"), "node").select("root", "node", "sketch", "p", _part("node", "p").alias("slice")))
@@ -402,17 +418,33 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return first.join(best, "root").select("node", (F.col("best.node") == F.col("node")).alias("stays"))
 
 
-def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **near) -> DataFrame:
+def numbered(docs: DataFrame, text_col: str = "text", bits: int = 64) -> DataFrame:
+    """docs with ``node``, a number of its text (null: empty): equal texts have equal numbers, different ones different numbers.
+
+    The number is a hash of ``bits`` bits. Texts that clash in it, as a second hash of 64 bits tells, get a new number of both
+    hashes; there are n * n / 2**65 such numbers among n texts, so their list is broadcast.
+    """
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    both = docs.withColumns({"node": F.shiftright(F.xxhash64(text), 64 - bits), "_second": F.xxhash64(text, F.lit(SEED))})
+    seen = both.groupBy("node").agg(F.min("_second").alias("_low"), F.max("_second").alias("_high"))
+    clashes = kept(seen.filter("_low <> _high").select("node", F.lit(True).alias("_clash")))
+    if clashes.isEmpty():
+        return both.drop("_second")
+    both = both.join(F.broadcast(clashes), "node", "left")
+    return both.withColumn("node", F.when(F.col("_clash"), F.xxhash64("node", "_second")).otherwise(F.col("node"))).select(*docs.columns, "node")
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 64, **near) -> DataFrame:
     """docs without exact and near copies: of each group one row stays, of the smallest id; its columns are as they were.
 
     Equal rows are copies. Null and blank texts are copies only of texts with the same characters (null: empty).
     """
-    node = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    copies = kept(near_copies(docs, id_col, text_col, **near))
-    ids = docs.select(node.alias("node"), F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id")).alias("id"))
-    stay = ids.groupBy("node").agg(F.min("id").alias("id")).join(copies.filter("not stays"), "node", "left_anti")
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), node.alias("node"), F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id")).alias("id"))
-    one = rows.join(stay, ["node", "id"])
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").alias("of"), F.col(f"`{text_col}`").alias("text"))
+    own = numbered(own, "text", bits)
+    copies = kept(near_copies(own, "of", **near))
+    rows = own.withColumn("id", F.struct(F.col("of").isNull().alias("none"), F.col("of").alias("id")))
+    stay = rows.groupBy("node").agg(F.min("id").alias("id")).join(copies.filter("not stays"), "node", "left_anti")
+    one = rows.select("row", "node", "id").join(stay, ["node", "id"])
     # rows of equal text and id: the first of their few
     turn = Window.partitionBy("node", "id").orderBy(F.xxhash64("row"))
     return one.withColumn("turn", F.row_number().over(turn)).filter("turn = 1").select("row.*")

@@ -34,7 +34,9 @@ def test_near_copies(spark):
     for x in gone:
         assert any(x[1] == y[1] or near(x[1], y[1]) for y in rows if (y[0] is not None) and (x[0] is None or y[0] <= x[0]) and y is not x)
     missed = [(a, b) for i, a in enumerate(left) for b in left[:i] if (a.text or "").split() and (b.text or "").split() and near(a.text, b.text)]
-    assert len(missed) <= 1
+    assert not missed
+    # a number of few bits clashes for most texts: a second hash tells them apart, and the result stays
+    assert sorted(simhash.without_copies(docs, bits=3).collect(), key=repr) == sorted(left, key=repr)
 
 
 def test_edited_copies_of_one_text_all_leave(spark):

@@ -21,7 +21,9 @@ BUCKETS = 1 << 16
 LABELLED = 20_000
 SHARE = 0.5
 SEED = 8
-_BINS = 1 << 14
+_BINS = 1 << 12
+#: Rows that are ranked in one task to find the last ones of a sample.
+_FEW = 10_000
 
 
 def features(column: pa.Array):
@@ -98,31 +100,34 @@ def score(docs: DataFrame, weights: np.ndarray, carry: list[str], text_col: str
     return d.mapInArrow(run, f"{fields}, log_ratio double, mean double")
 
 
-def top_k(df: DataFrame, column: str, k: int, tie: str) -> DataFrame:
+def top_k(df: DataFrame, column: str, k: int, tie: str, few: int = _FEW) -> DataFrame:
     """df with ``selected``: whether the row is among the k largest of a column (ties by another), exactly, for any k.
 
-    Values are counted in bins (a bounded number) first; whole bins are taken, and only the rows of the bin that the
-    k-th value falls in are ranked.
+    Values are counted in bins, then those of the bin that the k-th value falls in, and so on, until at most ``few`` rows or
+    one value are left between the bounds: what is above is taken, and only what is between them is ranked.
+    Null values come last.
     """
-    low, high = df.agg(F.min(column), F.max(column)).first()
-    if low is None:
+    low, high, left = *df.agg(F.min(column), F.max(column)).first(), k
+    if low is None or k <= 0:
         return df.withColumn("selected", F.lit(False))
-    width = max(high - low, 1e-9)
-    place = F.least(F.floor((F.col(column) - low) / width * _BINS), F.lit(_BINS - 1)).cast("int")
-    sizes = dict(df.groupBy(place.alias("bin")).count().collect())
-    left, edge = k, -1
-    for b in sorted(sizes, reverse=True):
-        edge = b
-        if left <= sizes[b]:
+    value = F.coalesce(F.col(column), F.lit(low))
+    inside = (value >= F.lit(low)) & (value <= F.lit(high))
+    while True:
+        width = (high - low) / _BINS
+        place = F.least(F.floor((value - F.lit(low)) / F.lit(width)), F.lit(_BINS - 1)) if width > 0 else F.lit(0)
+        bins = df.filter(inside).groupBy(place.cast("int").alias("bin")).agg(F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high")).orderBy(F.desc("bin")).collect()
+        for edge in bins:
+            if left <= edge["n"]:
+                break
+            left -= edge["n"]
+        else:
+            return df.withColumn("selected", F.lit(True))
+        low, high = edge["low"], edge["high"]
+        inside = (value >= F.lit(low)) & (value <= F.lit(high))
+        if edge["n"] <= few or low == high:
             break
-        left -= sizes[b]
-    else:
-        left, edge = 0, -1
-    if k <= 0:
-        return df.withColumn("selected", F.lit(False))
-    marked = df.withColumn("_bin", place)
-    ranked = marked.filter(F.col("_bin") == edge).withColumn("_rank", F.row_number().over(Window.partitionBy("_bin").orderBy(F.desc(column), tie)))
-    return marked.filter(F.col("_bin") != edge).withColumn("selected", F.col("_bin") > edge).unionByName(ranked.withColumn("selected", F.col("_rank") <= left).drop("_rank")).drop("_bin")
+    ranked = df.filter(inside).withColumn("_rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(value), tie)))
+    return df.filter(~inside).withColumn("selected", value > F.lit(high)).unionByName(ranked.withColumn("selected", F.col("_rank") <= left).drop("_rank"))
 
 
 def gumbel(id_col: str, seed: int = SEED):

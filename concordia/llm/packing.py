@@ -1,8 +1,9 @@
 """Best-fit packing of token sequences, improved by swaps.
 
 Lengths are small whole numbers, so a packing is planned over how many pieces there are of each length:
-bins of equal content are one pattern with a multiplicity. The plan's size depends on the capacity,
-not on the corpus; pieces then find their places by their rank among those of their length.
+bins of equal content are one pattern with a multiplicity. Best fit makes the first plan, whose size depends on the
+capacity, not on the corpus; the local search then empties bins of it. Pieces find their places by their rank among those
+of their length.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
+from heapq import heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +24,10 @@ from .common import kept
 
 CAPACITY = 2048
 SALTS = 64
-#: Rounds of the local search, and patterns that one tries to empty.
-ROUNDS = 20
-TRIED = 256
+#: Steps of the local search, patterns that a plan may have after it, and patterns of one room whose pairs are tried.
+STEPS = 50_000
+PATTERNS = 20_000
+PAIRS = 16
 _CACHE = 200_000
 _loaded: dict = {}
 
@@ -170,21 +174,88 @@ def best_fit(counts: dict[int, int], capacity: int) -> Counter:
     return out
 
 
-def _exchange(a: tuple[int, ...], b: tuple[int, ...], capacity: int):
-    """The best exchange that fills b from a, which is less full: (out of a, out of b), or None.
+class _Underfull:
+    """The bins of a plan that have room, as patterns with multiplicities, found by what they hold."""
+
+    def __init__(self, plan: Counter, capacity: int):
+        self.plan, self.capacity = plan, capacity
+        self.holding: dict[int, dict[int, dict]] = {}  # by size, by room: the patterns, in order of entry
+        self.rooms: dict[int, dict] = {}  # by room
+        self.queue: list = []  # (fill, pattern), least full first
+        for bins in sorted(plan):
+            self._enter(bins)
+
+    def _enter(self, bins: tuple[int, ...]) -> None:
+        room = self.capacity - sum(bins)
+        if room:
+            self.rooms.setdefault(room, {})[bins] = None
+            for size in set(bins):
+                self.holding.setdefault(size, {}).setdefault(room, {})[bins] = None
+            heappush(self.queue, (sum(bins), bins))
+
+    def _leave(self, bins: tuple[int, ...]) -> None:
+        room = self.capacity - sum(bins)
+        if room:
+            for by, size in [(self.rooms, None), *((self.holding[x], x) for x in set(bins))]:
+                del by[room][bins]
+                if not by[room]:
+                    del by[room]
+                    if size is not None and not by:
+                        del self.holding[size]
+
+    def add(self, bins: tuple[int, ...], n: int) -> None:
+        if not bins or not n:
+            return
+        if not self.plan[bins]:
+            self._enter(bins)
+        self.plan[bins] += n
+        if not self.plan[bins]:
+            del self.plan[bins]
+            self._leave(bins)
+
+    def least(self):
+        """The least full pattern, or None."""
+        while self.queue and not self.plan.get(self.queue[0][1]):
+            heappop(self.queue)
+        return self.queue[0][1] if self.queue else None
+
+    def _other(self, patterns: dict, giver: tuple[int, ...]):
+        """A pattern at least as full as the giver; the giver's own if it has two bins."""
+        for bins in patterns:
+            if sum(bins) >= sum(giver) and (bins != giver or self.plan[giver] > 1):
+                return bins
+        return None
+
+    def exchange(self, giver: tuple[int, ...]):
+        """(bins, out of the giver, out of the bins): what fills another bin most of all a giver's moves, one-for-one and two-for-one exchanges; None if there's none.
+
+        What a bin gains is at most its room: so of all rooms, and of what is left of a piece without what is taken back,
+        the largest gain is looked up. Pairs are only tried where neither a move nor one piece fills a bin to the brim.
+        """
+        best, gain, most = None, 0, max(self.rooms)
+        for x in sorted(set(giver), reverse=True):
+            for wanted in range(min(x, most), gain, -1):
+                by_room = self.rooms if wanted == x else self.holding.get(x - wanted, {})
+                if bins := next((b for room in by_room if room >= wanted and (b := self._other(by_room[room], giver))), None):
+                    best, gain = (bins, (x,), () if wanted == x else (x - wanted,)), wanted
+                    break
+        if best is None or self.capacity - sum(best[0]) > gain:
+            for x in sorted(set(giver), reverse=True):
+                for room, patterns in self.rooms.items():
+                    for bins in islice(patterns, PAIRS):
+                        if sum(bins) >= sum(giver) and (bins != giver or self.plan[giver] > 1):
+                            # to the brim; if nothing else was found, as far as it goes
+                            for wanted in range(min(room, x), gain if best is None else max(gain, room - 1), -1):
+                                if pair := _pair(bins, x - wanted):
+                                    best, gain = (bins, (x,), pair), wanted
+                                    break
+        return best
 
-    Gains in squared fill grow with what b gains. A move gives b one of a's; one-for-one and two-for-one also take
-    one or two of b's back, smaller together than what they're given for.
-    """
-    room, best, gain = capacity - sum(b), None, 0
-    backs = {(): 0, **{(y,): y for y in set(b)}}
-    few = sorted(set(b))[:24]
-    backs |= {(y, z): y + z for i, y in enumerate(few) for z in few[i:] if y != z or b.count(y) > 1}
-    for x in set(a):
-        for back, size in backs.items():
-            if gain < x - size <= room:
-                best, gain = ((x,), back), x - size
-    return best
+
+def _pair(bins: tuple[int, ...], total: int) -> tuple[int, int] | None:
+    """Two of the bins' pieces that have a total length."""
+    sizes = set(bins)
+    return next(((y, total - y) for y in sizes if total - y in sizes and (2 * y != total or bins.count(y) > 1)), None)
 
 
 def _swap(bins: tuple[int, ...], out: tuple[int, ...], into: tuple[int, ...]) -> tuple[int, ...]:
@@ -194,35 +265,39 @@ def _swap(bins: tuple[int, ...], out: tuple[int, ...], into: tuple[int, ...]) ->
     return tuple(sorted([*left, *into], reverse=True))
 
 
-def improve(plan: Counter, capacity: int, rounds: int = ROUNDS, tried: int = TRIED) -> Counter:
+def improve(plan: Counter, capacity: int, steps: int = STEPS, patterns: int = PATTERNS) -> Counter:
     """Empties the least full bins by moves, one-for-one and two-for-one exchanges with other underfull bins.
 
-    Each exchange makes the fuller bin fuller, so the sum of squared fills grows and the search ends. It works on
-    patterns, as many bins at once as both have. It stops when the tokens need as many bins as there are.
+    The least full bin gives, in each step by the exchange that gains most, what makes a fuller bin fuller: so the sum of
+    squared fills grows with each, and the search ends. A step takes as many bins of both patterns at once as
+    there are. It also ends where the tokens need as many bins as there are, after ``steps`` steps, or at
+    ``patterns`` patterns: the plan is valid after every step, so this only leaves bins that might have been emptied.
     """
     plan = Counter({b: n for b, n in plan.items() if n})
-    total = sum(sum(b) * n for b, n in plan.items())
-    least = -(-total // capacity)
-    for _ in range(rounds):
-        if sum(plan.values()) <= least:
-            break
-        before = sum(sum(b) ** 2 * n for b, n in plan.items())
-        for a in sorted((b for b in plan if sum(b) < capacity), key=lambda b: (sum(b), b))[:tried]:
-            while plan.get(a):
-                others = sorted((b for b in plan if sum(a) <= sum(b) < capacity and (b != a or plan[a] > 1)), key=lambda b: (-sum(b), b))[: 4 * tried]
-                found = next(((b, x) for b in others if (x := _exchange(a, b, capacity))), None)
-                if not found:
-                    break
-                b, (out, back) = found
-                n = plan[a] // 2 if a == b else min(plan[a], plan[b])
-                for old, new in ((a, _swap(a, out, back)), (b, _swap(b, back, out))):
-                    plan[old] -= n
-                    if not plan[old]:
-                        del plan[old]
-                    if new:
-                        plan[new] += n
-        if sum(sum(b) ** 2 * n for b, n in plan.items()) <= before:
+    least, bins = -(-sum(sum(b) * n for b, n in plan.items()) // capacity), sum(plan.values())
+    state, stuck = _Underfull(plan, capacity), []
+    for _ in range(steps):
+        giver = state.least()
+        if bins <= least or giver is None or len(plan) >= patterns:
             break
+        found = state.exchange(giver)
+        if found is None:
+            heappop(state.queue)  # nothing that it holds fits elsewhere; it's looked at again when the search has changed other bins
+            stuck.append(giver)
+            if len(stuck) > 64:
+                break
+            continue
+        for x in stuck:
+            heappush(state.queue, (sum(x), x))
+        stuck = []
+        other, out, back = found
+        n = plan[giver] // 2 if other == giver else min(plan[giver], plan[other])
+        state.add(giver, -n)
+        state.add(other, -n)
+        left = _swap(giver, out, back)
+        state.add(left, n)
+        state.add(_swap(other, back, out), n)
+        bins -= 0 if left else n
     return plan
 
 
@@ -240,10 +315,12 @@ def slots(plan: Counter) -> dict[str, np.ndarray]:
     return {"key": (size << 48) | first, "first": first, "base": base_of, "offset": at}
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = CAPACITY, steps: int = STEPS) -> DataFrame:
     """cut (from pieces()) with sequence_id and offset: a packing into few sequences of at most capacity, gapless from 0.
 
-    Only the number of pieces of each length comes to the driver, at most capacity numbers. Pieces of one length are
+    No pieces, no rows; a column of cut that isn't pieces()' own is passed on, but not one named salt, rank, ahead or n.
+    Only the number of pieces of each length comes to the driver, at most capacity numbers; the plan's slots, a number that
+    depends on the capacity and PATTERNS and not on the corpus, are broadcast. Pieces of one length are
     interchangeable; their ranks are counted in slices of (length, hash), so a length that a third of them has is no
     more work for a task. Equal rows get places of their own.
     """
@@ -254,12 +331,13 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> Data
     ahead = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counted = kept(counted.select("length", "salt", ahead.alias("ahead"), "n"))
     counts = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    where = slots(improve(best_fit(counts, capacity), capacity, rounds))
+    plan = cut.sparkSession.sparkContext.broadcast(slots(improve(best_fit(counts, capacity), capacity, steps)))
     inside = Window.partitionBy("length", "salt").orderBy("id", "piece", "ids_crc32")
     ranked = salted.withColumn("rank", F.row_number().over(inside) - 1).join(F.broadcast(counted.drop("n")), ["length", "salt"])
     ranked = ranked.select(*cut.columns, (F.col("rank") + F.col("ahead")).alias("rank"))
 
     def place(batches):
+        where = plan.value
         for b in batches:
             size, rank = (b.column(b.schema.names.index(c)).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
             at = np.searchsorted(where["key"], (size.astype(np.int64) << 48) | rank, "right") - 1

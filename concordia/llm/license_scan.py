@@ -11,26 +11,24 @@ of a template's shingles that the document holds.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .licenses import TEMPLATES
+
 SHINGLE = 5
 SPAN = 3
 BANDS = 16
 CONTAINMENT = 0.8
-
-#: Notices that name a license, and the openings of common license texts.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-    "BSD-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-}
-
+#: Share of a template's windows that are indexed. A changed word takes five shingles and spoils the nine windows that a document's
+#: window could be aligned to; a fifth of the shingles may be missing, so 0.36 of the windows at most are spoilt.
+FRONT = 0.36
+#: Band values of templates that one pass over the documents looks for.
+BLOCK = 8_000
+#: The table that band values are looked up in has 2**SLOTS bytes.
+SLOTS = 17
 
 def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
@@ -56,27 +54,49 @@ def bands(s: Column, step: int, span: int = SPAN, k: int = BANDS, exact: bool =
 
 def template_table(spark: SparkSession, templates=None) -> DataFrame:
     """(license, t_shingles, t_bands) of the templates; those of fewer than SHINGLE words can't be found."""
-    rows = spark.createDataFrame([*(templates or TEMPLATES).items()], "license string, body string")
+    rows = spark.createDataFrame([*(TEMPLATES if templates is None else templates).items()], "license string, body string")
     t = rows.select("license", F.array_distinct(shingles(words(F.col("body")))).alias("t_shingles")).filter(F.size("t_shingles") > 0)
-    return t.select("license", "t_shingles", F.array_distinct(bands(F.col("t_shingles"), 1, exact=True)).alias("t_bands"))
+    front = F.slice("t_shingles", F.lit(1), F.ceil(F.size("t_shingles") * FRONT).cast("int") + SPAN + 2)
+    return t.select("license", "t_shingles", F.array_distinct(bands(front, 1, exact=True)).alias("t_bands"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=None, containment: float = CONTAINMENT) -> DataFrame:
     """One row per row of docs and template that it holds: id, license, containment, n_found, n_shingles.
 
-    Null, empty and short texts hold nothing; equal rows each get their own; other columns aren't read. The template
-    list is a parameter of the call, some kilobytes, so it is read once on the driver and put into the plan as
-    literals: documents are never shuffled, and only those that share a band with a template go on.
+    Null, empty and short texts hold nothing; equal rows each get their own; other columns aren't read; no rows or no
+    templates, no result. The template list is a parameter of the call. A table of its bands (128 KB) goes into the plan, in blocks of
+    at most BLOCK of them, each a pass over docs: documents are never shuffled, and only those that may share a band go on, to an
+    equality join on bands. A document that shares several bands with a template goes on by the smallest of them.
     """
-    t = template_table(docs.sparkSession, templates)
-    known = t.collect()
-    all_bands = F.array(*map(F.lit, sorted({b for r in known for b in r["t_bands"]}))).cast("array<bigint>")
+    blocks: list[list] = [[]]
+    for r in sorted(template_table(docs.sparkSession, templates).collect()):
+        if blocks[-1] and sum(len(x["t_bands"]) for x in blocks[-1]) + len(r["t_bands"]) > BLOCK:
+            blocks.append([])
+        blocks[-1].append(r)
     s = docs.select(F.col(f"`{id_col}`").alias("id"), words(F.col(f"`{text_col}`")).alias("w")).select("id", shingles(F.col("w")).alias("s"))
+    return reduce(DataFrame.unionByName, (_found(s, b, id_col, containment) for b in blocks))
+
+
+def _maybe(known: list[int]):
+    """A test of band values that no known one fails, and few others pass: three bytes of a table of 2**SLOTS, a literal of the plan, must be 1."""
+    table, mask, shifts = bytearray(1 << SLOTS), (1 << SLOTS) - 1, (0, 21, 42)
+    for x in known:
+        for k in shifts:
+            table[(x & (1 << 64) - 1) >> k & mask] = 1
+    one, of = F.lit(bytearray(b"\x01")), F.lit(table)
+    at = lambda x, k: F.shiftrightunsigned(x, k).bitwiseAND(F.lit(mask)).cast("int") + 1
+    return lambda x: (F.substring(of, at(x, 0), 1) == one) & (F.substring(of, at(x, 21), 1) == one) & (F.substring(of, at(x, 42), 1) == one)
+
+
+def _found(s: DataFrame, templates: list, id_col: str, containment: float) -> DataFrame:
+    t = s.sparkSession.createDataFrame(templates, "license string, t_shingles array<bigint>, t_bands array<bigint>")
+    known = sorted({x for r in templates for x in r["t_bands"]})
     # a filter on the bands would be pushed below their projection and compute them again; a null from explode_outer isn't
-    found = F.filter(F.array(F.array_intersect(bands(F.col("s"), SPAN), all_bands)), lambda x: F.size(x) > 0)
+    found = F.filter(F.array(F.array_distinct(F.filter(bands(F.col("s"), SPAN), _maybe(known)))), lambda x: F.size(x) > 0)
     near = s.select("id", "s", F.explode_outer(found).alias("found")).filter(F.col("found").isNotNull())
-    near = near.select("id", "found", F.array_distinct("s").alias("s"))
-    pairs = near.join(F.broadcast(t), F.arrays_overlap("found", "t_bands"))
+    near = near.select("id", "found", F.array_distinct("s").alias("s"), F.explode("found").alias("band"))
+    pairs = near.join(t.select("license", "t_shingles", "t_bands", F.explode("t_bands").alias("band")), "band")
+    pairs = pairs.filter(F.col("band") == F.array_min(F.array_intersect("found", "t_bands")))
     pairs = pairs.select("id", "license", F.size(F.array_intersect("s", "t_shingles")).cast("long").alias("n_found"), F.size("t_shingles").cast("long").alias("n_shingles"))
     share = F.col("n_found") / F.col("n_shingles")
     return pairs.select(F.col("id").alias(id_col), "license", share.alias("containment"), "n_found", "n_shingles").filter(F.col("containment") >= containment)

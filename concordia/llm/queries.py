@@ -28,7 +28,9 @@ def op3_substring_dedup(spark, sf_dir):
 
 
 def op4_quality_rules(spark, sf_dir):
-    return quality_rules.compression_bands(table(spark, sf_dir, "documents"))
+    """Limits are fitted to at most 20,000 labelled rows; every document is judged."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.compression_bands(docs, bands=quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op5_syncmer_fingerprints(spark, sf_dir):
@@ -62,6 +64,7 @@ QUERIES = {f.__name__: f for f in (op1_language_id, op2_suffix_array_dedup, op3_
 
 _WORDS = "[^\\x20\\x09-\\x0D]+"
 _BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+_TEMPLATES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in license_scan.TEMPLATES.items())
 _ORDER = "ORDER BY 3 * source_size / weight, weight, source NULLS LAST"
 
 #: What SQL can express; the others are held against brute-force versions in tests/llm.
@@ -76,7 +79,7 @@ o AS (SELECT d.doc_id, d.size, g.* EXCLUDE (source), coalesce(sum(d.size) OVER (
 p AS (SELECT *, (a + b) / 2 * least((ahead + size / 2) / greatest(goal, 1), 1.0::double) AS area, (b - a) / 2 AS bend FROM o)
 SELECT doc_id, size, source_size, target, passes * size + greatest(0, least(size, goal - passes * source_size - ahead)) AS taken,
 round(CASE WHEN area <= 0 THEN 0.0::double ELSE least(1.0::double, 2 * area / (a + sqrt(greatest(a * a + 4 * bend * area, 0.0::double)))) END, 6) AS first_position FROM p""",
-    "op10_license_scan": f"""WITH t(license, body) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in license_scan.TEMPLATES.items())}),
+    "op10_license_scan": f"""WITH t(license, body) AS (VALUES {_TEMPLATES}),
 tw AS (SELECT license, regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}]+') AS w FROM t), ts AS (SELECT DISTINCT license, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM tw),
 n AS (SELECT license, count(*) AS n_shingles FROM ts GROUP BY 1), dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
 ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM dw),

@@ -136,11 +136,32 @@ def test_syncmers(docs, empty, spark):
 
 def test_syncmers_do_not_depend_on_context(spark):
     w = [f"w{i * 7 % 53}x{i}" for i in range(60)]
-    rows = [(1, " ".join(w)), (2, " ".join(["other", *w[20:40], "words"]))]
+    rows = [(1, " ".join(w)), (2, " ".join(["other", *w[20:40], "words"])), (3, " ".join(w[20:40]))]
     d = syncmers.with_fingerprint(spark.createDataFrame(rows, "doc_id long, text string"), F.col("text"), "f", 1000)
-    inner = syncmers.with_fingerprint(spark.createDataFrame([(3, " ".join(w[20:40]))], "doc_id long, text string"), F.col("text"), "f", 1000).first().f
-    a, b = (set(r.f) for r in d.orderBy("doc_id").collect())
-    assert inner and set(inner) <= a and set(inner) <= b
+    a, b, inner = ({(x.h, x.p) for x in r.f.anchors} for r in d.orderBy("doc_id").collect())
+    assert inner and {(h, p + 20) for h, p in inner} <= a and {(h, p + 1) for h, p in inner} <= b
+
+
+def test_likeness_against_plain_matching(spark):
+    r = np.random.default_rng(9)
+    word = lambda n: [f"v{x}" for x in r.integers(0, 400, n)]
+    base = word(3000)
+    texts = [base, base[:2000] + word(900), base[1500:] + base[:1500], word(50), base[:40], [], ["one"], ["ab"] * 500, base]
+    rows = [(i, " ".join(a), " ".join(b)) for i, (a, b) in enumerate((a, b) for a in texts for b in texts)]
+    d = spark.createDataFrame(rows, "i long, x string, y string").repartition(4)
+    d = syncmers.with_likeness(syncmers.with_fingerprint(syncmers.with_fingerprint(d, F.col("x"), "a"), F.col("y"), "b"), "a", "b", "near")
+    for row in d.collect():
+        bits = max(row.a.bits, row.b.bits)
+        x, y = ({z.h: z.p for z in f.anchors if z.h % 2**bits == 0} for f in (row.a, row.b))
+        assert len(row.a.anchors) == len({z.h for z in row.a.anchors}) <= 160
+        moved = sorted(y[h] - p for h, p in x.items() if h in y)
+        drift = max(16.0, 0.02 * max([*x.values(), *y.values(), 0]))
+        n = sum(abs(m - moved[(len(moved) - 1) // 2]) <= drift for m in moved)
+        want = 1.0 if not row.a.anchors and not row.b.anchors else n / max(1, len(x) + len(y) - n)
+        assert row.near == pytest.approx(want)
+        assert row.x != row.y or row.near == 1.0
+    near = {(r.i // len(texts), r.i % len(texts)): r.near for r in d.select("i", "near").collect()}
+    assert near[0, 1] > 0.4 and 0.2 < near[0, 2] < 0.8 and near[0, 3] == 0
 
 
 def test_importance(docs, empty, spark):
@@ -168,3 +189,128 @@ def test_license_scan(docs, empty, spark):
     assert found >= {(i, n) for i, n in enumerate(license_scan.TEMPLATES)} | {(53, [*license_scan.TEMPLATES][2])}
     assert not {d for d, _ in found} & {50, 51, 52}
     assert license_scan.scan(docs).count() == 0 and license_scan.scan(empty).count() == 0
+
+
+def test_language_id_cases(spark):
+    rows = [(1, "the cat and the dog " * 30, "en"), (2, "der hund und die katze " * 30, "de"), (3, "der hund und die katze " * 30, "dd"), (4, None, "en"), (5, "", None)]
+    learned = kept(language_id.profiles(spark.createDataFrame(rows, "doc_id long, text string, lang string").filter("lang is not null"), "text", "lang"))
+    asked = [(1, "the dog", "x"), (1, "the dog", "x"), (2, "katze " * 60_000, None), (3, None, "de"), (4, "12 34 ...", "de"), (None, "und die", "en"), (6, "\u5b57\u5b57", "en")]
+    docs = spark.createDataFrame(asked, "doc_id long, text string, lang_pred string")
+    got = sorted(((r.doc_id or 0, r.lang_pred) for r in language_id.identify(docs.select("doc_id", "text"), learned, ["doc_id"]).collect()), key=repr)
+    # dd and de have equal profiles: the first in order wins
+    assert got == sorted([(1, "en"), (1, "en"), (2, "dd"), (3, "und"), (4, "und"), (0, "dd"), (6, got[-1][1])], key=repr) and got[-1][1] != "und"
+    assert language_id.identify(docs.filter("false").select("doc_id", "text"), learned, ["doc_id"]).count() == 0
+    assert {r.lang_pred for r in language_id.identify(docs.select("doc_id", "text"), learned.filter("false"), ["doc_id"]).collect()} == {"und"}
+
+
+def test_language_id_on_held_out_documents(spark):
+    from concordia.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    got = queries.op1_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null and lang_pred <> 'und'").collect()
+    assert len(got) > 20 and sum(r.lang_pred == r.lang for r in got) >= 0.97 * len(got)
+
+
+def test_importance_against_plain_counts(docs, spark):
+    """Weights, ratios and the sample, from buckets of single words, pairs and edges counted one by one."""
+    from collections import Counter
+    from math import log
+
+    import pyarrow as pa
+
+    def bucket(words):
+        """The last bucket of a few words' own features: of one word it's the word's, of two the pair's comes before two edges."""
+        found = next(b for _, _, b, _ in importance.features(pa.array([b" ".join(words).decode()])))
+        return int(found[{1: 0, 2: 2}[len(words)]])
+
+    def buckets(text):
+        w = (text or "").encode().split()
+        whole = [x.tolist() for _, _, x, _ in importance.features(pa.array([text], pa.string()))]
+        whole = whole[0] if whole else []
+        plain = [bucket([x]) for x in w] + [bucket(w[i : i + 2]) for i in range(len(w) - 1)]
+        assert whole[: len(plain)] == plain and len(whole) == max(0, len(plain) + len(w))
+        return whole
+
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(40)], "doc_id long, quality int")
+    chosen = {r["_id"]: r for r in importance.labelled(labels, "doc_id", "quality").collect()}
+    raw, target = Counter(), Counter()
+    mine = {}
+    for d, t in pairs(docs):
+        b = mine[d, t] = mine.get((d, t)) or buckets(t) if len((t or "").split()) < 3000 else [x.tolist() for _, _, x, _ in importance.features(pa.array([t], pa.string()))][0]
+        raw.update(b)
+        if d in chosen and chosen[d]["good"] == 1 and chosen[d]["fold"] == 0:
+            target.update(b)
+    n, m, k = sum(raw.values()), sum(target.values()), importance.BUCKETS
+    share = lambda x: (raw[x] + 1) / (n + k)
+    weight = lambda x: log((target[x] + k * share(x)) / (m + k) / share(x))
+    weights, cut = importance.fit(docs, labels)
+    assert all(weights[x] == pytest.approx(weight(x)) for x in list(raw)[:500])
+    got = importance.resample(docs, labels)
+    rows = got.collect()
+    want = [sum(map(weight, b)) for b in mine.values()]
+    assert {round(r.log_ratio, 6) for r in rows} == {round(x, 6) for x in want}
+    assert all(r.kept == (r.mean >= cut) for r in rows)
+    best = sorted(r.gumbel_key for r in rows)[-(len(rows) // 2) :]
+    assert sorted(r.gumbel_key for r in rows if r.selected) == best
+
+
+@pytest.mark.parametrize("few", [1, 7, 10_000])
+def test_top_k_with_outliers_and_ties(spark, few):
+    values = [1e12, -1e9, *(i / 977 for i in range(500)), *[0.25] * 60, None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v double").repartition(3)
+    for k in (0, 1, 2, 100, 300, 420, len(values) - 1, len(values), 10_000):
+        got = {r.i for r in importance.top_k(df, "v", k, "i", few).filter("selected").collect()}
+        low = min(v for v in values if v is not None)
+        assert got == set(sorted(range(len(values)), key=lambda i: (-(low if values[i] is None else values[i]), i))[:k])
+
+
+def test_bands_are_fitted_to_good_texts(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").select("doc_id", "text", "quality").collect()]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    bands = quality_rules.fit(docs, labels)
+    quality = {r[0]: r[2] for r in rows}
+    judged = [(quality[r.doc_id], r.kept) for r in quality_rules.compression_bands(docs, bands=bands).collect() if not r.base_failed]
+    share = lambda q: sum(k for g, k in judged if g == q) / sum(g == q for g, _ in judged)
+    assert share(1) > 0.95 and share(0) < 0.4
+    assert quality_rules.fit(docs, labels.filter("false")) == quality_rules.BANDS
+
+
+def test_local_search_empties_bins():
+    import random
+    from collections import Counter
+
+    r, gap, emptied = random.Random(3), 0, 0
+    for _ in range(400):
+        capacity = r.choice([10, 20, 50])
+        counts = Counter(r.randint(1, capacity) if r.random() < 0.5 else r.randint(capacity // 5, capacity // 2) for _ in range(r.randint(3, 30)))
+        first = packing.best_fit(counts, capacity)
+        better = packing.improve(first, capacity)
+        pieces = Counter()
+        for bins, n in better.items():
+            assert sum(bins) <= capacity and n > 0
+            for x in bins:
+                pieces[x] += n
+        assert pieces == counts and sum(sum(b) ** 2 * n for b, n in better.items()) >= sum(sum(b) ** 2 * n for b, n in first.items())
+        gap += sum(first.values()) + sum(-k * v for k, v in counts.items()) // capacity
+        emptied += sum(first.values()) - sum(better.values())
+    assert emptied >= 10 and gap > emptied
+    # one at a time: swaps alone fill both bins
+    assert sum(packing.improve(Counter({(6, 3): 1, (5, 4): 1, (2,): 1}), 10).values()) == 2
+
+
+def test_license_containment_at_its_bound(spark):
+    words = license_scan.TEMPLATES["MIT-text"].split()
+    n = len(words)
+    cut = lambda share: " ".join(words[: int(n * share)])
+    rows = [(1, cut(0.9)), (2, cut(0.7)), (3, "before it " + " ".join(words) + " after"), (3, "before it " + " ".join(words) + " after"), (4, " ".join(f"x{i}" if i % 40 == 3 else w for i, w in enumerate(words)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.containment) for r in license_scan.scan(docs).filter("license = 'MIT-text'").collect()]
+    assert sorted(d for d, _ in got) == [1, 3, 3, 4] and all(c >= 0.8 for _, c in got)
+    for block in (1, 10**6):
+        license_scan.BLOCK, old = block, license_scan.BLOCK
+        try:
+            assert license_scan.scan(docs).count() == license_scan.scan(docs.filter("true")).count() == len(got) + license_scan.scan(docs).filter("license <> 'MIT-text'").count()
+        finally:
+            license_scan.BLOCK = old
+    assert license_scan.scan(docs, templates={}).count() == 0

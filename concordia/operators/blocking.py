@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from concordia.functions.similarity import CONFUSABLE, qgrams
 from concordia.functions.transforms import norm_plate
 
-STRATEGIES = ("index", "size", "prefix", "position")
+STRATEGIES = ("none", "index", "size", "prefix", "position")
 
 
 def tokens(df: DataFrame, key: str, q: int = 2) -> DataFrame:
@@ -45,6 +45,11 @@ def candidates(reads: DataFrame, read: str, registry: DataFrame, key: str, strat
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}")
+    if strategy == "none":
+        # the reads are the fixed query set of a comparison with all keys: for measuring what the others lose
+        x = reads.select(norm_plate(F.col(read)).alias("read")).filter("read <> ''").distinct()
+        y = registry.select(norm_plate(F.col(key)).alias("key")).filter("key <> ''").distinct()
+        return x.crossJoin(y).withColumn("shared", F.size(F.array_intersect(qgrams(F.col("read"), q), qgrams(F.col("key"), q))).cast("long"))
     y = index(registry, key, q)
     x = probe(reads, read, y, q)
     a = x.select(F.col("key").alias("read"), "token", F.col("pos").alias("xp"), F.col("n").alias("nx"))
@@ -61,11 +66,11 @@ def candidates(reads: DataFrame, read: str, registry: DataFrame, key: str, strat
     pairs = a.filter(F.col("xp") <= front(F.col("nx"))).join(b.filter(F.col("yp") <= front(F.col("ny")) + slack), "token").filter(near)
     if strategy == "position":
         # what may follow a hit can't be more than what is left of either
-        pairs = pairs.filter(F.col("xp") - 1 <= F.col("nx")).groupBy("read", "key", "nx", "ny").agg(F.count("*").alias("hits"), F.max("xp").alias("xp"), F.max("yp").alias("yp"))
+        pairs = pairs.groupBy("read", "key", "nx", "ny").agg(F.count("*").alias("hits"), F.max("xp").alias("xp"), F.max("yp").alias("yp"))
         pairs = pairs.filter(F.col("hits") + F.least(F.col("nx") - F.col("xp"), F.col("ny") - F.col("yp")) >= bound)
-    pairs = pairs.select("read", "key").distinct()
-    shared = pairs.join(a.select("read", "token", "nx"), "read").join(b.select("key", "token", "ny"), ["key", "token"])
-    return shared.groupBy("read", "key", "nx", "ny").agg(F.count("*").alias("shared")).filter(F.col("shared") >= bound).select("read", "key", "shared")
+    # what a pair has in common is told by its two texts: the index isn't read again
+    shared = F.size(F.array_intersect(qgrams(F.col("read"), q), qgrams(F.col("key"), q))).cast("long")
+    return pairs.select("read", "key", "nx", "ny").distinct().withColumn("shared", shared).filter(F.col("shared") >= bound).select("read", "key", "shared")
 
 
 def retrieve(reads: DataFrame, read: str, registry: DataFrame, key: str, edits: int = 2, q: int = 2) -> DataFrame:
@@ -102,18 +107,55 @@ def variants(c: Column, limit: int = 12) -> Column:
     return F.slice(F.array_distinct(F.concat(F.array(c), F.flatten(F.transform(at, swap)))), 1, limit)
 
 
-def deletes(c: Column) -> Column:
-    """The text and all versions with one character less: texts within one edit share one."""
-    return F.array_distinct(F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))))
+def readings(c: Column, limit: int = 64, replaced: int = 8) -> Column:
+    """The key and its versions with one, two, ... up to ``replaced`` confusable characters replaced: fewest first, then by place; at most ``limit`` (512 at most)."""
+    if not 1 <= limit <= 512:
+        raise ValueError("a source takes 1 to 512 versions")
+    options = F.create_map(*(F.lit(x) for k, v in CONFUSABLE.items() for x in (k, v)))
+
+    def others(s: Column, i: Column) -> Column:
+        signs = F.split(F.coalesce(F.try_element_at(options, F.substring(s["text"], i, F.lit(1))), F.lit("")), "")
+        return F.transform(F.filter(signs, lambda o: o != ""), lambda o: F.struct(F.concat(F.substring(s["text"], F.lit(1), i - 1), o, F.substring(s["text"], i + 1, F.length(s["text"]))).alias("text"), i.cast("int").alias("last")))
+
+    def further(s: Column) -> Column:
+        places = F.when(s["last"] < F.length(s["text"]), F.sequence(s["last"] + 1, F.length(s["text"]))).otherwise(F.array().cast("array<int>"))
+        return F.flatten(F.transform(places, lambda i: others(s, i)))
+
+    first = F.array(F.struct(c.alias("text"), F.lit(0).alias("last")))
+    state = F.struct(first.alias("all"), first.alias("level"))
+
+    def grow(acc: Column, _: Column) -> Column:
+        level = F.slice(F.flatten(F.transform(acc["level"], further)), 1, limit)
+        return F.struct(F.slice(F.concat(acc["all"], level), 1, limit).alias("all"), level.alias("level"))
 
+    return F.aggregate(F.sequence(F.lit(1), F.lit(replaced)), state, grow, lambda acc: F.transform(acc["all"], lambda s: s["text"]))
 
-def by_deletes(reads: DataFrame, read: str, registry: DataFrame, key: str) -> DataFrame:
-    """(read, key) pairs that share a version with at most one character less."""
-    a = reads.select(norm_plate(F.col(read)).alias("read")).distinct().select("read", F.explode(deletes(F.col("read"))).alias("d"))
-    b = registry.select(norm_plate(F.col(key)).alias("key")).distinct().select("key", F.explode(deletes(F.col("key"))).alias("d"))
+
+def deletes(c: Column, k: int = 1) -> Column:
+    """The text and all versions with up to k characters less: texts within k edits share one."""
+    out = F.array(c)
+    for _ in range(k):
+        less = F.transform(out, lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t)))))
+        out = F.array_distinct(F.concat(out, F.flatten(less)))
+    return out
+
+
+def by_deletes(reads: DataFrame, read: str, registry: DataFrame, key: str, k: int = 1) -> DataFrame:
+    """(read, key) pairs that share a version with at most k characters less."""
+    a = reads.select(norm_plate(F.col(read)).alias("read")).distinct().select("read", F.explode(deletes(F.col("read"), k)).alias("d"))
+    b = registry.select(norm_plate(F.col(key)).alias("key")).distinct().select("key", F.explode(deletes(F.col("key"), k)).alias("d"))
     return a.join(b, "d").select("read", "key").distinct()
 
 
+def recommended_overlap(reads: DataFrame, read: str, registry: DataFrame, key: str, edits: int = 2, q: int = 2) -> DataFrame:
+    """(read, k): the least number of common q-grams that loses no key within ``edits`` edits: the smallest size of a key in the
+    read's window of sizes, less q for each edit, 1 at least. Of sizes there is a handful; reads without q-grams have none."""
+    sizes = tokens(registry, key, q).groupBy("key").agg(F.count("*").alias("n")).select("n").distinct()
+    own = tokens(reads, read, q).groupBy(F.col("key").alias("read")).agg(F.count("*").alias("nx"))
+    near = own.join(F.broadcast(sizes), F.abs(F.col("n") - F.col("nx")) <= q * edits, "left")
+    return near.groupBy("read", "nx").agg(F.greatest(F.lit(1), F.coalesce(F.min("n"), F.first("nx")) - q * edits).alias("k")).select("read", "k")
+
+
 def quality(found: DataFrame, truth: DataFrame) -> DataFrame:
     """recall (share of truth's (read, key) that are found) and mean candidates per read of truth."""
     n = truth.select("read").distinct().count()

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from concordia.functions.transforms import haversine_km, norm_key, parse_ts
 
+from .blocking import deletes
+
 # Fixed values.
 CONFIDENCE_FLOOR, MAX_KMH, CLOCK_TOLERANCE_MIN = 0.70, 160.0, 10.0
 
@@ -23,7 +25,7 @@ def lookup(values: DataFrame, column: str, lexicon: DataFrame, aliases: DataFram
     """(column, canonical, kind) of each different value: exact, surface, alias, prefix, abbreviation, edit, or null.
 
     A prefix or abbreviation must be the only one, an edit the nearest alone; keys with digits aren't guessed. Different
-    values, not rows, meet the lexicon, joined by their first letter or nearly equal length.
+    values, not rows, meet the lexicon: by what it begins with, by its first letter, and by versions with characters left out.
     """
     v = values.select(F.col(column).alias("value")).filter(F.trim(F.col("value")) != "").distinct().withColumn("k", norm_key(F.col("value")))
     lex = lexicon.select("key", "canonical")
@@ -34,12 +36,14 @@ def lookup(values: DataFrame, column: str, lexicon: DataFrame, aliases: DataFram
         found = found.unionByName(rest.join(aliases.select(F.col("alias").alias("k"), "canonical"), "k").select("value", "canonical", F.lit("alias").alias("kind")))
     rest = v.join(found.select("value"), "value", "left_anti").filter(~F.col("k").rlike("[0-9]") & (F.length("k") >= 3))
     only = lambda df, kind: df.groupBy("value").agg(F.count("*").alias("n"), F.min("canonical").alias("canonical")).filter("n = 1").select("value", "canonical", F.lit(kind).alias("kind"))
-    first = rest.join(lex, F.substring("k", 1, 1) == F.substring("key", 1, 1))
-    starts = only(first.filter(F.col("key").startswith(F.col("k"))), "prefix")
+    starts = only(rest.join(lex.withColumn("part", F.explode(F.transform(F.sequence(F.lit(1), F.length("key")), lambda n: F.substring(F.col("key"), F.lit(1), n)))), F.col("k") == F.col("part")), "prefix")
+    first = rest.join(lex, (F.substring("k", 1, 1) == F.substring("key", 1, 1)) & (F.length("k") < F.length("key")))
     short = only(first.filter(F.expr("key rlike array_join(split(k, ''), '.*')")), "abbreviation").join(starts.select("value"), "value", "left_anti")
     guessed = starts.unionByName(short)
     last = rest.join(guessed.select("value"), "value", "left_anti")
-    near = last.join(lex, F.abs(F.length("k") - F.length("key")) <= 2).withColumn("d", F.levenshtein("k", "key"))
+    # words within two edits share a version with up to two characters less
+    near = last.withColumn("less", F.explode(deletes(F.col("k"), 2))).join(lex.withColumn("less", F.explode(deletes(F.col("key"), 2))), "less")
+    near = near.select("value", "k", "key", "canonical").distinct().withColumn("d", F.levenshtein("k", "key"))
     w = Window.partitionBy("value").orderBy("d", "canonical")
     near = near.withColumns({"at": F.row_number().over(w), "second": F.lead("d").over(w)}).filter("at = 1")
     edits = near.filter((F.col("d") <= F.when(F.length("k") <= 5, 1).otherwise(2)) & (F.col("second").isNull() | (F.col("second") > F.col("d")))).select("value", "canonical", F.lit("edit").alias("kind"))

@@ -34,16 +34,43 @@ def ece(df: DataFrame, p: str, actual: str, bins: int = 10) -> DataFrame:
 
 
 def mcnemar(df: DataFrame, a: str, b: str) -> DataFrame:
-    """b01 and b10: rows that only the second, or only the first, of two 0/1 outcomes gets right."""
+    """b01 and b10, rows that only the second, or only the first, of two 0/1 outcomes gets right, and p_value: the exact two-sided one.
+
+    The smaller count's tail of the binomial with an even chance, twice, 1 at most; summed by logarithms of its terms.
+    """
     one = lambda x, y: F.sum(F.when((F.col(a) == x) & (F.col(b) == y), 1).otherwise(0))
-    return df.agg(one(0, 1).alias("b01"), one(1, 0).alias("b10"))
+    out = df.agg(F.coalesce(one(0, 1), F.lit(0)).alias("b01"), F.coalesce(one(1, 0), F.lit(0)).alias("b10"))
+    n, k = F.col("b01") + F.col("b10"), F.least("b01", "b10")
+    start = F.struct((-n * F.log(F.lit(2.0))).alias("term"), F.exp(-n * F.log(F.lit(2.0))).alias("sum"))
+
+    def more(s, i):
+        term = s["term"] + F.log((n - i + 1) / i)
+        return F.struct(term.alias("term"), (s["sum"] + F.exp(term)).alias("sum"))
+
+    places = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>"))
+    return out.withColumn("p_value", F.least(F.lit(1.0), 2 * F.aggregate(places, start, more, lambda s: s["sum"])))
+
+
+#: Bins in which distinct values are summed before any running total; only their sums are ordered in one task.
+BINS = 4096
+
+
+def _running(counted: DataFrame, value: str, sums: list[str], descending: bool) -> DataFrame:
+    """Rows of distinct values with the running total of each of ``sums``: within bins of equal width, on top of the bins before."""
+    ends = counted.agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    width = F.greatest(F.col("_high") - F.col("_low"), F.lit(1e-300))
+    binned = counted.crossJoin(F.broadcast(ends)).withColumn("_bin", F.least(F.floor((F.col(value) - F.col("_low")) / width * BINS), F.lit(BINS - 1)).cast("int")).drop("_low", "_high")
+    order = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
+    earlier = Window.orderBy(order("_bin")).rowsBetween(Window.unboundedPreceding, -1)
+    base = binned.groupBy("_bin").agg(*(F.sum(c).alias(c) for c in sums)).select("_bin", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{c}") for c in sums))
+    inside = Window.partitionBy("_bin").orderBy(order(value)).rowsBetween(Window.unboundedPreceding, 0)
+    return binned.join(base, "_bin").select(value, *sums, *((F.col(f"_{c}") + F.sum(c).over(inside)).alias(f"run_{c}") for c in sums))
 
 
 def threshold(df: DataFrame, p: str, actual: str, precision: float) -> DataFrame:
-    """The lowest score from which on the rows above have the wanted precision. Scores are counted first, then accumulated."""
-    by = df.groupBy(F.col(p).alias("score")).agg(F.count("*").alias("n"), F.sum(F.col(actual).cast("long")).alias("good"))
-    run = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return by.withColumn("precision", F.sum("good").over(run) / F.sum("n").over(run)).filter(F.col("precision") >= precision).agg(F.min("score").alias("threshold"))
+    """The lowest score from which on the rows above have the wanted precision. Scores are counted first, then accumulated; null scores count nowhere."""
+    by = df.filter(F.col(p).isNotNull()).groupBy(F.col(p).alias("score")).agg(F.count("*").alias("n"), F.sum(F.col(actual).cast("long")).alias("good"))
+    return _running(by, "score", ["n", "good"], True).filter(F.col("run_good") / F.col("run_n") >= precision).agg(F.min("score").alias("threshold"))
 
 
 def confusions(pairs: DataFrame, truth: str, read: str) -> DataFrame:
@@ -67,7 +94,14 @@ def stratified(df: DataFrame, by: list[str], order: str, n: int) -> DataFrame:
 
 
 def percentiles(df: DataFrame, column: str, shares=(0.5, 0.95)) -> DataFrame:
-    return df.agg(*(F.percentile(column, p).alias(f"p{round(100 * p)}") for p in shares))
+    """Exact percentiles, between two values in proportion; null values count nowhere, of none each is null."""
+    counted = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    runs = _running(counted, "v", ["n"], False).crossJoin(F.broadcast(total))
+    place = lambda p: p * (F.col("total") - 1)
+    at = lambda rank: F.min(F.when(F.col("run_n") > rank, F.col("v")))
+    ends = [x for i, p in enumerate(shares) for x in (at(F.floor(place(p))).alias(f"a{i}"), at(F.ceil(place(p))).alias(f"b{i}"), F.max(place(p) - F.floor(place(p))).alias(f"f{i}"))]
+    return runs.agg(*ends).select(*((F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * F.col(f"f{i}")).alias(f"p{round(100 * p)}") for i, p in enumerate(shares)))
 
 
 def bootstrap(df: DataFrame, column: str, key: str, replicas: int = 100, seed: int = 1) -> DataFrame:

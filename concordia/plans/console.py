@@ -11,20 +11,43 @@ class Refused(ValueError):
     """A statement that the console doesn't run."""
 
 
+def named(spark: SparkSession, sql: str) -> set[str]:
+    """The relations that a statement reads, sub-queries included, but those that it names itself (WITH)."""
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).treeString()
+    own = {n.strip() for names in re.findall(r"(?:Unresolved)?With.*?CTE \[([^\]]*)\]|CTE \[([^\]]*)\]", plan) for part in names for n in part.split(",")}
+    if functions := re.findall(r"UnresolvedTableValuedFunction \[([^\]]*)\]", plan):
+        raise Refused(f"table function {functions[0]}")
+    return {n.strip() for n in re.findall(r"UnresolvedRelation \[([^\]]*)\]", plan)} - own
+
+
 def query(spark: SparkSession, sql: str, tables: dict[str, DataFrame], limit: int | None = None) -> DataFrame:
     """The result of one SELECT over the given tables. Spark parses it, so words inside literals don't matter.
 
-    Anything but a query is refused before it runs: Spark wraps the text as a sub-query, which only a query can be.
-    The tables are parameters of the call, so no others can be meant.
+    Anything but a query is refused before it runs: Spark wraps the text as a sub-query, which only a query can be. So is
+    a query that reads anything but the given tables: files, the catalogue's tables and views, table functions. The tables stand
+    under their names while the query is analysed, and what stood there before is put back.
     """
     text = sql.strip().rstrip(";").strip()
     if not re.match(r"(?is)^(select|with|values|table|from)\b|^\(", text):
         raise Refused("only one SELECT is allowed")
-    names = {n: df for n, df in tables.items()}
-    for n, df in names.items():
+    wrapped = f"SELECT * FROM (\n{text}\n) AS console_query"
+    try:
+        others = {n for n in named(spark, wrapped) if n.lower() not in {t.lower() for t in tables}}
+    except Refused:
+        raise
+    except Exception as e:
+        raise Refused(str(e).splitlines()[0]) from None
+    if others:
+        raise Refused(f"unknown table {sorted(others)[0]}")
+    views = {v.name.lower() for v in spark.catalog.listTables() if v.isTemporary}
+    before = {n: spark.table(n) for n in tables if n.lower() in views}
+    for n, df in tables.items():
         df.createOrReplaceTempView(n)
     try:
-        out = spark.sql(f"SELECT * FROM (\n{text}\n) AS console_query")
+        out = spark.sql(wrapped)
     except Exception as e:
         raise Refused(str(e).splitlines()[0]) from None
+    finally:
+        for n in tables:
+            before[n].createOrReplaceTempView(n) if n in before else spark.catalog.dropTempView(n)
     return out if limit is None else out.limit(limit)

@@ -200,8 +200,9 @@ def alerts(decided: DataFrame, watched: DataFrame) -> DataFrame:
     hot = F.lit(False)
     for p in ALERT_PREFIXES:
         hot = hot | F.upper("decision").startswith(p)
-    listed = decided.join(watched.select(norm_plate(F.col("key")).alias("key")).distinct(), "key", "left_semi")
-    return listed.select("key", F.lit("WATCHLIST").alias("kind")).unionByName(decided.filter(hot).select("key", F.lit("HOTLIST").alias("kind")))
+    listed = watched.select(norm_plate(F.col("key")).alias("key"), F.lit(True).alias("_listed")).distinct()
+    kinds = F.array(F.when(F.col("_listed"), "WATCHLIST"), F.when(hot, "HOTLIST"))
+    return decided.select("key", "decision").join(listed, "key", "left").select("key", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("kind"))
 
 
 def ask(registry: Registry, tables: dict[str, DataFrame], attributes, today: str, keys: DataFrame | None = None, status: dict[str, str] | None = None) -> DataFrame:

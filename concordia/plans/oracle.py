@@ -85,7 +85,8 @@ def _soundex(c: str) -> str:
     return f"left(regexp_replace(upper({c}), '[^A-Z]', '', 'g')[1:1] || regexp_replace({x}, '[^0-9]', '', 'g') || '000', 4)"
 
 
-NOISY = f"WITH v AS (SELECT c_custkey AS registration_id, {_plate('c_custkey')} AS key FROM customer), reads AS (SELECT DISTINCT key[1:8] || '7' || key[10:10] AS read, key AS truth, registration_id AS case_id FROM v WHERE registration_id % 5 = 0)"
+NOISY = f"WITH v AS (SELECT c_custkey AS registration_id, {_plate('c_custkey')} AS key FROM customer), reads AS (SELECT DISTINCT key[1:8] || '7' || key[10:10] AS read, key AS truth, registration_id AS case_id FROM v WHERE registration_id % 50 = 0)"
+ALL_NOISY = NOISY.replace(" WHERE registration_id % 50 = 0", "")
 BLOCKS = f"""{NOISY}, rt AS (SELECT DISTINCT read, unnest({_grams('read')}) AS token FROM reads), kt AS (SELECT key, unnest({_grams('key')}) AS token FROM v),
 rn AS (SELECT read, count(*) AS nx FROM rt GROUP BY 1), kn AS (SELECT key, count(*) AS ny FROM kt GROUP BY 1), c AS (SELECT read, key, count(*) AS shared FROM rt JOIN kt USING (token) GROUP BY ALL)"""
 WITHIN_ONLY = "SELECT read, key, shared FROM c JOIN rn USING (read) JOIN kn USING (key) WHERE abs(nx - ny) <= 2 AND shared >= greatest(1, greatest(nx, ny) - 2)"
@@ -121,9 +122,9 @@ ORACLE_SQL: dict[str, str] = {
     "canonical_key": f"SELECT c_custkey, {_norm('c_name')} AS key FROM customer",
     "ocr_fold_match": f"WITH {TABLES} SELECT capture_id, registration_no FROM captures LEFT JOIN vehicle ON translate(plate_id, 'OI', '01') = translate(registration_no, 'OI', '01')",
     "render_key": f"WITH {TABLES} SELECT registration_id, k[1:2] || '-' || k[3:4] || '-' || k[5:6] || '-' || k[7:] AS dashed, lower(k[1:2] || ' ' || k[3:4] || ' ' || k[5:6] || ' ' || k[7:]) AS spaced FROM (SELECT registration_id, registration_no AS k FROM vehicle)",
-    "variants_in_list": f"""WITH {TABLES}, o AS (SELECT registration_no, replace(registration_no, '0', 'O') AS k FROM vehicle WHERE registration_id % 10 = 0), m AS (SELECT * FROM (VALUES {', '.join(f"('{k}', '{c}', {i})" for k, v in {"0": "OD", "O": "0D", "D": "0O", "1": "I", "I": "1", "8": "B", "B": "8", "5": "S", "S": "5", "2": "Z", "Z": "2", "6": "G", "G": "6"}.items() for i, c in enumerate(v))}) t(a, b, o)),
-s AS (SELECT registration_no, k, unnest(range(1, length(k) + 1)) AS i FROM o), g AS (SELECT registration_no, k AS v, 0 AS i, 0 AS o FROM o UNION ALL SELECT registration_no, k[1:i-1] || b || k[i+1:], i, m.o FROM s JOIN m ON k[i:i] = a),
-f AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY registration_no ORDER BY i, o) <= 12) SELECT registration_no, count(*) AS n, min(v) AS least, max(v) AS most FROM f GROUP BY 1""",
+    "variants_in_list": f"""WITH RECURSIVE {TABLES}, o AS (SELECT registration_no, replace(registration_no, '0', 'O') AS k FROM vehicle), m AS (SELECT * FROM (VALUES {', '.join(f"('{k}', '{c}', {i})" for k, v in {"0": "OD", "O": "0D", "D": "0O", "1": "I", "I": "1", "8": "B", "B": "8", "5": "S", "S": "5", "2": "Z", "Z": "2", "6": "G", "G": "6"}.items() for i, c in enumerate(v))}) t(a, b, o)),
+ g AS (SELECT registration_no, k, 0 AS last, []::bigint[] AS path FROM o UNION ALL SELECT registration_no, k[1:i-1] || b || k[i+1:], i, list_append(path, i * 10 + m.o) FROM g, unnest(range(1, 11)) r(i), m WHERE i > last AND k[i:i] = a AND len(path) < 3),
+ f AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY registration_no ORDER BY len(path), path) <= 64) SELECT registration_no, count(*) AS n, min(k) AS least, max(k) AS most FROM f GROUP BY 1""",
     "latest_wins": f"WITH {TABLES} SELECT key, start::varchar AS insurance_start, expiry::varchar AS insurance_expiry, policy_type, premium_inr FROM ins",
     "mediated_profile": _profile() + "SELECT key, owner_name, vehicle_make, registration_status, insurance_expiry::varchar AS insurance_expiry, case_status, strftime(seen_at, '%Y-%m-%d %H:%M:%S') AS seen, location AS last_seen_location, observed_colour FROM p",
     "derived_status": _profile() + "SELECT insurance_status, stolen_status, count(*) AS n FROM p GROUP BY 1, 2",
@@ -149,10 +150,19 @@ CASE k % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' END AS flag, (CASE WHEN k % 5
     "qgram_similarity": NAMES + f", g AS (SELECT a, b, {_grams('a')} AS x, {_grams('b')} AS y FROM pairs) SELECT a, b, len(list_intersect(x, y)) AS common, round(len(list_intersect(x, y)) / least(len(x), len(y))::double, 6) AS overlap, round(len(list_intersect(x, y)) / len(list_distinct(x || y))::double, 6) AS jaccard FROM g",
     "soundex_reference": NAMES + f" SELECT a, b, {_soundex('a')} AS code_a, ({_soundex('a')} = {_soundex('b')})::int::double AS same FROM pairs",
     "tfidf": """WITH d AS (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part), f AS (SELECT w, ln((SELECT count(*) FROM part)::double / count(*)) AS idf FROM d GROUP BY 1), x AS (SELECT p_partkey, w, idf FROM d JOIN f USING (w)), n AS (SELECT p_partkey, sqrt(sum(idf * idf)) AS norm FROM x GROUP BY 1),
-dots AS (SELECT a.p_partkey AS q, b.p_partkey, sum(a.idf * b.idf) AS dot FROM x a JOIN x b USING (w) WHERE a.p_partkey < 20 GROUP BY ALL) SELECT q, dots.p_partkey, round(dot / (n.norm * m.norm), 4) AS cosine FROM dots JOIN n USING (p_partkey) JOIN n m ON m.p_partkey = q""",
+dots AS (SELECT a.p_partkey AS q, b.p_partkey, sum(a.idf * b.idf) AS dot FROM x a JOIN x b USING (w) WHERE a.p_partkey % 50 = 0 GROUP BY ALL) SELECT q, dots.p_partkey, round(dot / (n.norm * m.norm), 4) AS cosine FROM dots JOIN n USING (p_partkey) JOIN n m ON m.p_partkey = q""",
     "block_index": BLOCKS + " SELECT read, key, shared FROM c WHERE shared >= 8",
     "block_size": WITHIN, "block_prefix": WITHIN, "block_position": WITHIN,
-    "blocking_quality": BLOCKS + f", w AS ({WITHIN_ONLY}) SELECT round(avg((w.key IS NOT NULL)::int), 6) AS recall FROM (SELECT DISTINCT read, truth FROM reads) r LEFT JOIN w ON w.read = r.read AND w.key = r.truth",
+    "blocking_quality": BLOCKS + f", w AS ({WITHIN_ONLY}) SELECT round((SELECT avg((w.key IS NOT NULL)::int) FROM (SELECT DISTINCT read, truth FROM reads) r LEFT JOIN w ON w.read = r.read AND w.key = r.truth), 6) AS recall, round((SELECT count(*) FROM w)::double / (SELECT count(DISTINCT read) FROM reads), 6) AS mean_candidates",
+    "block_none": BLOCKS + " SELECT r.read, v.key, coalesce(shared, 0) AS shared FROM (SELECT DISTINCT read FROM reads) r CROSS JOIN (SELECT DISTINCT key FROM v) v LEFT JOIN c ON c.read = r.read AND c.key = v.key",
+    "recommended_overlap": BLOCKS + " SELECT read, greatest(1, coalesce(min(ny), min(nx)) - 4) AS k FROM rn LEFT JOIN (SELECT DISTINCT ny FROM kn) s ON abs(nx - ny) <= 4 GROUP BY read",
+    "symspell_two": NOISY + """, sides AS (SELECT 'r' AS side, read AS t FROM reads UNION SELECT 'k', key FROM v), one AS (SELECT side, t, t AS d FROM sides UNION SELECT side, t, t[1:i-1] || t[i+1:] FROM sides, unnest(range(1, 11)) u(i)), two AS (SELECT side, t, d FROM one UNION SELECT side, t, d[1:i-1] || d[i+1:] FROM one, unnest(range(1, 11)) u(i) WHERE i <= length(d))
+ SELECT DISTINCT a.t AS read, b.t AS key FROM two a JOIN two b USING (d) WHERE a.side = 'r' AND b.side = 'k'""",
+    "valid_plates": f"""WITH {TABLES}, p AS (SELECT capture_id, CASE capture_id % 3 WHEN 0 THEN 'XX' || plate_id[3:] WHEN 1 THEN '21BH' || plate_id[7:10] || 'AA' ELSE plate_id END AS p FROM captures),
+ s AS (SELECT capture_id, CASE WHEN regexp_full_match(p, '[A-Z]{{2}}[0-9]{{2}}[A-Z]{{1,3}}[0-9]{{4}}') AND p[1:2] = 'DL' THEN 'SDD' || repeat('L', length(p) - 8) || 'DDDD' WHEN regexp_full_match(p, '[0-9]{{2}}BH[0-9]{{4}}[A-Z]{{1,2}}') THEN 'DDBHDDDD' || repeat('L', length(p) - 8) END AS shape FROM p) SELECT capture_id, shape IS NOT NULL AS valid, shape FROM s""",
+    "value_shares": f"WITH {TABLES}, u AS (SELECT unnest(['make', 'model', 'colour']) AS attribute, lower(unnest([make, model, colour])) AS value FROM vehicle), n AS (SELECT attribute, value, count(*) AS n FROM u WHERE value IS NOT NULL GROUP BY 1, 2) SELECT attribute, value, round(n / sum(n) OVER (PARTITION BY attribute), 6) AS share FROM n",
+    "case_life": """WITH e AS (SELECT user_id AS case_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'CANDIDATE' WHEN 'view' THEN 'ISSUED' WHEN 'click' THEN 'HOLD' WHEN 'purchase' THEN 'UPHELD' ELSE 'CANCELLED' END AS ev FROM events), l AS (SELECT case_id, list_prepend('', list(ev ORDER BY seq)) AS evs FROM e GROUP BY 1)
+ SELECT case_id, nullif(list_reduce(evs, lambda s, e: CASE WHEN e IN ('CANDIDATE', 'ISSUED', 'HOLD') THEN e WHEN s IN ('ISSUED', 'UPHELD') THEN e ELSE s END), '') AS status FROM l""",
     "symspell": NOISY + ", a AS (SELECT DISTINCT read, unnest(list_append(list_transform(range(1, length(read) + 1), lambda i: read[1:i-1] || read[i+1:]), read)) AS d FROM reads), b AS (SELECT DISTINCT key, unnest(list_append(list_transform(range(1, length(key) + 1), lambda i: key[1:i-1] || key[i+1:]), key)) AS d FROM v) SELECT DISTINCT read, key FROM a JOIN b USING (d)",
     "lexicon_mine": "WITH t AS (SELECT CASE WHEN p_partkey % 9 = 0 THEN lower(p_type) ELSE p_type END AS t FROM part), n AS (SELECT regexp_replace(lower(t), '[^a-z0-9]', '', 'g') AS key, t AS canonical, count(*) AS n FROM t GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, canonical) AS seen_at, sum(n) OVER (PARTITION BY key) AS support FROM n) SELECT key, canonical, support FROM r WHERE seen_at = 1 AND support >= 3",
     "rdr_infer": CASES + " SELECT case_id, rule, action, value AS set_to FROM inferred",
@@ -175,11 +185,11 @@ SELECT capture_id, from_id, round(km, 4) AS km, round(minutes, 4) AS minutes, co
     "eval_metrics": SCORED + ", c AS (SELECT count(*) FILTER (guess = 1 AND quality = 1) AS tp, count(*) FILTER (guess = 1 AND quality <> 1) AS fp, count(*) FILTER (guess <> 1 AND quality = 1) AS fn FROM s) SELECT *, round(tp / (tp + fp)::double, 6) AS precision, round(tp / (tp + fn)::double, 6) AS recall, round(2 * tp / (2 * tp + fp + fn)::double, 6) AS f1 FROM c",
     "ranking_metrics": "WITH r AS (SELECT CASE WHEN doc_id % 6 <> 0 THEN doc_id % 6 END AS r FROM labels) SELECT round(avg(coalesce((r = 1)::int, 0)), 6) AS top1, round(avg(coalesce((r <= 5)::int, 0)), 6) AS top5, round(avg(coalesce(1 / r::double, 0)), 6) AS mrr FROM r",
     "ece": SCORED + ", b AS (SELECT least(floor(p * 10), 9) AS bin, count(*) AS n, avg(p) AS m, avg(quality) AS q FROM s GROUP BY 1) SELECT round(sum(n * abs(m - q)) / sum(n), 6) AS ece FROM b",
-    "mcnemar": SCORED + " SELECT count(*) FILTER (guess = 0 AND quality = 1) AS b01, count(*) FILTER (guess = 1 AND quality = 0) AS b10 FROM s",
+    "mcnemar": SCORED + ", c AS (SELECT count(*) FILTER (guess = 0 AND quality = 1) AS b01, count(*) FILTER (guess = 1 AND quality = 0) AS b10 FROM s) SELECT b01, b10, round(least(1.0::double, 2 * list_sum(list_transform(range(0, least(b01, b10) + 1), lambda i: exp(lgamma(b01 + b10 + 1) - lgamma(i + 1) - lgamma(b01 + b10 - i + 1) - (b01 + b10) * ln(2))))), 6) AS p_value FROM c",
     "precision_threshold": SCORED + ", b AS (SELECT p, count(*) AS n, sum(quality) AS g FROM s GROUP BY 1), r AS (SELECT p, sum(g) OVER w / sum(n) OVER w AS pr FROM b WINDOW w AS (ORDER BY p DESC ROWS UNBOUNDED PRECEDING)) SELECT round(min(p), 6) AS threshold FROM r WHERE pr >= 0.85",
     "bucket_pivot": "SELECT o_orderpriority, nullif(count(*) FILTER (o_orderstatus = 'F'), 0) AS F, nullif(count(*) FILTER (o_orderstatus = 'O'), 0) AS O, nullif(count(*) FILTER (o_orderstatus = 'P'), 0) AS P FROM orders GROUP BY 1",
-    "confusion_counts": NOISY + ", z AS (SELECT read[i:i] AS x, truth[i:i] AS y FROM (SELECT read, truth, unnest(range(1, 11)) AS i FROM reads)) SELECT least(x, y) AS a, greatest(x, y) AS b, count(*) AS n FROM z WHERE x <> y GROUP BY 1, 2",
-    "learned_cost": NOISY + ", z AS (SELECT read[i:i] AS x, truth[i:i] AS y FROM (SELECT read, truth, unnest(range(1, 11)) AS i FROM reads)), c AS (SELECT least(x, y) AS a, greatest(x, y) AS b, count(*) AS n FROM z WHERE x <> y GROUP BY 1, 2) SELECT a, b, round(greatest(0.1::double, 1 - ln(1 + n) / ln(1 + max(n) OVER ())), 6) AS cost FROM c",
+    "confusion_counts": ALL_NOISY + ", z AS (SELECT read[i:i] AS x, truth[i:i] AS y FROM (SELECT read, truth, unnest(range(1, 11)) AS i FROM reads)) SELECT least(x, y) AS a, greatest(x, y) AS b, count(*) AS n FROM z WHERE x <> y GROUP BY 1, 2",
+    "learned_cost": ALL_NOISY + ", z AS (SELECT read[i:i] AS x, truth[i:i] AS y FROM (SELECT read, truth, unnest(range(1, 11)) AS i FROM reads)), c AS (SELECT least(x, y) AS a, greatest(x, y) AS b, count(*) AS n FROM z WHERE x <> y GROUP BY 1, 2) SELECT a, b, round(greatest(0.1::double, 1 - ln(1 + n) / ln(1 + max(n) OVER ())), 6) AS cost FROM c",
     "stratified_sample": "WITH r AS (SELECT o_orderkey, o_orderstatus, o_orderpriority, row_number() OVER (w ORDER BY o_orderkey) AS turn, min(o_orderkey) OVER w AS class_first FROM orders WINDOW w AS (PARTITION BY o_orderstatus, o_orderpriority)) SELECT * FROM r ORDER BY turn, class_first LIMIT 40",
     "hash_split": f"WITH {TABLES}, b AS (SELECT ('0x' || md5(registration_no)[1:4])::int % 100 AS b FROM vehicle) SELECT CASE WHEN b < 60 THEN 'train' WHEN b < 80 THEN 'validation' ELSE 'test' END AS part, count(*) AS n FROM b GROUP BY 1",
     "percentiles": "SELECT round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from concordia.functions import similarity as S
 from concordia.functions import transforms as T
 from concordia.operators import adjudicate, blocking, cleansing, evaluate, matching, rules, schema_match
+from concordia.operators import open_world as open_world_
 from concordia.plans import console, mediate
 from concordia.sources import sample
 from concordia.sources import tables as sinks
@@ -59,8 +60,9 @@ def render_key(spark, d):
 
 @query
 def variants_in_list(spark, d):
-    v = sample.tables(spark, d)["VEHICLE"].filter("registration_id % 10 = 0")
-    tried = v.select("registration_no", F.explode(blocking.variants(F.translate("registration_no", "0", "O"))).alias("k"))
+    """The versions of every plate, its noughts read as letters, that a source is asked for."""
+    v = sample.tables(spark, d)["VEHICLE"]
+    tried = v.select("registration_no", F.explode(blocking.readings(F.translate("registration_no", "0", "O"))).alias("k"))
     return tried.groupBy("registration_no").agg(F.count("*").alias("n"), F.min("k").alias("least"), F.max("k").alias("most"))
 
 
@@ -283,7 +285,7 @@ def tfidf(spark, d):
     df = docs.groupBy("w").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("w", F.log(F.col("total") / F.col("df")).alias("idf"))
     weighted = docs.join(df, "w")
     norms = weighted.groupBy("p_partkey").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
-    probe = weighted.filter("p_partkey < 20").select(F.col("p_partkey").alias("q"), "w", F.col("idf").alias("iq"))
+    probe = weighted.filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("q"), "w", F.col("idf").alias("iq"))
     dots = probe.join(weighted, "w").groupBy("q", "p_partkey").agg(F.sum(F.col("iq") * F.col("idf")).alias("dot"))
     both = dots.join(norms, "p_partkey").join(norms.select(F.col("p_partkey").alias("q"), F.col("norm").alias("nq")), "q")
     return both.select("q", "p_partkey", _r(F.col("dot") / (F.col("norm") * F.col("nq")), 4).alias("cosine"))
@@ -292,10 +294,10 @@ def tfidf(spark, d):
 # ------------------------------------------------------------------ blocking and matching
 
 
-def _noisy(spark, d):
-    """Reads of every fifth vehicle, one digit misread, and the registered plates."""
+def _noisy(spark, d, every: int = 50):
+    """Reads of the vehicles whose id is divisible by 50, the query set of searches, with one digit misread; and all registered plates."""
     v = sample.tables(spark, d)["VEHICLE"].select(F.col("registration_no").alias("key"), "registration_id", "make", "model", "colour")
-    reads = v.filter("registration_id % 5 = 0").select(F.concat(F.substring("key", 1, 8), F.lit("7"), F.substring("key", 10, 1)).alias("read"), F.col("registration_id").alias("case_id"), F.col("key").alias("truth"), F.col("make").alias("observed_make"), F.col("colour").alias("observed_colour"))
+    reads = v.filter(f"registration_id % {every} = 0").select(F.concat(F.substring("key", 1, 8), F.lit("7"), F.substring("key", 10, 1)).alias("read"), F.col("registration_id").alias("case_id"), F.col("key").alias("truth"), F.col("make").alias("observed_make"), F.col("colour").alias("observed_colour"))
     return reads, v
 
 
@@ -326,7 +328,7 @@ def block_position(spark, d):
 @query
 def blocking_quality(spark, d):
     reads, v = _noisy(spark, d)
-    return blocking.quality(blocking.candidates(reads, "read", v, "key", "position", edits=1), reads.select("read", F.col("truth").alias("key")).distinct()).select(_r("recall").alias("recall"))
+    return blocking.quality(blocking.candidates(reads, "read", v, "key", "position", edits=1), reads.select("read", F.col("truth").alias("key")).distinct()).select(_r("recall").alias("recall"), _r("mean_candidates").alias("mean_candidates"))
 
 
 @query
@@ -335,20 +337,53 @@ def symspell(spark, d):
     return blocking.by_deletes(reads, "read", v, "key")
 
 
+@query
+def symspell_two(spark, d):
+    reads, v = _noisy(spark, d)
+    return blocking.by_deletes(reads, "read", v, "key", 2)
+
+
+@query
+def block_none(spark, d):
+    """The query set against all plates: what the other strategies are measured by."""
+    reads, v = _noisy(spark, d)
+    return blocking.candidates(reads, "read", v, "key", "none")
+
+
+@query
+def recommended_overlap(spark, d):
+    reads, v = _noisy(spark, d)
+    return blocking.recommended_overlap(reads, "read", v, "key", edits=2)
+
+
+@query
+def valid_plates(spark, d):
+    c = sample.tables(spark, d)["CAPTURES"]
+    other = F.when(F.col("capture_id") % 3 == 0, F.concat(F.lit("XX"), F.substring("plate_id", 3, 20))).when(F.col("capture_id") % 3 == 1, F.concat(F.lit("21BH"), F.substring("plate_id", 7, 4), F.lit("AA"))).otherwise(F.col("plate_id"))
+    return c.select("capture_id", open_world_.is_valid(other).alias("valid"), open_world_.shape_of(other).alias("shape"))
+
+
+@query
+def value_shares(spark, d):
+    v = sample.tables(spark, d)["VEHICLE"]
+    return open_world_.value_shares(v, ["make", "model", "colour"]).select("attribute", "value", _r("share").alias("share"))
+
+
 @query
 def match_reads(spark, d):
     reads, v = _noisy(spark, d)
     out = matching.match(reads.withColumn("observed_model", F.lit(None).cast("string")), v, edits=1, top=3)
-    return out.select("read", "key", "rank", _r("p").alias("p"), "decision")
+    return out.select("case_id", "read", "key", "rank", _r("p").alias("p"), _r("p_unknown").alias("p_unknown"), "decision")
 
 
 @query
 def reverse_match(spark, d):
-    """Captures that a plate may claim: only where the forward ranking of the capture contains it."""
-    reads, v = _noisy(spark, d)
+    """Captures of all vehicles that a plate of the query set may claim: only where the forward ranking of the capture contains it."""
+    reads, v = _noisy(spark, d, 1)
     plates = v.filter("registration_id % 50 = 0")
     back = blocking.candidates(plates, "key", reads.select(F.col("read").alias("key")), "key", "position", edits=1).select(F.col("read").alias("key"), F.col("key").alias("read"))
-    forward = matching.match(reads.withColumn("observed_model", F.lit(None).cast("string")), v, edits=1, top=5).select("read", "key", "rank")
+    asked = reads.withColumn("observed_model", F.lit(None).cast("string")).join(back.select("read").distinct(), "read", "left_semi")
+    forward = matching.match(asked, v, edits=1, top=5).select("case_id", "read", "key", "rank")
     return back.select("key", "read").join(forward, ["read", "key"])
 
 
@@ -363,9 +398,9 @@ def resolve_identity(spark, d):
 @query
 def open_world(spark, d):
     reads, v = _noisy(spark, d)
-    few = reads.filter("case_id % 100 = 0").withColumn("ocr_confidence", F.lit(0.85))
+    few = reads.withColumn("ocr_confidence", F.lit(0.85))
     pairs = blocking.candidates(few, "read", v, "key", "position", edits=1).join(few.select("read", "ocr_confidence").distinct(), "read")
-    return matching.open_world(pairs).select("read", "key", _r("p_unknown").alias("p_unknown"))
+    return open_world_.open_world(pairs).select("read", "key", _r("p_unknown").alias("p_unknown"))
 
 
 # ------------------------------------------------------------------ cleansing
@@ -560,7 +595,7 @@ def ece(spark, d):
 
 @query
 def mcnemar(spark, d):
-    return evaluate.mcnemar(_scored(spark, d), "guess", "quality")
+    return evaluate.mcnemar(_scored(spark, d), "guess", "quality").select("b01", "b10", _r("p_value").alias("p_value"))
 
 
 @query
@@ -576,13 +611,13 @@ def bucket_pivot(spark, d):
 
 @query
 def confusion_counts(spark, d):
-    reads, _ = _noisy(spark, d)
+    reads, _ = _noisy(spark, d, 1)
     return evaluate.confusions(reads, "truth", "read")
 
 
 @query
 def learned_cost(spark, d):
-    reads, _ = _noisy(spark, d)
+    reads, _ = _noisy(spark, d, 1)
     return evaluate.learned_costs(evaluate.confusions(reads, "truth", "read")).select("a", "b", _r("cost").alias("cost"))
 
 

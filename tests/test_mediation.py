@@ -96,9 +96,17 @@ def test_csv_and_sinks(spark, tmp_path):
 def test_console(spark):
     t = {"t": spark.range(3).withColumnRenamed("id", "n")}
     assert console.query(spark, "SELECT count(*) AS c, 'insert; --' AS s FROM t;", t).first().c == 3
-    for bad in ("DROP TABLE t", "SELECT 1; SELECT 2", "INSERT INTO t VALUES (1)", "SELECT nothing FROM t"):
+    other = "parquet.`/root/testdata/sf0.001/nation.parquet`"
+    spark.range(1).createOrReplaceTempView("hidden")
+    for bad in ("DROP TABLE t", "SELECT 1; SELECT 2", "INSERT INTO t VALUES (1)", "SELECT nothing FROM t", f"SELECT * FROM {other}", f"SELECT * FROM t WHERE n IN (SELECT n_nationkey FROM {other})", f"WITH t AS (SELECT * FROM {other}) SELECT * FROM t", "SELECT * FROM hidden", "SELECT * FROM range(5)", "SELECT (SELECT max(id) FROM hidden) FROM t"):
         with pytest.raises(console.Refused):
             console.query(spark, bad, t)
+    # the caller's own view of that name stays, and no view is left behind
+    spark.range(7).createOrReplaceTempView("t")
+    assert console.query(spark, "WITH x AS (SELECT n FROM t) SELECT count(*) AS c FROM x JOIN T USING (n)", {**t, "u": t["t"]}).first().c == 3
+    assert spark.table("t").count() == 7 and not spark.catalog.tableExists("u")
+    spark.catalog.dropTempView("t")
+    spark.catalog.dropTempView("hidden")
 
 
 def _plain(v):

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from concordia.operators import adjudicate, blocking, cleansing, evaluate, matching, rules, schema_match
+from concordia.operators import adjudicate, blocking, cleansing, evaluate, matching, open_world, rules, schema_match
 
 
 def plates(n, seed=3):
@@ -54,12 +54,99 @@ def test_verdicts(spark):
     assert [r.decision for r in matching.verdict(df).orderBy("read").collect()] == ["ACCEPT", "REVIEW", "REVIEW", "REVIEW", "REJECT", "REVIEW"]
 
 
+def _plain_likelihood(read, slots, eps, indel):
+    """All alignments, cell by cell; slots: the characters that each may be, and all of them are summed."""
+    def seen(r, c):
+        if r == c:
+            return 1 - eps
+        others = matching.S.CONFUSABLE.get(r, "")
+        return eps * 0.3 / 35 + (eps * 0.7 / len(others) if c in others else 0)
+
+    def fill(row):
+        for j in range(1, len(row)):
+            row[j] += row[j - 1] * indel / 36
+        return row
+
+    state = fill([1.0] + [0.0] * len(read))
+    for chars in slots:
+        state = fill([f * indel * len(chars) + (state[j - 1] * sum(seen(read[j - 1], c) for c in chars) if j else 0) for j, f in enumerate(state)])
+    return state[-1]
+
+
+@pytest.mark.parametrize("confidence", [0.95, 0.5, None])
+def test_open_world_against_all_alignments(confidence):
+    eps, indel = open_world.rates(confidence)
+    reads = ["DL01AB1234", "DLO1AB1Z34", "D", "21BH1234AA", "QQ?1", "DL01AB12345"]
+    for plate in ("DL01AB1234", "HR26E4455"):
+        want = [_plain_likelihood(r, list(plate), eps, indel) for r in reads]
+        assert open_world.likelihoods(reads, [plate] * len(reads), [confidence] * len(reads)).tolist() == pytest.approx(want)
+    letters, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    sets = {"L": letters, "D": digits}
+    want = []
+    for r in reads:
+        civil = sum(_plain_likelihood(r, [*state, digits, digits, *[letters] * k, *[digits] * 4], eps, indel) for state in open_world.STATES for k in (1, 2, 3))
+        want.append(civil + sum(_plain_likelihood(r, [sets.get(c, c) if c != "B" and c != "H" else c for c in shape], eps, indel) for shape in open_world.SHAPES[3:]))
+    assert open_world.masses(reads, [confidence] * len(reads)).tolist() == pytest.approx(want)
+    assert open_world.masses([""], [confidence])[0] == 0 and open_world.masses(["A"], [0.9], {})[0] == 0
+
+
 def test_open_world(spark):
-    assert matching.likelihood("DL01AB1234", "DL01AB1234", 0.95) > 100 * matching.likelihood("DL01AB1284", "DL01AB1234", 0.95) > 0
-    assert matching.valid_mass("") == 0.0 and matching.valid_mass("DL01AB1234", 0.95) > matching.likelihood("DL01AB1234", "DL01AB1234", 0.95)
     df = spark.createDataFrame([("DL01AB1234", "DL01AB1234", 0.95), ("DL01AB1299", "DL01AB1234", None)], "read string, key string, ocr_confidence double")
-    p = {r.read: r.p_unknown for r in matching.open_world(df).collect()}
+    p = {r.read: r.p_unknown for r in open_world.open_world(df).collect()}
     assert p["DL01AB1234"] < 0.05 < 0.5 < p["DL01AB1299"]
+    plates = spark.createDataFrame([("DL01AB1234",), ("XX01AB1234",), ("21BH1234AA",), ("DL01A1234",), (None,), ("",)], "p string")
+    assert [r[0] for r in plates.select(open_world.is_valid(F.col("p"))).collect()] == [True, False, True, True, False, False]
+    w = open_world.shape_weights(plates, "p")
+    assert sum(w.values()) == pytest.approx(len(open_world.SHAPES)) and w["SDDLLDDDD"] == w["SDDLDDDD"] > w["SDDLLLDDDD"]
+
+
+def test_every_capture_is_matched(spark):
+    known = spark.createDataFrame([("DL01AB1234", "Kia", "Red", 3), ("DL01AB1234", "Kia", "Red", 3), ("HR26EF4455", "Tata", "Blue", 1), ("DL05CD9876", "Kia", "Grey", 2)], "key string, make string, colour string, sources int")
+    rows = [(1, "DL01AB1234", "KIA", "Red", 0.95), (2, "DL01AB1234", "TATA", "Blue", 0.95), (3, "DLO1AB1234", "Kia", "Red", 0.95), (4, "", "Kia", "Red", 0.9), (5, None, None, None, None), (6, "ZZZZ", "Kia", "Red", 0.9), (7, "DL09QQ9009", None, None, 0.95), (8, "OL05CD9876", "Kia", "Grey", 0.95), (9, "OL05CD9876", "Kia", None, 0.95)]
+    captures = spark.createDataFrame(rows, "case_id int, read string, observed_make string, observed_colour string, ocr_confidence double")
+    got = {r.case_id: r for r in matching.explain(matching.match(captures, known)).filter("rank = 1").collect()}
+    assert sorted(got) == list(range(1, 10))
+    assert got[1].decision == "ACCEPT" and got[2].decision == "REVIEW" and "what was seen contradicts the record" in got[2].why
+    assert got[1].key == got[2].key == got[3].key == "DL01AB1234" and got[8].key == "DL05CD9876"
+    assert {got[i].decision for i in (4, 5)} == {"REJECT"} and got[4].key is None and got[7].decision != "ACCEPT"
+    assert got[8].state_fix and got[9].decision != "ACCEPT"
+    assert 0.9 < got[1].tfidf <= 1.0 and got[3].tfidf < got[1].tfidf
+
+
+def test_learned_costs_reach_the_matcher(spark):
+    known = spark.createDataFrame([("DL01AB1234",)], "key string")
+    reads = spark.createDataFrame([(1, "DL01AB1Q34")], "case_id int, read string")
+    plain, learned = (matching.match(reads, known, costs=c).first() for c in (None, {("2", "Q"): 0.1}))
+    assert learned.learned > plain.learned == plain.ocr_edit and learned.p > plain.p
+
+
+def test_readings(spark):
+    get = lambda k, **o: spark.createDataFrame([(k,)], "k string").select(blocking.readings(F.col("k"), **o)).first()[0]
+    assert get("1B") == ["1B", "IB", "18", "I8"]
+    assert len(get("0000000000")) == 64 and len(set(get("0000000000", limit=512))) == 512 and get("XY") == ["XY"] and get("") == [""]
+    assert "01" in get("OI") and get("OI")[0] == "OI"
+    with pytest.raises(ValueError):
+        blocking.readings(F.col("k"), limit=513)
+
+
+def test_two_deletions_find_two_edits(spark):
+    known = spark.createDataFrame([("DL01AB1234",), ("HR26EF4455",)], "key string")
+    reads = spark.createDataFrame([("DLO1AB1Z34",), ("DL1AB1234",), ("XX",)], "read string")
+    assert {(r.read, r.key) for r in blocking.by_deletes(reads, "read", known, "key", 2).collect()} == {("DLO1AB1Z34", "DL01AB1234"), ("DL1AB1234", "DL01AB1234")}
+
+
+def test_exact_tests_and_percentiles(spark):
+    from math import comb
+
+    for b01, b10 in ((0, 0), (1, 0), (7, 2), (40, 61), (300, 250)):
+        rows = [(0, 1)] * b01 + [(1, 0)] * b10 + [(1, 1)] * 3
+        got = evaluate.mcnemar(spark.createDataFrame(rows, "a int, b int"), "a", "b").first()
+        n = b01 + b10
+        assert (got.b01, got.b10) == (b01, b10) and got.p_value == pytest.approx(min(1.0, 2 * sum(comb(n, i) for i in range(min(b01, b10) + 1)) / 2**n))
+    values = [3.0, 1.0, 1.0, 2.0, 1e9, None, -5.0]
+    got = evaluate.percentiles(spark.createDataFrame([(v,) for v in values], "v double"), "v", (0.0, 0.5, 0.9, 1.0)).first()
+    assert list(got) == pytest.approx([-5.0, 1.5, 500000001.5, 1e9])
+    assert evaluate.percentiles(spark.createDataFrame([], "v double"), "v").first().p50 is None
 
 
 def test_resolve(spark):

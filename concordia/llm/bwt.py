@@ -58,7 +58,7 @@ def shards(strings: list[bytes], limit: int = SHARD) -> list[np.ndarray]:
 
 def _dealt(group: np.ndarray) -> np.ndarray:
     """The stable order of some group numbers, 16 bits at a time."""
-    order = np.argsort((group & 0xFFFF).astype(np.uint16), kind="stable")
+    order = np.argsort(group.astype(np.uint16), kind="stable")
     if len(group) and int(group.max()) >> 16:
         order = order[np.argsort((group[order] >> 16).astype(np.uint16), kind="stable")]
     return order
@@ -79,7 +79,7 @@ def merged(parts: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]
         back[2 * h] = back[h][back[h]]
         h *= 2
     row = np.argsort(symbol, kind="stable")
-    group = np.empty(len(row), np.int64)
+    group = np.empty(len(row), np.int32)
     group[row] = np.cumsum(np.append(False, symbol[row][1:] != symbol[row][:-1]))
     levels, h = [(1, group)], 1
     while h < depth:
@@ -91,8 +91,8 @@ def merged(parts: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]
         own = group[extension]
         order = _dealt(own)
         row, own, old = extension[order], own[order], old[order]
-        group = np.empty(len(row), np.int64)
-        group[row] = np.cumsum(np.append(False, (own[1:] != own[:-1]) | (old[1:] != old[:-1])))
+        group = np.empty(len(row), np.int32)
+        group[row] = np.cumsum(np.append(False, (own[1:] != own[:-1]) | (old[1:] != old[:-1])), dtype=np.int32)
         h += step
         levels.append((h, group))
     common = np.full(len(row), depth, np.int64)
@@ -104,8 +104,9 @@ def merged(parts: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]
         if h in back:
             on = np.empty(len(row), np.int64)
             on[back[h]] = np.arange(len(row))
-            length += h * same
-            a, b = np.where(same, on[a], a), np.where(same, on[b], b)
+            same = np.flatnonzero(same)
+            length[same] += h
+            a[same], b[same] = on[a[same]], on[b[same]]
     common[apart] = np.minimum(length, depth)
     return np.concatenate([o + b for o, b in zip(orders, bases)])[row], common
 

@@ -33,7 +33,7 @@ BYTES, BYTE_GRAM = 200, 32
 WORDS, WORD_GRAM = 13, 5
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Bytes of segments that a task searches at a time, and different segments of one part that are dealt out together.
-BLOCK = 1 << 18
+BLOCK = 1 << 15
 TOGETHER = 1_000
 #: Slices in which the occurrences of one segment get back what was found of it.
 SLICES = 64
@@ -104,12 +104,12 @@ def find(keyed: DataFrame, by_words: bool, length: int, k: int, block: int = BLO
     seen = source.mapInArrow(occurrences, "anchor long, segment long, key long, rank long, start int, end int, place long, body binary").join(again.select("anchor"), "anchor", "left_semi")
     seen = stored(seen.withColumn("slice", F.pmod("place", F.lit(SLICES)).cast("int")))
     shown = F.when(F.col("body").isNotNull(), F.struct("rank", "place", "body"))
-    sliced = stored(seen.groupBy("anchor", "segment", "slice").agg(F.min(shown).alias("one"), F.max(shown).alias("two"), F.count("*").alias("n"), F.min("rank").alias("rank")))
-    distinct = sliced.groupBy("anchor", "segment").agg(F.min("one").alias("one"), F.max("two").alias("two"), F.sum("n").alias("n"), F.min("rank").alias("rank"))
+    sliced = seen.select("anchor", "segment", "slice").distinct()
+    distinct = seen.groupBy("anchor", "segment").agg(F.min(shown).alias("one"), F.max(shown).alias("two"), F.min("rank").alias("rank"))
     second = F.when(F.col("one.place") != F.col("two.place"), F.col("two.body"))
-    distinct = stored(distinct.select(F.col("anchor").alias("part"), "segment", "anchor", F.col("one.body").alias("body"), second.alias("second"), "n", "rank"))
+    distinct = distinct.select(F.col("anchor").alias("part"), "segment", "anchor", F.col("one.body").alias("body"), second.alias("second"), "rank")
     wide = length - k + 1
-    found = _searched(distinct, by_words, length, k, block, together, (max(2, wide // 8), 1))
+    found = _searched(distinct, seen.select(F.col("anchor").alias("part"), "segment").distinct(), by_words, length, k, block, together, (max(2, wide // 8), 1))
     found = found.select(F.col("part").alias("anchor"), "segment", "least", "from", "to")
     runs = _handed(seen.select("anchor", "segment", "slice", "key", "rank", "start"), sliced, found, ["anchor", "segment"])
     if by_words:
@@ -122,24 +122,25 @@ def _handed(rows: DataFrame, sliced: DataFrame, found: DataFrame, by: list[str])
     return rows.join(sliced.select(*by, "slice").join(found, by), [*by, "slice"])
 
 
-def _searched(distinct: DataFrame, by_words: bool, length: int, k: int, block: int, together: int, widths: tuple[int, ...]) -> DataFrame:
-    """(part, segment, least, from, to): repeated runs within the segments (part, segment, anchor, body, second, n, rank) of each part."""
+def _searched(distinct: DataFrame, parts: DataFrame, by_words: bool, length: int, k: int, block: int, together: int, widths: tuple[int, ...]) -> DataFrame:
+    """(part, segment, least, from, to): repeated runs within the segments (part, segment, anchor, body, second, rank) of each part; parts: their keys alone."""
     search, n = (_by_automaton if by_words else _by_bwt), partitions(distinct, 2)
-    rows = distinct.select("part", "segment", "body", "second", "n", "rank")
+    rows = distinct.select("part", "segment", "body", "second", "rank")
     out = "part long, segment long, least long, from int, to int"
-    crowds = kept(distinct.groupBy("part").agg(F.count("*").alias("m")).filter(F.col("m") > together).select("part")) if widths else None
+    crowds = kept(parts.groupBy("part").agg(F.count("*").alias("m")).filter(F.col("m") > together).select("part")) if widths else None
     if crowds is None or crowds.isEmpty():
         return rows.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_blocks(search, length, block), out)
     few = rows.join(crowds, "part", "left_anti").repartition(n, "part").sortWithinPartitions("part").mapInArrow(_blocks(search, length, block), out)
-    cut = distinct.join(crowds, "part", "left_semi").select("part", "segment", "anchor", "body", "second", "n", "rank")
-    cut = cut.mapInArrow(_finer(by_words, length, k, widths[0], len(widths) == 1), "part long, segment long, at int, anchor long, finer long, cut long, body binary, second binary, n long, rank long")
+    cut = distinct.join(crowds, "part", "left_semi").select("part", "segment", "anchor", "body", "second", "rank")
+    cut = cut.mapInArrow(_finer(by_words, length, k, widths[0], len(widths) == 1), "part long, segment long, at int, anchor long, finer long, cut long, body binary, second binary, rank long")
     cut = stored(cut.withColumn("slice", F.pmod("segment", F.lit(SLICES)).cast("int")))
     text = F.struct("segment", "at", "body", "second")
-    sliced = stored(cut.groupBy("finer", "cut", "slice").agg(F.first("anchor").alias("anchor"), F.min(text).alias("one"), F.max(text).alias("two"), F.sum("n").alias("n"), F.min("rank").alias("rank")))
-    inner = sliced.groupBy("finer", "cut").agg(F.first("anchor").alias("anchor"), F.min("one").alias("one"), F.max("two").alias("two"), F.sum("n").alias("n"), F.min("rank").alias("rank"))
+    sliced = cut.select("finer", "cut", "slice").distinct()
+    inner = cut.groupBy("finer", "cut").agg(F.first("anchor").alias("anchor"), F.min(text).alias("one"), F.max(text).alias("two"), F.min("rank").alias("rank"))
     other = F.when((F.col("one.segment") != F.col("two.segment")) | (F.col("one.at") != F.col("two.at")), F.col("two.body")).otherwise(F.col("one.second"))
-    inner = stored(inner.select(F.col("finer").alias("part"), F.col("cut").alias("segment"), "anchor", F.col("one.body").alias("body"), other.alias("second"), "n", "rank"))
-    hits = _searched(inner, by_words, length, k, block, together, widths[1:]).select(F.col("part").alias("finer"), F.col("segment").alias("cut"), "least", "from", "to")
+    inner = inner.select(F.col("finer").alias("part"), F.col("cut").alias("segment"), "anchor", F.col("one.body").alias("body"), other.alias("second"), "rank")
+    hits = _searched(inner, cut.select(F.col("finer").alias("part"), F.col("cut").alias("segment")).distinct(), by_words, length, k, block, together, widths[1:])
+    hits = hits.select(F.col("part").alias("finer"), F.col("segment").alias("cut"), "least", "from", "to")
     hits = _handed(cut.select("part", "segment", "at", "finer", "cut", "slice"), sliced, hits, ["finer", "cut"])
     return few.unionByName(hits.select("part", "segment", "least", (F.col("at") + F.col("from")).alias("from"), (F.col("at") + F.col("to")).alias("to")))
 
@@ -157,7 +158,7 @@ def _finer(by_words: bool, length: int, k: int, width: int, alone: bool):
     def run(batches):
         for b in batches:
             rows: list[tuple] = []
-            for part, segment, anchor, body, second, n, rank in zip(*(c.to_pylist() for c in b.columns)):
+            for part, segment, anchor, body, second, rank in zip(*(c.to_pylist() for c in b.columns)):
                 units, text = pieces(body)
                 other = pieces(second)[1] if second is not None else None
                 prefix = prefix_hash(units)
@@ -173,9 +174,9 @@ def _finer(by_words: bool, length: int, k: int, width: int, alone: bool):
                 if alone:
                     finer = mix(finer ^ cut)
                 for x, y, f, c in zip(begin.tolist(), end.tolist(), _signed(finer).tolist(), _signed(cut).tolist()):
-                    rows.append((part, segment, x, anchor, f, c, text(x, y), other(x, y) if other else None, n, rank))
-            names = ("part", "segment", "at", "anchor", "finer", "cut", "body", "second", "n", "rank")
-            kinds = (pa.int64(), pa.int64(), pa.int32(), *(pa.int64(),) * 3, pa.binary(), pa.binary(), pa.int64(), pa.int64())
+                    rows.append((part, segment, x, anchor, f, c, text(x, y), other(x, y) if other else None, rank))
+            names = ("part", "segment", "at", "anchor", "finer", "cut", "body", "second", "rank")
+            kinds = (pa.int64(), pa.int64(), pa.int32(), *(pa.int64(),) * 3, pa.binary(), pa.binary(), pa.int64())
             yield _arrow(**{c: pa.array(v, t) for c, v, t in zip(names, zip(*rows) if rows else [()] * len(names), kinds)})
 
     return run
@@ -206,7 +207,7 @@ def _found(rows, runs) -> pa.RecordBatch:
 
 
 def _by_bwt(rows, length):
-    """rows: (part, segment, body, second, n, rank). All bodies are merged, and all seconds, which are other occurrences of their bodies."""
+    """rows: (part, segment, body, second, rank). All bodies are merged, and all seconds, which are other occurrences of their bodies."""
     strings = [r[2] for r in rows] + [r[3] for r in rows if r[3] is not None]
     yield _found(rows, [(i, 0, x, y) for i, x, y in repeated(strings, length) if i < len(rows)])
 
@@ -214,7 +215,7 @@ def _by_bwt(rows, length):
 def _by_automaton(rows, length):
     """The bodies, in the texts of smallest rank, are the reference; the seconds, and bodies that have none, are streamed."""
     lists = [r[2].split() for r in rows]
-    automaton = SuffixAutomaton([(w, r[5]) for w, r in zip(lists, rows)])
+    automaton = SuffixAutomaton([(w, r[4]) for w, r in zip(lists, rows)])
     runs: list[tuple] = []
     for i, (w, r) in enumerate(zip(lists, rows)):
         for at, least in automaton.windows(w if r[3] is None else r[3].split(), length):

@@ -95,7 +95,8 @@ def _found(s: DataFrame, templates: list, id_col: str, containment: float) -> Da
     found = F.filter(F.array(F.array_distinct(F.filter(bands(F.col("s"), SPAN), _maybe(known)))), lambda x: F.size(x) > 0)
     near = s.select("id", "s", F.explode_outer(found).alias("found")).filter(F.col("found").isNotNull())
     near = near.select("id", "found", F.array_distinct("s").alias("s"), F.explode("found").alias("band"))
-    pairs = near.join(t.select("license", "t_shingles", "t_bands", F.explode("t_bands").alias("band")), "band")
+    # both are of at most BLOCK bands, so they are broadcast
+    pairs = near.join(F.broadcast(t.select("license", F.explode("t_bands").alias("band"))), "band").join(F.broadcast(t), "license")
     pairs = pairs.filter(F.col("band") == F.array_min(F.array_intersect("found", "t_bands")))
     pairs = pairs.select("id", "license", F.size(F.array_intersect("s", "t_shingles")).cast("long").alias("n_found"), F.size("t_shingles").cast("long").alias("n_shingles"))
     share = F.col("n_found") / F.col("n_shingles")

@@ -34,7 +34,7 @@ WORDS, WORD_GRAM = 13, 5
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Bytes of segments that a task searches at a time, and different segments of one part that are dealt out together.
 BLOCK = 1 << 15
-TOGETHER = 1_000
+TOGETHER = 4_000
 #: Slices in which the occurrences of one segment get back what was found of it.
 SLICES = 64
 

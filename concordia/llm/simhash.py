@@ -277,38 +277,55 @@ def signature(hashes: np.ndarray) -> tuple[int, np.ndarray, int]:
     return simhash, keys, int.from_bytes(np.packbits((least >> _U(40)) & _U(1) == 1).tobytes(), "big")
 
 
-def alike(s: np.ndarray, t: np.ndarray, similarity: float) -> bool:
-    both = len(np.intersect1d(s, t, assume_unique=True))
-    return both >= similarity * (len(s) + len(t) - both)
+class _Common:
+    """How many hashes each of some sorted sets has in common with the others, by lists of the sets that hold a hash."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = len(sets)
+        hashes, owner = np.concatenate(sets), np.repeat(np.arange(self.n), [len(s) for s in sets])
+        order = np.argsort(hashes, kind="stable")
+        hashes, self.owner = hashes[order], owner[order]
+        new = np.append(True, hashes[1:] != hashes[:-1])[: len(hashes)]
+        self.first = np.flatnonzero(new)
+        self.count = np.diff(np.append(self.first, len(hashes)))
+        place = np.cumsum(new) - 1
+        shared = np.flatnonzero(self.count[place] > 1)
+        shared = shared[np.argsort(self.owner[shared], kind="stable")]
+        self.place, self.bounds = place[shared], np.searchsorted(self.owner[shared], np.arange(self.n + 1))
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        place = self.place[self.bounds[i] : self.bounds[i + 1]]
+        count = self.count[place]
+        at = np.arange(count.sum()) + np.repeat(self.first[place] - np.cumsum(count) + count, count)
+        return np.bincount(self.owner[at], minlength=self.n)
 
 
 def _joined(known: np.ndarray, side: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], need: int, similarity: float) -> list[tuple[int, int]]:
     """Verified links of some texts that connect whatever their similar pairs connect. Texts of equal ``known`` are connected already.
 
-    All pairs that agree in ``need`` sketch bits are taken, the likest first, but those that are connected by then; pairs of
-    one side are only taken on side 0.
+    All pairs that agree in ``need`` sketch bits are taken but those that are connected by then; of texts on two sides
+    only pairs across. From each text that is reached, those not yet reached are compared with it all at once.
     """
-    size = np.array([len(s) for s in sets])
-    root = list(np.unique(known, return_index=True)[1][np.unique(known, return_inverse=True)[1]])
-
-    def find(i):
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    like = 64 - np.bitwise_count(sketch[:, None] ^ sketch).astype(np.int16)
-    fit = (like >= need) & (np.minimum(size[:, None], size) >= similarity * np.maximum(size[:, None], size)) & ((side[:, None] == 0) | (side == 0)) & (known[:, None] != known)
+    size, common = np.array([len(s) for s in sets]), _Common(sets)
+    same = known[:, None] == known
+    fit = (np.bitwise_count(sketch[:, None] ^ sketch) <= 64 - need) & (np.minimum(size[:, None], size) >= similarity * np.maximum(size[:, None], size)) & ~same
     if side.any():
         fit &= side[:, None] != side
-    a, b = np.nonzero(np.triu(fit, 1))
-    order = np.argsort(-like[a, b], kind="stable")
-    out = []
-    for i, j in zip(a[order].tolist(), b[order].tolist()):
-        x, y = find(i), find(j)
-        if x != y and alike(sets[i], sets[j], similarity):
-            root[x] = y
-            out.append((i, j))
+    reached, out = np.zeros(len(sets), bool), []
+    for first in range(len(sets)):
+        turn = [] if reached[first] else [first]
+        reached[first] = True
+        while turn:
+            i = turn.pop()
+            near = np.flatnonzero(fit[i] & ~reached)
+            if len(near):
+                both = common[i][near]
+                near = near[both >= similarity * (size[i] + size[near] - both)]
+                out += [(i, j) for j in near.tolist()]
+                reached[near] = True
+            along = np.flatnonzero(same[i] & ~reached)
+            reached[along] = True
+            turn += [*near.tolist(), *along.tolist()]
     return out
 
 

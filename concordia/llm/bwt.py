@@ -17,30 +17,33 @@ from .common import byte_units, prefix_hash, span_hash
 
 #: Ends a string; it's no byte of UTF-8.
 END = 0xFF
-SHARD = 1 << 15
+SHARD = 1 << 13
 #: Bytes that the first ranking of a shard's rotations looks at.
 _FIRST = 7
 
 
-def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
-    order = np.argsort(key, kind="stable")
-    new = np.append(True, key[order][1:] != key[order][:-1])
-    rank = np.empty(len(key), np.int64)
-    rank[order] = np.cumsum(new) - 1
-    return order, rank, bool(new.all())
-
-
 def rotations(text: np.ndarray) -> np.ndarray:
-    """The order of a shard's rotations, by doubling the length that ranks look at."""
+    """The order of a shard's rotations, by doubling the length that ranks look at; only what stands in a group of equal ranks is sorted again."""
     n, k = len(text), _FIRST
     key = np.zeros(n, np.int64)
     for i in range(k):
         key = key << 8 | np.roll(text, -i)
-    order, rank, done = _ranked(key)
-    while not done and k < n:
-        order, rank, done = _ranked(rank * (n + 1) + np.roll(rank, -k % n))
-        k *= 2
-    return order
+    order = np.argsort(key)
+    key, slot = key[order], np.arange(n)
+    # the rank of a rotation is where its group begins
+    new = np.append(True, key[1:] != key[:-1])
+    rank = np.empty(n, np.int64)
+    while True:
+        rank[order[slot]] = slot[np.maximum.accumulate(np.where(new, np.arange(len(slot)), 0))]
+        alone = new & np.append(new[1:], True)
+        slot = slot[~alone]
+        if not len(slot) or k >= n:
+            return order
+        rows = order[slot]
+        key = rank[rows] * n + rank[(rows + k) % n]
+        at = np.argsort(key)
+        order[slot], key = rows[at], key[at]
+        new, k = np.append(True, key[1:] != key[:-1]), 2 * k
 
 
 def shards(strings: list[bytes], limit: int = SHARD) -> list[np.ndarray]:

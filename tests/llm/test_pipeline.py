@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline as cp
 from concordia.llm import simhash
 
@@ -120,3 +122,34 @@ def test_run_and_empty(spark, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").filter("false").write.parquet(f"{tmp_path}/{t}.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_joined_connects_what_similar_pairs_connect():
+    rng = np.random.default_rng(1)
+    for trial in range(40):
+        n = int(rng.integers(2, 30))
+        bases = [np.unique(rng.integers(0, 2**63, rng.integers(1, 60)).astype(np.uint64)) for _ in range(4)]
+        sets = []
+        for _ in range(n):
+            base = bases[rng.integers(4)]
+            rest = base[rng.random(len(base)) < rng.choice([0.7, 0.9, 0.97, 1])]
+            own = np.unique(np.concatenate([rest, rng.integers(0, 2**63, rng.integers(0, 4)).astype(np.uint64)]))
+            sets.append(own if len(own) else base[:1])
+        known = rng.integers(0, n, n) if trial % 2 else np.arange(n)
+        side = np.zeros(n, int) if trial % 3 else rng.integers(0, 2, n)
+        sketch = np.array([simhash.signature(s)[2] for s in sets], np.uint64)
+
+        def fits(i, j):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            near = bin(int(sketch[i] ^ sketch[j])).count("1") <= 64 - 40
+            return near and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) and (not side.any() or side[i] != side[j])
+
+        def classes(pairs):
+            of = list(range(n))
+            for i, j in [*pairs, *((i, j) for i in range(n) for j in range(i) if known[i] == known[j])]:
+                of = [of[i] if x == of[j] else x for x in of]
+            return [of.index(x) for x in of]
+
+        got = simhash._joined(known, side, sketch, sets, 40, 0.8)
+        assert all(fits(i, j) for i, j in got)
+        assert classes(got) == classes([(i, j) for i in range(n) for j in range(i) if fits(i, j)])

@@ -172,7 +172,7 @@ dots AS (SELECT a.p_partkey AS q, b.p_partkey, sum(a.idf * b.idf) AS dot FROM x
 k AS (SELECT capture_id, from_id, 2 * 6371.0088::double * asin(sqrt(pow(sin(radians(lat - lat0) / 2), 2) + cos(radians(lat0)) * cos(radians(lat)) * pow(sin(radians(lon - lon0) / 2), 2))) AS km, date_diff('second', at0, seen_at) / 60.0::double AS minutes FROM l WHERE from_id IS NOT NULL)
 SELECT capture_id, from_id, round(km, 4) AS km, round(minutes, 4) AS minutes, coalesce(km / ((minutes + 10) / 60) > 160, false) AS impossible FROM k""",
     "anomaly_rollup": DETECTED + " SELECT code, count(*) AS n FROM (SELECT unnest(codes) AS code FROM a) GROUP BY 1",
-    "dispositions": DETECTED + ", b AS (SELECT len(codes) AS x, len(list_filter(codes, lambda c: NOT starts_with(c, 'TIMESTAMP'))) AS y FROM a) SELECT CASE WHEN x = 0 THEN 'CLEAN' WHEN y = 0 THEN 'REPAIRED' WHEN y < x THEN 'PARTIAL' ELSE 'OPEN' END AS disposition, count(*) AS n FROM b GROUP BY 1",
+    "dispositions": DETECTED + ", b AS (SELECT len(codes) AS x, len(list_filter(codes, lambda c: c <> 'TIMESTAMP_NONSTANDARD')) AS y FROM a) SELECT CASE WHEN x = 0 THEN 'CLEAN' WHEN y = 0 THEN 'REPAIRED' WHEN y < x THEN 'PARTIAL' ELSE 'OPEN' END AS disposition, count(*) AS n FROM b GROUP BY 1",
     "active_resolutions": "SELECT user_id AS record_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS codes, arg_max(event_type, event_id) AS decision FROM events WHERE event_id % 3 <> 0 GROUP BY 1",
     "adjudicate_cases": FINES + " SELECT * FROM w",
     "status_summary": FINES + " SELECT verdict, count(*) AS n, coalesce(sum(amount_inr), 0) AS total_inr FROM w GROUP BY 1",

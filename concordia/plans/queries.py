@@ -483,9 +483,11 @@ def anomaly_rollup(spark, d):
 
 @query
 def dispositions(spark, d):
-    found = _detected(spark, d)
-    after = F.filter("anomalies", lambda c: ~c.startswith("TIMESTAMP"))
-    return found.groupBy(cleansing.disposition(F.col("anomalies"), after).alias("disposition")).agg(F.count("*").alias("n"))
+    """Times that can be read are written in the standard form, and the repaired records are screened again."""
+    found = _detected(spark, d).withColumnRenamed("anomalies", "before")
+    read = F.date_format(T.parse_ts(F.col("captured_at"))["moment"], "yyyy-MM-dd HH:mm:ss")
+    again = cleansing.detect(found.withColumn("captured_at", F.coalesce(read, "captured_at")), "2024-01-28 00:00:00")
+    return again.groupBy(cleansing.disposition(F.col("before"), F.col("anomalies")).alias("disposition")).agg(F.count("*").alias("n"))
 
 
 @query

@@ -65,3 +65,72 @@ class SuffixAutomaton:
             if matched >= length:
                 matched = length
                 yield i + 1 - length, self.least[state]
+
+
+class CountingAutomaton:
+    """All substrings of some word sequences, and at how many places each ends (the size of its endpos set).
+
+    The strings of a state end at the same places, so they have one count: that of the places where the state's longest string
+    was read, and, along the suffix links, of all states whose strings end in it.
+    """
+
+    def __init__(self):
+        self.words: list = []
+        self.next: list[dict] = [{}]
+        self.link, self.size, self.count, self.end = [-1], [0], [0], [-1]
+
+    def add(self, sequence: list) -> None:
+        following, link, size, count, end = self.next, self.link, self.size, self.count, self.end
+        at, last = len(self.words), 0
+        self.words += sequence
+        for at, w in enumerate(sequence, at):
+            q = following[last].get(w)
+            if q is not None and size[q] == size[last] + 1:
+                count[q] += 1
+                last = q
+                continue
+            new, p = len(size), last
+            if q is None:
+                following.append({})
+                size.append(size[last] + 1)
+                count.append(1)
+                end.append(at)
+                link.append(0)
+                while p >= 0 and w not in following[p]:
+                    following[p][w] = new
+                    p = link[p]
+                last = new
+                if p < 0:
+                    continue
+                q = following[p][w]
+                if size[q] == size[p] + 1:
+                    link[new] = q
+                    continue
+            # the strings of q up to p's longest and w also end where the others don't
+            copy = len(size)
+            following.append(dict(following[q]))
+            size.append(size[p] + 1)
+            end.append(end[q])
+            link.append(link[q])
+            link[q] = copy
+            if last == new:
+                count.append(0)
+                link[new] = copy
+            else:
+                count.append(1)
+                last = copy
+            while p >= 0 and following[p].get(w) == q:
+                following[p][w] = copy
+                p = link[p]
+
+    def substrings(self, least: int, most: int):
+        """(first word, end, count) of each different substring of least to most words: where one occurrence stands, and how many there are."""
+        size, link, count = self.size, self.link, self.count
+        for state in sorted(range(1, len(size)), key=size.__getitem__, reverse=True):
+            count[link[state]] += count[state]
+        for state in range(1, len(size)):
+            shortest = size[link[state]] + 1
+            if shortest <= most:
+                stop = self.end[state] + 1
+                for n in range(max(least, shortest), min(most, size[state]) + 1):
+                    yield stop - n, stop, count[state]

@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -230,6 +231,65 @@ def covered(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts[begin], reach[np.append(begin[1:], len(starts)) - 1]
 
 
+def folded(apart: bytes, only: bytes | None = None) -> bytes:
+    """A table for bytes.translate(): A-Z lower-cased, and a blank for each byte of ``apart``, or not in ``only``."""
+    out = bytearray(range(256))
+    for i in range(65, 91):
+        out[i] += 32
+    for i in range(256):
+        if i in apart or only is not None and i not in only:
+            out[i] = 32
+    return bytes(out)
+
+
+def term_counts(rows: DataFrame, keys: list[str], fold: bytes, most: int = 1 << 18) -> DataFrame:
+    """(*keys, term, n, docs): how often a term stands in all texts of a group, and in how many of them.
+
+    rows has the keys, strings that are never null, and ``text``; null is empty. ``fold`` is folded()'s table; terms are what
+    is left between white space. A task counts up to ``most`` entries before it hands them on, so a term that is in every text,
+    or a group that has most of them, is a few rows a task when it's shuffled.
+    """
+    names = [*keys, "term", "n", "docs"]
+
+    def handed(held):
+        for group, (n, docs) in held.items():
+            columns = [*(pa.array([g] * len(n), pa.string()) for g in group), pa.array([*n], pa.binary()).cast(pa.string()), pa.array([*n.values()], pa.int64()), pa.array([docs[t] for t in n], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    def count(batches):
+        held: dict[tuple, tuple[Counter, Counter]] = {}
+        for b in batches:
+            groups = zip(*(b.column(i).to_pylist() for i in range(len(keys))))
+            for i, (group, text) in enumerate(zip(groups, b.column(len(keys)).cast(pa.binary()))):
+                found = (text.as_py() or b"").translate(fold).split()
+                n, docs = held.setdefault(group, (Counter(), Counter()))
+                n.update(found)
+                docs.update(set(found))
+                if i % 64 == 0 and sum(len(x) for x, _ in held.values()) > most:
+                    yield from handed(held)
+                    held = {}
+        yield from handed(held)
+
+    out = ", ".join([*(f"{k} string" for k in keys), "term string", "n long", "docs long"])
+    counted = rows.select(*keys, "text").mapInArrow(count, out).groupBy(*keys, "term")
+    return counted.agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+
+def looked_up(rows: DataFrame, key: str, found: DataFrame, most: int = 10_000) -> DataFrame:
+    """rows left-joined to ``found``, which has each key once.
+
+    Keys that stand in over one of ``most`` rows each would be a task's whole share: of them there are at most ``most``,
+    and what was found of them is broadcast. The others meet by a shuffled join. A null key finds nothing.
+    """
+    n = rows.count()
+    hot = kept(rows.groupBy(key).agg(F.count("*").alias("_n")).filter((F.col("_n") * most > n) & F.col(key).isNotNull()).select(key))
+    some = F.broadcast(found.join(F.broadcast(hot), key, "left_semi").withColumn("_hot", F.lit(True)))
+    names = [c for c in found.columns if c != key]
+    out = rows.join(some, key, "left")
+    hit, rest = out.filter("_hot or " + f"`{key}` is null"), out.filter(f"_hot is null and `{key}` is not null").drop(*names, "_hot")
+    return hit.drop("_hot").unionByName(rest.join(found, key, "left"))
+
+
 _tables: set[str] = set()
 
 

@@ -146,12 +146,13 @@ UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::bigint FR
 SELECT lang, source, part, item, value, {_RANKED} FROM f QUALIFY part = 'pair' OR rank <= 200""",
     "op12_url_filter": _url_sql(),
     "op13_phrase_collocations": f"""WITH p AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {_LOW}), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
-f AS (SELECT lang, m, phrase, count(*) AS n FROM ({_PHRASES}) GROUP BY ALL),
+f AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS n FROM ({_PHRASES}) GROUP BY ALL),
 n AS (SELECT lang, sum(n) AS n FROM f WHERE m = 1 GROUP BY lang),
 c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND n >= 30),
 o AS (SELECT lang, phrase, max(n) AS over FROM (SELECT lang, n, unnest(list_transform(range(1, m - k + 2), lambda i: array_to_string(w[i:i+k-1], ' '))) AS phrase FROM c, (VALUES (2), (3)) t(k) WHERE k < m) GROUP BY ALL),
 x AS (SELECT c.*, unnest(range(1, m)) AS k FROM c LEFT JOIN o USING (lang, phrase) WHERE coalesce(100::hugeint * over < 80::hugeint * n, true)),
-s AS (SELECT x.lang, x.phrase, x.n AS a, x.k, l.n AS l, r.n AS r, 2000000::hugeint * x.n // (l.n + r.n) AS score FROM x JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(w[1:k], ' ') JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(w[k+1:], ' ')),
+y AS MATERIALIZED (SELECT x.lang, x.phrase, x.n AS a, x.k, array_to_string(x.w[x.k+1:], ' ') AS rest, f.n AS l FROM x JOIN f ON f.lang = x.lang AND f.phrase = array_to_string(x.w[1:x.k], ' ')),
+s AS MATERIALIZED (SELECT y.*, f.n AS r, 2000000::hugeint * a // (l + f.n) AS score FROM y JOIN f ON f.lang = y.lang AND f.phrase = y.rest),
 b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n.n::bigint AS n, score::bigint AS score FROM b JOIN n USING (lang) QUALIFY rank <= 2000""",
 }

@@ -105,8 +105,9 @@ def find(keyed: DataFrame, by_words: bool, length: int, k: int, block: int = BLO
     seen = stored(seen.withColumn("slice", F.pmod("place", F.lit(SLICES)).cast("int")))
     shown = F.when(F.col("body").isNotNull(), F.struct("rank", "place", "body"))
     sliced = seen.select("anchor", "segment", "slice").distinct()
-    distinct = seen.groupBy("anchor", "segment").agg(F.min(shown).alias("one"), F.max(shown).alias("two"), F.min("rank").alias("rank"))
-    second = F.when(F.col("one.place") != F.col("two.place"), F.col("two.body"))
+    distinct = seen.groupBy("anchor", "segment").agg(F.min(shown).alias("one"), F.max(shown).alias("two"), F.min("rank").alias("rank"), F.count("*").alias("n"))
+    # rows equal in id and text share their places: the second occurrence is then as the first
+    second = F.when(F.col("one.place") != F.col("two.place"), F.col("two.body")).when(F.col("n") > 1, F.col("one.body"))
     distinct = distinct.select(F.col("anchor").alias("part"), "segment", "anchor", F.col("one.body").alias("body"), second.alias("second"), "rank")
     wide = length - k + 1
     found = _searched(distinct, seen.select(F.col("anchor").alias("part"), "segment").distinct(), by_words, length, k, block, together, (max(2, wide // 8), 1))
@@ -167,9 +168,12 @@ def _finer(by_words: bool, length: int, k: int, width: int, alone: bool):
                 window = np.arange(len(units) - length + 1)
                 after = stands[np.searchsorted(stands, window)]
                 place = (after - window) // width
-                begin = np.flatnonzero(np.append(True, (after[1:] != after[:-1]) | (place[1:] != place[:-1])))
+                begin = window if alone else np.flatnonzero(np.append(True, place[1:] != place[:-1]))
                 end = np.append(begin[1:], len(window)) - 1 + length
                 cut = span_hash(prefix, begin, end)
+                if alone:
+                    use = _needed(cut, begin, length)
+                    begin, end, cut = begin[use], end[use], cut[use]
                 finer = mix(np.int64(anchor).view(np.uint64) ^ mix(place[begin].astype(np.uint64) * np.uint64(width) + np.uint64(width << 20)))
                 if alone:
                     finer = mix(finer ^ cut)
@@ -182,6 +186,21 @@ def _finer(by_words: bool, length: int, k: int, width: int, alone: bool):
     return run
 
 
+def _needed(cut: np.ndarray, begin: np.ndarray, length: int) -> np.ndarray:
+    """Which of a text's windows, equal where their hashes are, have to be kept so that equal ones cover what all of them do.
+
+    Of a run of one character, or a short period, nearly all windows can go: what is left of each different one are the first in each
+    stretch of half a window, and those after which half a window goes by without an equal one. Of two or more equal ones two stay.
+    """
+    half = max(1, length // 2)
+    order = np.lexsort((begin, cut))
+    c, at = cut[order], begin[order]
+    same = c[1:] == c[:-1]
+    first = np.append(True, ~same | (at[1:] // half != at[:-1] // half))
+    last = np.append(~same | (at[1:] - at[:-1] > half), True)
+    return np.sort(order[first | last])
+
+
 def _blocks(search, length: int, block: int):
     """Hands over whole anchors, some of them at a time."""
 

@@ -84,3 +84,33 @@ def test_automaton_against_all_windows():
 def test_repeats_within_one_string():
     assert repeated([b"abcabcab"], 3) == [(0, 0, 8)]
     assert repeated([b"abcd", b"xbcdy"], 3, limit=4) == [(0, 1, 4), (1, 1, 4)]
+
+
+def test_equal_rows_repeat_each_other(spark):
+    text = "".join(random.Random(8).choice("abcdefgh ") for _ in range(649))
+    other = text[::-1] + " other"
+    for sizes in ({}, {"together": 1}, {"together": 1, "block": 1}):
+        check(spark, [(1, text), (1, text)], "doc_id long, text string", **sizes)
+        check(spark, [(1, text), (1, text), (None, text), (2, other), (2, other), (None, other), (3, "x" + other[5:400])], "doc_id long, text string", **sizes)
+
+
+def test_runs_and_short_periods(spark):
+    rows = [(1, "-" * 1500), (2, "a" + "-" * 260 + "b"), (3, "=-" * 400), (4, "= " * 300 + "x"), (5, "-" * 199), (6, "ab c" * 90 + "-" * 300), (7, "no run")]
+    for sizes in ({}, {"together": 1}):
+        check(spark, rows, "doc_id long, text string", **sizes)
+
+
+def test_what_is_kept_of_equal_windows_covers_them_all():
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    for length in (1, 2, 7, 200):
+        begin = np.flatnonzero(r.random(3000) < 0.7)
+        cut = r.integers(0, 3, len(begin)).astype(np.uint64) if length > 1 else np.zeros(len(begin), np.uint64)
+        use = passages._needed(cut, begin, length)
+        for c in np.unique(cut):
+            all_, some = begin[cut == c], begin[use][cut[use] == c]
+            assert len(some) >= min(2, len(all_))
+            cover = lambda x: {i for b in x for i in range(b, b + length)}
+            assert cover(all_) == cover(some)
+    assert len(passages._needed(np.zeros(10_000, np.uint64), np.arange(10_000), 200)) < 300

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import matching, timeline
+from .cleansing import MAX_KMH
+
 # Fixed values.
 FINE_FIRST_INR, FINE_REPEAT_INR = 2000, 4000
 STATUS = {"ISSUE": "ISSUED", "HOLD": "HOLD", "REJECT": "REJECTED"}
@@ -35,9 +38,27 @@ def verify(cases: DataFrame) -> DataFrame:
     for when, verdict, reason in reversed(steps):
         result = F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(verdict).alias("verdict"), F.lit(reason).alias("reason"))).otherwise(result)
     out = cases.withColumn("_r", result).select(*cases.columns, "_r.verdict", "_r.reason")
-    queue = Window.partitionBy("resolved").orderBy("case_id").rowsBetween(Window.unboundedPreceding, -1)
-    prior = F.coalesce(F.sum((F.col("verdict") == "ISSUE").cast("int")).over(queue), F.lit(0))
-    return out.withColumn("amount_inr", F.when(F.col("verdict") == "ISSUE", F.when(prior > 0, FINE_REPEAT_INR).otherwise(FINE_FIRST_INR)))
+    first = out.filter("verdict = 'ISSUE'").groupBy(F.col("resolved").alias("_key")).agg(F.min("case_id").alias("_first"))
+    out = out.join(first, F.col("resolved") == F.col("_key"), "left")
+    fine = F.when(F.col("case_id") > F.col("_first"), FINE_REPEAT_INR).otherwise(FINE_FIRST_INR)
+    return out.withColumn("amount_inr", F.when(F.col("verdict") == "ISSUE", fine)).drop("_key", "_first")
+
+
+def evidence(cases: DataFrame, official: DataFrame, thefts: DataFrame, policies: DataFrame, failed: list[str] = ()) -> DataFrame:
+    """cases (case_id, read, observed_make, observed_colour, at, lat, lon) with all that verify() asks about, joined from the sources.
+
+    official: key, vehicle_make, vehicle_colour, registration_status; thefts: key, stolen_status, last_incident_date; a row a key.
+    policies: key, insurance_start, insurance_expiry, all of a key's. failed: authoritative sources that did not answer.
+    The read is resolved to a registered key; the journeys are those between all cases of one resolved key; the policy is
+    that in force on the day. A case of unknown identity has no such evidence.
+    """
+    known = official.select("key", F.col("vehicle_make").alias("make"), F.col("vehicle_colour").alias("colour"))
+    own = matching.resolve(cases, known.select("key", "make", "colour")).drop("make", "colour").withColumn("captured_on", F.to_date("at"))
+    legs = timeline.journeys(own, "resolved", "at", "case_id", MAX_KMH).filter("impossible").groupBy(F.col("resolved").alias("key")).agg(F.count("*").alias("impossible_legs"))
+    out = timeline.in_force(own.withColumn("key", F.col("resolved")), "key", "captured_on", policies.withColumnsRenamed({"insurance_start": "start", "insurance_expiry": "expiry"}))
+    out = out.withColumnsRenamed({"start": "insurance_start", "expiry": "insurance_expiry"})
+    out = out.join(legs, "key", "left").join(official.select("key", "registration_status"), "key", "left").join(thefts.select("key", "stolen_status", "last_incident_date"), "key", "left")
+    return out.withColumns({"impossible_legs": F.coalesce("impossible_legs", F.lit(0)), "sources_failed": F.lit(len(failed))}).drop("key")
 
 
 def fold(events: DataFrame) -> DataFrame:
@@ -53,5 +74,11 @@ def fold(events: DataFrame) -> DataFrame:
     return ordered.select("case_id", F.aggregate("e", F.lit(None).cast("string"), step).alias("status"))
 
 
+def prevented(cases: DataFrame) -> DataFrame:
+    """(status, n) of each status of some cases, and PREVENTED: those rejected or cancelled."""
+    counted = cases.groupBy("status").agg(F.count("*").alias("n"))
+    return counted.unionByName(counted.agg(F.lit("PREVENTED").alias("status"), F.coalesce(F.sum(F.when(F.col("status").isin("REJECTED", "CANCELLED"), F.col("n"))), F.lit(0)).alias("n")))
+
+
 def summary(cases: DataFrame) -> DataFrame:
     return cases.groupBy("verdict").agg(F.count("*").alias("n"), F.coalesce(F.sum("amount_inr"), F.lit(0)).alias("total_inr"))

@@ -35,8 +35,8 @@ def choose(registry: Registry, attributes) -> tuple[list[str], dict[str, str]]:
     return asked, skipped
 
 
-def unfold(source: Source, tables: dict[str, DataFrame], attributes=None, keys: DataFrame | None = None) -> DataFrame:
-    """The source's rows as shared attributes: key and one column each; of a key's rows the latest, where one is declared.
+def unfold(source: Source, tables: dict[str, DataFrame], attributes=None, keys: DataFrame | None = None, every: bool = False) -> DataFrame:
+    """The source's rows as shared attributes: key and one column each; of a key's rows the latest, where one is declared, or all (``every``).
 
     Only joins that a wanted attribute needs are made, and they keep rows without a partner. A column is always
     meant with its table, so equal names don't mix.
@@ -67,11 +67,24 @@ def unfold(source: Source, tables: dict[str, DataFrame], attributes=None, keys:
     out = out.select(norm_plate(F.col(f"{key.table}__{key.column}")).alias("key"), *value.values(), *extra).filter("key <> ''")
     if keys is not None:
         out = out.join(keys.select(norm_plate(F.col("key")).alias("key")).distinct(), "key", "left_semi")
-    order = ([F.desc_nulls_last(latest)] if latest else []) + ([F.asc("_tie")] if source.tie else [F.lit(0)])
-    out = out.withColumn("_at", F.row_number().over(Window.partitionBy("key").orderBy(*order))).filter("_at = 1").drop("_at", "_tie")
+    if not every:
+        order = ([F.desc_nulls_last(latest)] if latest else []) + ([F.asc("_tie")] if source.tie else [F.lit(0)])
+        out = out.withColumn("_at", F.row_number().over(Window.partitionBy("key").orderBy(*order))).filter("_at = 1").drop("_at")
+    out = out.drop("_tie")
     return out if attributes is None else out.select("key", *(a for a in value if a in attributes))
 
 
+def failures(registry: Registry, status: dict[str, str]) -> list[str]:
+    """Ids of the sources whose silence forbids a conclusion: failed, and not merely observing."""
+    return sorted(s.id for s in registry.sources if status.get(s.id, "OK") in FAILED and s.authority != "observational")
+
+
+def corroboration(frames: dict[str, DataFrame], registry: Registry) -> DataFrame:
+    """(key, sources): how many sources that don't merely observe hold each key."""
+    held = [frames[s.id].select("key", F.lit(s.id).alias("s")) for s in registry.sources if s.id in frames and s.authority != "observational"]
+    return reduce(DataFrame.unionByName, held).groupBy("key").agg(F.count_distinct("s").alias("sources"))
+
+
 def integrate(frames: dict[str, DataFrame], registry: Registry, status: dict[str, str], keys: DataFrame | None = None) -> DataFrame:
     """One row per key: each attribute from the last source that has it, provenance, conflicts, availability.
 

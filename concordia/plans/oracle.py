@@ -110,11 +110,6 @@ DETECTED = f"""WITH {TABLES}, d AS (SELECT c.*, v.colour, CASE WHEN capture_id %
 a AS (SELECT capture_id, list_filter([CASE WHEN colour IS NULL THEN 'PLATE_NOT_REGISTERED' END, CASE WHEN NOT regexp_full_match(plate_id, '[A-Z]{{2}}[0-9]{{2}}[A-Z]{{1,3}}[0-9]{{4}}') THEN 'PLATE_SHAPE_INVALID' END, CASE WHEN colour <> observed_colour THEN 'COLOUR_DISAGREES_REGISTRATION' END, CASE WHEN ocr_confidence < 0.7 THEN 'LOW_OCR_CONFIDENCE' END,
   CASE WHEN fmt = 'bad' THEN 'TIMESTAMP_UNPARSEABLE' END, CASE WHEN fmt <> 'bad' AND moment > TIMESTAMP '2024-01-28 00:00:00' THEN 'TIMESTAMP_FUTURE' END, CASE WHEN fmt = 'other' THEN 'TIMESTAMP_NONSTANDARD' END], lambda x: x IS NOT NULL) AS codes FROM d)"""
 
-FINES = """WITH f AS (SELECT o_orderkey AS i, o_custkey AS resolved, o_orderdate::date AS day FROM orders),
-v AS (SELECT i AS case_id, resolved, CASE WHEN i % 50 = 0 THEN 'HOLD|sources unreachable' WHEN i % 20 = 1 THEN 'REJECT|no registered match' WHEN i % 20 = 2 THEN 'HOLD|ambiguous identity' WHEN i % 25 = 3 THEN 'HOLD|impossible travel' WHEN i % 30 = 4 THEN 'REJECT|stolen before sighting' WHEN i % 40 = 5 THEN 'REJECT|registration offence'
-  WHEN i % 4 <> 0 AND i % 2 = 0 THEN 'REJECT|insured on the day' ELSE 'ISSUE|uninsured on the day' END AS r FROM f),
-w AS (SELECT case_id, split_part(r, '|', 1) AS verdict, split_part(r, '|', 2) AS reason, CASE WHEN r LIKE 'ISSUE%' THEN CASE WHEN sum((r LIKE 'ISSUE%')::int) OVER (PARTITION BY resolved ORDER BY case_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 THEN 4000 ELSE 2000 END END AS amount_inr FROM v)"""
-
 SCORED = "WITH s AS (SELECT doc_id, quality, toxic, (doc_id * 37 % 101) / 101.0::double AS p, (doc_id * 37 % 101 > 40)::int AS guess FROM labels)"
 
 ORACLE_SQL: dict[str, str] = {
@@ -174,8 +169,6 @@ SELECT capture_id, from_id, round(km, 4) AS km, round(minutes, 4) AS minutes, co
     "anomaly_rollup": DETECTED + " SELECT code, count(*) AS n FROM (SELECT unnest(codes) AS code FROM a) GROUP BY 1",
     "dispositions": DETECTED + ", b AS (SELECT len(codes) AS x, len(list_filter(codes, lambda c: c <> 'TIMESTAMP_NONSTANDARD')) AS y FROM a) SELECT CASE WHEN x = 0 THEN 'CLEAN' WHEN y = 0 THEN 'REPAIRED' WHEN y < x THEN 'PARTIAL' ELSE 'OPEN' END AS disposition, count(*) AS n FROM b GROUP BY 1",
     "active_resolutions": "SELECT user_id AS record_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS codes, arg_max(event_type, event_id) AS decision FROM events WHERE event_id % 3 <> 0 GROUP BY 1",
-    "adjudicate_cases": FINES + " SELECT * FROM w",
-    "status_summary": FINES + " SELECT verdict, count(*) AS n, coalesce(sum(amount_inr), 0) AS total_inr FROM w GROUP BY 1",
     "prior_count": "SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS prior FROM orders GROUP BY 1",
     "repeat_running": "SELECT o_orderkey, coalesce(sum((o_orderstatus = 'F')::int) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM orders",
     "log_topn": "SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 25",

@@ -14,9 +14,11 @@ from concordia.sources import sample
 from concordia.sources import tables as sinks
 from concordia.sources.sample import TODAY, load
 
-from .oracle import ORACLE_SQL as ORACLE_SQL
+from . import casework
+from .oracle import ORACLE_SQL as _SQL
 
-QUERIES: dict = {}
+QUERIES: dict = dict(casework.QUERIES)
+ORACLE_SQL: dict[str, str] = {**_SQL, **casework.ORACLE_SQL}
 
 
 def query(f):
@@ -501,26 +503,6 @@ def active_resolutions(spark, d):
 # ------------------------------------------------------------------ adjudication and logs
 
 
-def _fines(spark, d):
-    (o,) = load(spark, d, "orders")
-    i = F.col("o_orderkey")
-    day = F.col("o_orderdate").cast("date")
-    return o.select(
-        i.alias("case_id"), F.col("o_custkey").alias("resolved"), (i % 50 == 0).cast("int").alias("sources_failed"), F.when(i % 20 == 1, "NONE").when(i % 20 == 2, "AMBIGUOUS").otherwise("RESOLVED").alias("outcome"), (i % 25 == 3).cast("int").alias("impossible_legs"),
-        F.when(i % 30 == 4, "STOLEN").otherwise("NOT_REPORTED").alias("stolen_status"), F.date_add(day, -3).alias("last_incident_date"), F.when(i % 40 == 5, "SUSPENDED").otherwise("ACTIVE").alias("registration_status"),
-        F.when(i % 3 == 0, F.date_add(day, -100)).alias("insurance_start"), F.when(i % 4 != 0, F.date_add(day, F.when(i % 2 == 0, 30).otherwise(-2))).alias("insurance_expiry"), day.alias("captured_on"))
-
-
-@query
-def adjudicate_cases(spark, d):
-    return adjudicate.verify(_fines(spark, d)).select("case_id", "verdict", "reason", F.col("amount_inr").cast("long").alias("amount_inr"))
-
-
-@query
-def status_summary(spark, d):
-    return adjudicate.summary(adjudicate.verify(_fines(spark, d)))
-
-
 @query
 def case_life(spark, d):
     (e,) = load(spark, d, "events")

@@ -73,7 +73,7 @@ def legs(sightings: DataFrame, key: str, at: str, tie: str, lat: str = "lat", lo
 def detect(df: DataFrame, horizon: str, floor: float = CONFIDENCE_FLOOR) -> DataFrame:
     """df with anomalies, an array of codes. Of its columns those are used that it has: registered, shape_ok, ocr_confidence,
 
-    captured_at (text), duplicate_of, travel_conflict, and for make, model and colour in_lexicon and agrees.
+    corroborated (a low confidence then doesn't count), captured_at (text), duplicate_of, travel_conflict, and for make, model and colour in_lexicon and agrees.
     """
     has = {*df.columns}
     when = lambda need, condition, code: [F.when(condition, code)] if {*need} <= has else []
@@ -83,7 +83,8 @@ def detect(df: DataFrame, horizon: str, floor: float = CONFIDENCE_FLOOR) -> Data
     for a in ("make", "model", "colour"):
         codes += when([f"{a}_in_lexicon"], F.col(f"{a}_in_lexicon") == F.lit(False) if f"{a}_in_lexicon" in has else None, f"{a.upper()}_NOT_IN_LEXICON")
         codes += when([f"{a}_agrees"], F.col(f"{a}_agrees") == F.lit(False) if f"{a}_agrees" in has else None, f"{a.upper()}_DISAGREES_REGISTRATION")
-    codes += when(["ocr_confidence"], F.col("ocr_confidence") < floor if "ocr_confidence" in has else None, "LOW_OCR_CONFIDENCE")
+    backed = F.col("corroborated") if "corroborated" in has else F.lit(False)
+    codes += when(["ocr_confidence"], (F.col("ocr_confidence") < floor) & ~backed if "ocr_confidence" in has else None, "LOW_OCR_CONFIDENCE")
     if ts is not None:
         moment, name = ts["moment"], ts["format"]
         codes += [F.when(moment.isNull(), "TIMESTAMP_UNPARSEABLE"), F.when(moment > F.lit(horizon).cast("timestamp_ntz"), "TIMESTAMP_FUTURE"), F.when(name != "iso", "TIMESTAMP_NONSTANDARD")]

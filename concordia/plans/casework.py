@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from concordia.operators import adjudicate, matching, open_world
+from concordia.operators import adjudicate, cleansing, matching, open_world, repair, rules
 from concordia.operators import channel as channel_
 from concordia.plans import mediate
 from concordia.sources import sample
@@ -148,3 +148,90 @@ def queue_statuses(spark, d):
 def fines_source_down(spark, d):
     """While the insurers' source is down nobody is fined."""
     return judged(spark, d, {"INS": "DOWN", "CAM": "DOWN"}).groupBy("verdict", "reason").agg(F.count("*").alias("n"))
+
+
+# ------------------------------------------------------------------ record repair
+
+HORIZON = "2024-01-28T00:00:00"
+_DIRTY = f"""WITH {TABLES}, raw AS (SELECT capture_id AS record_id, plate_id AS plate_number, observed_make, observed_model, CASE capture_id % 9 WHEN 2 THEN left(observed_colour, 2) || 'x' || substring(observed_colour, 3) WHEN 4 THEN lower(observed_colour) ELSE observed_colour END AS observed_colour,
+CASE capture_id % 17 WHEN 0 THEN '??' WHEN 1 THEN strftime(seen_at, '%d/%m/%Y %H:%M:%S') ELSE strftime(seen_at, '%Y-%m-%dT%H:%M:%S') END AS last_seen_time, camera_id, ocr_confidence FROM captures),
+dirty AS (SELECT * FROM raw UNION ALL SELECT * REPLACE (record_id + 1000000 AS record_id) FROM raw WHERE record_id % 20 = 0)"""
+
+
+def _agrees(a: str, b: str) -> str:
+    return f"CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN starts_with(lower({a}), lower({b})) OR starts_with(lower({b}), lower({a})) END"
+
+
+def _screen(source: str, p: str) -> str:
+    """{p}e: each record of a table with what is known of it; {p}r: what the rules say of each field; {p}a: its anomalies."""
+    found = ""
+    for a in ("make", "model", "colour"):
+        found += f""", {p}{a} AS (SELECT v, CASE WHEN max(c = v) THEN 'exact' WHEN max(lower(c) = lower(v)) THEN 'surface' WHEN min(levenshtein(lower(c), lower(v))) <= CASE WHEN length(v) <= 5 THEN 1 ELSE 2 END THEN 'edit' END AS kind, arg_min(c, levenshtein(lower(c), lower(v))) AS c FROM (SELECT DISTINCT observed_{a} AS v FROM {source} WHERE observed_{a} IS NOT NULL), (SELECT DISTINCT {a} AS c FROM vehicle) GROUP BY v)"""
+    each = ", ".join(f"{a}.kind AS {a}_kind, CASE WHEN {a}.kind IS NOT NULL THEN {a}.c END AS {a}_canonical, v.{a} AS held_{a}" for a in ("make", "model", "colour"))
+    joins = " ".join(f"LEFT JOIN {p}{a} {a} ON {a}.v = d.observed_{a}" for a in ("make", "model", "colour"))
+    text = " UNION ALL ".join(
+        f"""SELECT record_id, 'observed_{a}' AS field, observed_{a} AS value, CASE WHEN {a}_canonical IS NOT NULL AND {a}_kind <> 'exact' THEN CASE WHEN {a}_kind = 'edit' AND NOT {a}_agrees THEN 'R2|quarantine' ELSE 'R1|set' END WHEN observed_{a} IS NOT NULL AND {a}_canonical IS NULL AND held_{a} IS NOT NULL THEN 'R3|set' WHEN {a}_kind = 'exact' AND NOT {a}_agrees THEN 'R4|flag' ELSE 'R0|keep' END AS r, coalesce({a}_canonical, held_{a}) AS new FROM {p}e"""
+        for a in ("make", "model", "colour")
+    )
+    codes = ", ".join(f"CASE WHEN observed_{a} IS NOT NULL AND coalesce({a}_kind, '') <> 'exact' THEN '{a.upper()}_NOT_IN_LEXICON' END, CASE WHEN NOT {a}_agrees THEN '{a.upper()}_DISAGREES_REGISTRATION' END" for a in ("make", "model", "colour"))
+    return f"""{found}, {p}j AS (SELECT d.*, {_norm('plate_number')} AS plate, v.registration_no IS NOT NULL AS registered, {each}, CASE WHEN last_seen_time LIKE '__/%' THEN strptime(last_seen_time, '%d/%m/%Y %H:%M:%S') WHEN last_seen_time <> '??' THEN last_seen_time::timestamp END AS moment, 28 + camera_id * 0.35::double AS lat, 77 + camera_id * 0.25::double AS lon
+FROM {source} d LEFT JOIN vehicle v ON v.registration_no = {_norm('d.plate_number')} {joins}),
+{p}l AS (SELECT record_id, lag(record_id) OVER w AS from_id, lat, lon, moment, lag(lat) OVER w AS lat0, lag(lon) OVER w AS lon0, lag(moment) OVER w AS at0 FROM {p}j WHERE moment IS NOT NULL WINDOW w AS (PARTITION BY plate ORDER BY moment, record_id)),
+{p}t AS (SELECT record_id, from_id FROM {p}l WHERE from_id IS NOT NULL AND 2 * 6371.0088::double * asin(sqrt(pow(sin(radians(lat - lat0) / 2), 2) + cos(radians(lat0)) * cos(radians(lat)) * pow(sin(radians(lon - lon0) / 2), 2))) / ((date_diff('second', at0, moment) / 60.0::double + 10) / 60) > 160),
+{p}e AS MATERIALIZED (SELECT *, {', '.join(f"{_agrees(f'{a}_canonical', f'held_{a}')} AS {a}_agrees" for a in ('make', 'model', 'colour'))}, coalesce({_agrees('observed_make', 'held_make')}, false) OR coalesce({_agrees('observed_colour', 'held_colour')}, false) AS backed,
+record_id IN (SELECT record_id FROM {p}t UNION ALL SELECT from_id FROM {p}t) AS conflict, nullif(min(record_id) OVER (PARTITION BY plate, camera_id, last_seen_time), record_id) AS duplicate_of FROM {p}j),
+{p}r AS (SELECT record_id, field, value, split_part(r, '|', 1) AS rule, split_part(r, '|', 2) AS action, CASE WHEN r LIKE '%set' THEN new WHEN r LIKE '%flag' THEN 'CLONE_SUSPECT' END AS set_to FROM ({text}
+UNION ALL SELECT record_id, 'plate_number', plate_number, CASE WHEN NOT registered THEN 'R6|quarantine' WHEN ocr_confidence < 0.7 THEN CASE WHEN backed THEN 'R8|keep' ELSE 'R7|quarantine' END ELSE 'R0|keep' END, NULL FROM {p}e
+UNION ALL SELECT record_id, 'last_seen_time', last_seen_time, CASE WHEN moment IS NULL OR moment > TIMESTAMP '{HORIZON}' THEN 'R10|quarantine' WHEN last_seen_time LIKE '__/%' THEN 'R9|set' ELSE 'R0|keep' END, strftime(moment, '%Y-%m-%dT%H:%M:%S') FROM {p}e
+UNION ALL SELECT record_id, 'record', NULL, CASE WHEN conflict THEN 'R4|flag' WHEN duplicate_of IS NOT NULL THEN 'R11|delete' ELSE 'R0|keep' END, NULL FROM {p}e)),
+{p}a AS (SELECT record_id, list_filter([CASE WHEN NOT registered THEN 'PLATE_NOT_REGISTERED' END, CASE WHEN NOT regexp_matches(plate, '^DL[0-9]{{2}}[A-Z]{{1,3}}[0-9]{{4}}$') THEN 'PLATE_SHAPE_INVALID' END, {codes}, CASE WHEN ocr_confidence < 0.7 AND NOT backed THEN 'LOW_OCR_CONFIDENCE' END, CASE WHEN moment IS NULL THEN 'TIMESTAMP_UNPARSEABLE' END,
+CASE WHEN moment > TIMESTAMP '{HORIZON}' THEN 'TIMESTAMP_FUTURE' END, CASE WHEN last_seen_time LIKE '__/%' THEN 'TIMESTAMP_NONSTANDARD' END, CASE WHEN duplicate_of IS NOT NULL THEN 'DUPLICATE_CAPTURE' END, CASE WHEN conflict THEN 'IMPOSSIBLE_TRAVEL' END], lambda c: c IS NOT NULL) AS codes FROM {p}e)"""
+
+
+_SET = "max(set_to) FILTER (action = 'set' AND field = '{0}')"
+_MENDED = f""", s AS (SELECT record_id, bool_or(action = 'delete') AS gone, {', '.join(f"{_SET.format(f)} AS new_{f}" for f in ('observed_make', 'observed_model', 'observed_colour', 'last_seen_time'))} FROM xr GROUP BY 1),
+mended AS (SELECT d.* REPLACE ({', '.join(f"coalesce(new_{f}, {f}) AS {f}" for f in ('observed_make', 'observed_model', 'observed_colour', 'last_seen_time'))}) FROM dirty d JOIN s USING (record_id) WHERE NOT gone)"""
+
+
+def dirty(spark, d):
+    """All captures as records, some with colours misspelled, times that are no times or in another form, and some recorded twice."""
+    t = sample.tables(spark, d)
+    i, c = F.col("capture_id"), F.col("observed_colour")
+    colour = F.when(i % 9 == 2, F.concat(F.substring(c, 1, 2), F.lit("x"), F.substring(c, 3, 20))).when(i % 9 == 4, F.lower(c)).otherwise(c)
+    time = F.when(i % 17 == 0, "??").when(i % 17 == 1, F.date_format(F.col("captured_at").cast("timestamp_ntz"), "dd/MM/yyyy HH:mm:ss")).otherwise(F.col("captured_at"))
+    raw = t["CAPTURES"].join(F.broadcast(t["CAMERAS"]), "camera_id").select(i.alias("record_id"), F.col("plate_id").alias("plate_number"), "observed_make", "observed_model", colour.alias("observed_colour"), time.alias("last_seen_time"), F.col("location_name").alias("location"), "lat", "lon", "ocr_confidence")
+    held = repair.known(t["VEHICLE"].select(F.col("registration_no").alias("key"), "make", "model", "colour"), HORIZON.replace("T", " "))
+    return raw.unionByName(raw.filter("record_id % 20 = 0").withColumn("record_id", F.col("record_id") + 1_000_000)), held
+
+
+@query(_DIRTY + _screen("dirty", "x") + " SELECT record_id, field, value, rule, action, set_to FROM xr")
+def record_proposals(spark, d):
+    """What the rules conclude of every field of every record, from features of lexicons, registrations and journeys; plates aren't matched."""
+    records, held = dirty(spark, d)
+    cases = repair.fields(repair.enrich(records, held), held)
+    return cleansing.propose(cases, rules.default_tree()).select("record_id", "field", "value", "rule", "action", "set_to")
+
+
+@query(
+    _DIRTY + _screen("dirty", "x") + _MENDED + _screen("mended", "y")
+    + """ SELECT 'before' AS part, code, count(*) AS n FROM (SELECT unnest(codes) AS code FROM xa) GROUP BY code UNION ALL SELECT 'after', code, count(*) FROM (SELECT unnest(codes) AS code FROM ya) GROUP BY code
+UNION ALL SELECT 'proposed', action, count(*) FROM xr WHERE action <> 'keep' GROUP BY action"""
+)
+def record_repair(spark, d):
+    """Anomalies before and after all repairs, until nothing changes, and what was proposed."""
+    return repair.rollup(repair.repair(*dirty(spark, d)))
+
+
+_KIND = "CASE WHEN code LIKE 'PLATE%' OR code = 'LOW_OCR_CONFIDENCE' THEN 'plate_number' WHEN code LIKE 'TIME%' THEN 'last_seen_time' WHEN code IN ('DUPLICATE_CAPTURE', 'IMPOSSIBLE_TRAVEL') THEN 'record' ELSE 'observed_' || lower(split_part(code, '_', 1)) END"
+
+
+@query(
+    _DIRTY + _screen("dirty", "x") + _MENDED + _screen("mended", "y")
+    + f""", o AS (SELECT record_id, code, {_KIND} AS field FROM (SELECT record_id, unnest(codes) AS code FROM ya))
+SELECT code, CASE WHEN code = 'IMPOSSIBLE_TRAVEL' AND o.record_id % 7 = 0 THEN 'resolved' WHEN action = 'flag' THEN 'flagged' WHEN action = 'quarantine' THEN 'quarantined' ELSE 'unhandled' END AS disposition, count(*) AS n FROM o JOIN yr USING (record_id, field) GROUP BY 1, 2"""
+)
+def record_dispositions(spark, d):
+    """What becomes of the anomalies that remain; those that a person has ruled on are resolved."""
+    records, held = dirty(spark, d)
+    ruled = records.filter("record_id % 7 = 0").select("record_id", F.array(F.lit("IMPOSSIBLE_TRAVEL")).alias("codes"))
+    return repair.dispositions(repair.repair(records, held), ruled).groupBy("code", "disposition").agg(F.count("*").alias("n"))

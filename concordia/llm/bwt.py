@@ -67,6 +67,12 @@ def _dealt(group: np.ndarray) -> np.ndarray:
     return order
 
 
+def _inverse(order: np.ndarray) -> np.ndarray:
+    out = np.empty(len(order), np.int64)
+    out[order] = np.arange(len(order))
+    return out
+
+
 def merged(parts: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(position in the shards laid end to end, longest common prefix with the row before, ``depth`` at most) of all rows, interleaved.
 
@@ -75,16 +81,19 @@ def merged(parts: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]
     orders = [rotations(p) for p in parts]
     bases = np.cumsum([0, *(len(p) for p in parts[:-1])])
     # the row of the suffix that is one byte longer: stable order of the transform, shard by shard
-    longer = np.concatenate([b + np.argsort(np.argsort(p[(o - 1) % len(p)], kind="stable"), kind="stable") for p, o, b in zip(parts, orders, bases)])
-    symbol = np.concatenate([p[o] for p, o in zip(parts, orders)])
+    longer = np.concatenate([b + _inverse(np.argsort(p[(o - 1) % len(p)], kind="stable")) for p, o, b in zip(parts, orders, bases)])
+    symbol = np.concatenate([p[o].astype(np.uint16) << 8 | p[(o + 1) % len(p)] for p, o in zip(parts, orders)])
     back, h = {1: longer}, 1
     while 2 * h <= depth:
         back[2 * h] = back[h][back[h]]
         h *= 2
+    # two bytes of each suffix at once: dealing them out takes as long as one
     row = np.argsort(symbol, kind="stable")
-    group = np.empty(len(row), np.int32)
-    group[row] = np.cumsum(np.append(False, symbol[row][1:] != symbol[row][:-1]))
-    levels, h = [(1, group)], 1
+    levels = []
+    for h, of in ((1, symbol[row] >> 8), (2, symbol[row]))[:depth]:
+        group = np.empty(len(row), np.int32)
+        group[row] = np.cumsum(np.append(False, of[1:] != of[:-1]), dtype=np.int32)
+        levels.append((h, group))
     while h < depth:
         step = min(h, depth - h)
         extension, old = row, group[row]
@@ -103,12 +112,10 @@ def merged(parts: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]
     apart = np.flatnonzero(group[row[1:]] != group[row[:-1]]) + 1
     a, b, length = row[apart - 1], row[apart], np.zeros(len(apart), np.int64)
     for h, of in levels[-2::-1]:
-        same = of[a] == of[b]
-        if h in back:
-            on = np.empty(len(row), np.int64)
-            on[back[h]] = np.arange(len(row))
-            same = np.flatnonzero(same)
+        same = np.flatnonzero(of[a] == of[b])
+        if h in back and len(same):
             length[same] += h
+            on = _inverse(back[h])
             a[same], b[same] = on[a[same]], on[b[same]]
     common[apart] = np.minimum(length, depth)
     return np.concatenate([o + b for o, b in zip(orders, bases)])[row], common
@@ -130,7 +137,7 @@ def promising(strings: list[bytes], length: int) -> list[tuple[int, int, int]]:
     prefix = prefix_hash(byte_units(text))
     at = np.arange(len(text) - half + 1)
     found = span_hash(prefix, at, at + half)
-    order = np.argsort(found, kind="stable")
+    order = np.argsort(found)
     same = found[order][1:] == found[order][:-1]
     twice = np.zeros(len(found), bool)
     twice[order[1:][same]] = twice[order[:-1][same]] = True

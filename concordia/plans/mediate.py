@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from concordia.functions.transforms import norm_plate, transform
 from concordia.sources.registry import NEEDS_IDENTITY, Registry, Source
+from concordia.sources.tables import probes
 
 # Decisions, points and bounds.
 CORE = ("REG", "INS", "THEFT", "CAM")
@@ -218,11 +219,25 @@ def alerts(decided: DataFrame, watched: DataFrame) -> DataFrame:
     return decided.select("key", "decision").join(listed, "key", "left").select("key", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("kind"))
 
 
-def ask(registry: Registry, tables: dict[str, DataFrame], attributes, today: str, keys: DataFrame | None = None, status: dict[str, str] | None = None) -> DataFrame:
-    """The whole question: profile, derived statuses, decision, risk."""
-    status = status or {}
+def ask(registry: Registry, tables: dict[str, DataFrame], attributes, today: str, keys: DataFrame | None = None, status: dict[str, str] | None = None, deadline: float | None = None) -> DataFrame:
+    """The whole question: profile, derived statuses, decision, risk.
+
+    With a ``deadline`` in seconds the sources asked are probed first, all at once; those that are late, down or fail are left out, with
+    their status. Tables may then be functions that make a DataFrame.
+    """
+    status = dict(status or {})
     asked, _ = choose(registry, attributes)
     wanted = registry.inputs(attributes)
-    frames = {s: unfold(registry.source(s), tables, wanted | ({"registration_status"} if registry.source(s).identity else set()), keys) for s in asked}
+    needs = {s: {registry.source(s).main, *(j.right for j in registry.source(s).joins)} for s in asked}
+    if deadline is not None:
+        own = set().union(*needs.values()) if needs else set()
+        found = probes({t: tables[t] for t in sorted(own)}, deadline)
+        for s in asked:
+            failed = [found[t] for t in sorted(needs[s]) if found[t] != "OK"]
+            if failed and status.get(s, "OK") == "OK":
+                status[s] = failed[0]
+    live = {t for s in asked if status.get(s, "OK") == "OK" or deadline is None for t in needs[s]}
+    tables = {t: df() if callable(df) and not isinstance(df, DataFrame) else df for t, df in tables.items() if t in live}
+    frames = {s: unfold(registry.source(s), tables, wanted | ({"registration_status"} if registry.source(s).identity else set()), keys) if needs[s] <= live else None for s in asked}
     profile = derive(integrate(frames, registry, status, keys), asked, status, today)
     return risk(decide(profile, asked, status, today), asked, status, today)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import threading
+import time
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,6 +50,47 @@ def probe(df: DataFrame) -> str:
         return "ERROR"
 
 
+#: What the message of a source that isn't there has in it; anything else that fails is an ERROR.
+DOWN = ("Connection refused", "ConnectException", "ConnectionRefused", "UnknownHost", "NoRouteToHost", "ConnectionResetError", "FileNotFound", "FILE_NOT_EXIST", "PATH_NOT_FOUND", "unable to open database")
+
+
+def probes(sources: dict[str, DataFrame | Callable[[], DataFrame]], seconds: float) -> dict[str, str]:
+    """Whether a row can be read of each source, all at once: OK, DOWN (nobody there), ERROR, or TIMEOUT after ``seconds``.
+
+    A source is a DataFrame, or a function that makes one, as that may fail or hang too. Jobs of sources that are late
+    are cancelled; the caller waits no longer than the deadline.
+    """
+    out: dict[str, str] = {}
+    session = SparkSession.getActiveSession()
+    tag = f"probe-{uuid.uuid4().hex}"
+
+    def run(name: str, source) -> None:
+        try:
+            if session is not None:
+                session.addTag(f"{tag}-{name}")
+            df = source() if callable(source) and not isinstance(source, DataFrame) else source
+            if df is not None:
+                df.limit(1).collect()
+            out.setdefault(name, "OK")
+        except Exception as e:
+            text = f"{type(e).__name__} {e}"
+            out.setdefault(name, "DOWN" if any(x in text for x in DOWN) else "ERROR")
+
+    from pyspark import InheritableThread
+
+    threads = {n: InheritableThread(target=run, args=(n, s), daemon=True) if session is not None else threading.Thread(target=run, args=(n, s), daemon=True) for n, s in sources.items()}
+    for t in threads.values():
+        t.start()
+    end = time.monotonic() + seconds
+    for n, t in threads.items():
+        t.join(max(0.0, end - time.monotonic()))
+        if t.is_alive():
+            out.setdefault(n, "TIMEOUT")
+            if session is not None:
+                session.interruptTag(f"{tag}-{n}")
+    return {n: out[n] for n in sources}
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """old with rows of new in place of those of equal key; the last by order wins among new ones."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)

@@ -101,6 +101,11 @@ def test_console(spark):
     for bad in ("DROP TABLE t", "SELECT 1; SELECT 2", "INSERT INTO t VALUES (1)", "SELECT nothing FROM t", f"SELECT * FROM {other}", f"SELECT * FROM t WHERE n IN (SELECT n_nationkey FROM {other})", f"WITH t AS (SELECT * FROM {other}) SELECT * FROM t", "SELECT * FROM hidden", "SELECT * FROM range(5)", "SELECT (SELECT max(id) FROM hidden) FROM t"):
         with pytest.raises(console.Refused):
             console.query(spark, bad, t)
+    for call in ("reflect('java.lang.System', 'getenv', 'HOME')", "java_method('java.lang.System', 'getenv', 'HOME')", "try_reflect('java.lang.System', 'getenv', 'HOME')", "upper(`reflect`('java.util.UUID', 'randomUUID'))", "system.builtin.Reflect('java.util.UUID', 'randomUUID')", "current_user()", "input_file_name()"):
+        for sql in (f"SELECT {call} AS x FROM t", f"SELECT n FROM t WHERE {call} IS NOT NULL", f"WITH w AS (SELECT {call} AS x) SELECT * FROM w", f"SELECT (SELECT max({call}) FROM t) AS x"):
+            with pytest.raises(console.Refused, match="function"):
+                console.query(spark, sql, t)
+    assert console.query(spark, "SELECT 'reflect(1)' AS s FROM t", t).first().s == "reflect(1)"
     # the caller's own view of that name stays, and no view is left behind
     spark.range(7).createOrReplaceTempView("t")
     assert console.query(spark, "WITH x AS (SELECT n FROM t) SELECT count(*) AS c FROM x JOIN T USING (n)", {**t, "u": t["t"]}).first().c == 3

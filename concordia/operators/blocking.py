@@ -131,6 +131,49 @@ def readings(c: Column, limit: int = 64, replaced: int = 8) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(replaced)), state, grow, lambda acc: F.transform(acc["all"], lambda s: s["text"]))
 
 
+# What a camera takes a sign for where the plate has a letter or a digit, the plate's pattern, and how many versions are tried and kept.
+TO_DIGIT = {"O": "0", "I": "1", "B": "8", "S": "5", "Z": "2", "G": "6", "L": "4"}
+TO_LETTER = {"0": "O", "1": "I", "8": "B", "5": "S", "2": "Z", "6": "G"}
+CIVIL = r"^[A-Z]{2}[0-9]{2}[A-Z]{1,3}[0-9]{4}$"
+TRIED, KEPT = 64, 16
+
+
+def repaired(c: Column) -> Column:
+    """A read's versions with signs of the wrong kind replaced: those that keep the plate's pattern first, then with fewest replaced, then by place.
+
+    Of a read of 8 to 12 signs the first two and those before the last four are letters, the third, fourth and last four digits; other reads
+    only have themselves. At most ``TRIED`` versions are looked at and ``KEPT`` are given; null and blank reads have none.
+    """
+    text = F.regexp_replace(F.upper(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]", "")
+    tables = [F.create_map(*(F.lit(x) for kv in t.items() for x in kv)) for t in (TO_LETTER, TO_DIGIT)]
+    fits = lambda t: t.rlike(CIVIL)
+
+    def swaps(t: Column) -> Column:
+        """Places whose sign is of the wrong kind, and what it becomes."""
+        n = F.length(t)
+        sign = lambda i: F.substring(t, i, F.lit(1))
+        new = lambda i: F.when((i <= 2) | (i > 4) & (i <= n - 4), F.try_element_at(tables[0], sign(i))).otherwise(F.try_element_at(tables[1], sign(i)))
+        each = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.struct(i.alias("i"), new(i).alias("o")))
+        return F.when(n.between(8, 12), F.filter(each, lambda x: x["o"].isNotNull())).otherwise(F.filter(each, lambda x: F.lit(False)))
+
+    def versions(t: Column, w: Column) -> Column:
+        def further(s: Column) -> Column:
+            return F.transform(F.filter(w, lambda x: x["i"] > s["last"]), lambda x: F.struct(F.concat(F.substring(s["text"], F.lit(1), x["i"] - 1), x["o"], F.substring(s["text"], x["i"] + 1, F.length(t))).alias("text"), x["i"].alias("last")))
+
+        def grow(acc: Column, _: Column) -> Column:
+            level = F.slice(F.flatten(F.transform(acc["level"], further)), 1, TRIED)
+            return F.struct(F.slice(F.concat(acc["all"], level), 1, TRIED).alias("all"), level.alias("level"))
+
+        first = F.array(F.struct(t.alias("text"), F.lit(0).alias("last")))
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1))), F.struct(first.alias("all"), first.alias("level")), grow, lambda acc: F.transform(acc["all"], lambda s: s["text"]))
+
+    # arrays of one element name what is computed once for each read
+    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    every = once(text, lambda t: once(swaps(t), lambda w: versions(t, w)))
+    ordered = once(every, lambda v: F.concat(F.filter(v, fits), F.filter(v, lambda t: ~fits(t))))
+    return F.filter(F.slice(ordered, 1, KEPT), lambda t: t != "")
+
+
 def deletes(c: Column, k: int = 1) -> Column:
     """The text and all versions with up to k characters less: texts within k edits share one."""
     out = F.array(c)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from concordia.operators import adjudicate, cleansing, matching, open_world, repair, rules
+from concordia.operators import adjudicate, blocking, cleansing, matching, open_world, repair, rules
 from concordia.operators import channel as channel_
 from concordia.plans import mediate
-from concordia.sources import sample
+from concordia.sources import actions, sample
 from concordia.sources.sample import TODAY
 
 from .oracle import TABLES, _norm, _plate
@@ -70,6 +70,29 @@ def read_corrections(spark, d):
     return pairs.join(each, ["truth", "read"]).select("event_id", "read", F.array_join("fixes", "; ").alias("corrections"))
 
 
+_SWAPPED = "CASE WHEN i <= 2 OR i > 4 AND i <= length(read) - 4 THEN CASE read[i:i] WHEN '0' THEN 'O' WHEN '1' THEN 'I' WHEN '8' THEN 'B' WHEN '5' THEN 'S' WHEN '2' THEN 'Z' WHEN '6' THEN 'G' END ELSE CASE read[i:i] WHEN 'O' THEN '0' WHEN 'I' THEN '1' WHEN 'B' THEN '8' WHEN 'S' THEN '5' WHEN 'Z' THEN '2' WHEN 'G' THEN '6' WHEN 'L' THEN '4' END END"
+_REPAIRED = (
+    _DAMAGED.replace("SELECT event_id, ", "SELECT event_id, event_id % 10 AS way, ", 1).replace("p AS (SELECT truth", "p AS (SELECT event_id, way, truth")
+    + f""", q AS (SELECT event_id, way, truth, read, list_filter(list_transform(range(1, length(read) + 1), lambda i: struct_pack(i := i, o := {_SWAPPED})), lambda x: x.o IS NOT NULL) AS swaps FROM p),
+m AS (SELECT *, unnest(range(0, (1 << len(swaps))::bigint)) AS mask FROM q), v AS (SELECT event_id, way, truth, read, list_filter(swaps, lambda x, k: mask >> (k - 1) & 1 = 1) AS used FROM m),
+z AS (SELECT event_id, way, truth, len(used) AS size, list_transform(used, lambda x: x.i) AS places, list_reduce(list_concat([read], list_transform(used, lambda x: x.i::varchar || x.o)), lambda s, x: s[1:x[1:length(x) - 1]::int - 1] || right(x, 1) || s[x[1:length(x) - 1]::int + 1:]) AS text FROM v),
+r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY size, places) AS tried FROM z QUALIFY tried <= 64), o AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY regexp_matches(text, '^[A-Z]{{2}}[0-9]{{2}}[A-Z]{{1,3}}[0-9]{{4}}$') DESC, tried) AS rank FROM r QUALIFY rank <= 16)"""
+)
+
+
+@query(_REPAIRED + " SELECT event_id, string_agg(text, '|' ORDER BY rank) AS versions FROM o GROUP BY 1")
+def read_repairs(spark, d):
+    """Every damaged read's versions by the signs' places, likeliest first."""
+    return _damaged(spark, d).select("event_id", F.array_join(blocking.repaired(F.col("read")), "|").alias("versions"))
+
+
+@query(_REPAIRED + " SELECT way, count(*) FILTER (rank = 1) AS n, count(*) FILTER (rank = 1 AND text = truth) AS n_first, count(*) FILTER (text = truth) AS n_any FROM o GROUP BY 1")
+def repair_rate(spark, d):
+    """By kind of damage, reads, and those whose plate is the first, or any, of their versions."""
+    r = _damaged(spark, d).withColumn("v", blocking.repaired(F.col("read")))
+    return r.groupBy((F.col("event_id") % 10).alias("way")).agg(F.count("*").alias("n"), F.count_if(F.get("v", F.lit(0)) == F.col("truth")).alias("n_first"), F.count_if(F.array_contains("v", F.col("truth"))).alias("n_any"))
+
+
 @query(
     f"""WITH {TABLES}, s AS (SELECT 'make' AS a, lower(make) AS v, count(*)::double / sum(count(*)) OVER () AS share FROM vehicle GROUP BY make UNION ALL SELECT 'colour', lower(colour), count(*)::double / sum(count(*)) OVER () FROM vehicle GROUP BY colour),
 c AS (SELECT c.capture_id, 1 - c.ocr_confidence AS u, v.make, v.colour, c.observed_make AS om, c.observed_colour AS oc FROM captures c JOIN vehicle v ON v.registration_no = c.plate_id),
@@ -235,3 +258,45 @@ def record_dispositions(spark, d):
     records, held = dirty(spark, d)
     ruled = records.filter("record_id % 7 = 0").select("record_id", F.array(F.lit("IMPOSSIBLE_TRAVEL")).alias("codes"))
     return repair.dispositions(repair.repair(records, held), ruled).groupBy("code", "disposition").agg(F.count("*").alias("n"))
+
+
+# ------------------------------------------------------------------ named writes
+
+_WRITTEN = f"""WITH {TABLES}, unknown AS (SELECT DISTINCT plate_id AS plate FROM captures WHERE plate_id NOT IN (SELECT registration_no FROM vehicle)),
+stolen AS (SELECT DISTINCT key FROM crime WHERE incident_type = 'THEFT'), scrap AS (SELECT DISTINCT key FROM crime WHERE incident_type = 'SHREDDING'),
+added AS (SELECT (SELECT max(registration_id) FROM vehicle) + row_number() OVER (ORDER BY plate) AS registration_id, plate AS registration_no, (SELECT max(n_nationkey) FROM nation) + row_number() OVER (ORDER BY plate) AS owner_id, 'ACT' AS reg_status FROM unknown),
+v AS (SELECT registration_id, registration_no, c_nationkey AS owner_id, CASE WHEN c_acctbal < 0 THEN 'SUSP' ELSE 'ACT' END AS reg_status FROM vehicle JOIN customer ON c_custkey = registration_id UNION ALL SELECT * FROM added),
+left_over AS (SELECT * REPLACE (CASE WHEN registration_no IN (SELECT key FROM stolen) THEN 'SUSP' ELSE reg_status END AS reg_status) FROM v WHERE registration_no NOT IN (SELECT key FROM scrap)),
+o AS (SELECT n_nationkey AS owner_id FROM nation UNION ALL SELECT owner_id FROM added)"""
+
+
+def written(spark, d):
+    """Tables after three named writes: seen but unknown plates are registered, stolen cars suspended, scrapped ones taken off."""
+    t = sample.tables(spark, d)
+    plates = lambda kind: t["CRIME"].filter(F.col("incident_type") == kind).select(F.col("vehicle_number").alias("plate")).distinct()
+    unknown = t["CAPTURES"].select(F.col("plate_id").alias("plate")).distinct().join(t["VEHICLE"].select(F.col("registration_no").alias("plate")), "plate", "left_anti")
+    writes = []
+    for name, asked in (("register", unknown), ("set_status", plates("THEFT").withColumn("reg_status", F.lit("SUSP"))), ("unregister", plates("SHREDDING"))):
+        writes.append(actions.perform(name, t, asked))
+        t = writes[-1].apply(t)
+    return t, writes
+
+
+@query(_WRITTEN + " SELECT registration_id, registration_no, owner_id, reg_status FROM left_over")
+def named_writes(spark, d):
+    return written(spark, d)[0]["VEHICLE"].select("registration_id", "registration_no", "owner_id", "reg_status")
+
+
+@query(_WRITTEN + " SELECT owner_id FROM o WHERE owner_id IN (SELECT owner_id FROM left_over) OR owner_id NOT IN (SELECT owner_id FROM v WHERE registration_no IN (SELECT key FROM scrap))")
+def owners_after_writes(spark, d):
+    """Owners whose last car was taken off are gone with it."""
+    return written(spark, d)[0]["OWNERS"].select("owner_id")
+
+
+@query(f"WITH {TABLES} SELECT registration_id, registration_no, CASE WHEN c_acctbal < 0 THEN 'SUSP' ELSE 'ACT' END AS reg_status FROM vehicle JOIN customer ON c_custkey = registration_id")
+def named_writes_undone(spark, d):
+    """All three taken back, the newest first: the tables are as they were."""
+    t, writes = written(spark, d)
+    for w in reversed(writes):
+        t = w.undo(t)
+    return t["VEHICLE"].select("registration_id", "registration_no", "reg_status")

@@ -221,3 +221,12 @@ def test_schema_matching(spark):
     df = spark.createDataFrame([("DL01AB1234", "Red", "04/09/2024"), ("HR26EF4455", "Blue", "13/11/2026")], "vehicle_reg string, colour string, policy_until string")
     got = schema_match.match(df, "POLICY", {"plate_number": "string", "vehicle_colour": "string", "insurance_expiry": "date", "insurance_start": "date"})
     assert [(c, a) for c, a, _ in got] == [("vehicle_reg", "plate_number"), ("colour", "vehicle_colour"), ("policy_until", "insurance_expiry")]
+
+
+def test_repaired_reads(spark):
+    get = lambda r: spark.createDataFrame([(r,)], "r string").select(blocking.repaired(F.col("r"))).first()[0]
+    assert get("DLO1AB1234")[:2] == ["DL01AB1234", "DLO1AB1234"] and get("DL01AB1234") == ["DL01AB1234"]
+    assert get("0L01AB1234")[0] == "OL01AB1234" and get("dl-o1-ab-i2s4")[0] == "DL01AB1254" and get("DL01A8123B")[0] == "DL01AB1238"
+    assert get(None) == get("") == get(" -") == [] and get("OIB") == ["OIB"] and get("OIBSZGOIBSZGO") == ["OIBSZGOIBSZGO"]
+    many = get("018OISZG0IBS")
+    assert len(many) == 16 and len(set(many)) == 16

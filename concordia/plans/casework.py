@@ -95,7 +95,7 @@ def repair_rate(spark, d):
 
 @query(
     f"""WITH {TABLES}, s AS (SELECT 'make' AS a, lower(make) AS v, count(*)::double / sum(count(*)) OVER () AS share FROM vehicle GROUP BY make UNION ALL SELECT 'colour', lower(colour), count(*)::double / sum(count(*)) OVER () FROM vehicle GROUP BY colour),
-c AS (SELECT c.capture_id, 1 - c.ocr_confidence AS u, v.make, v.colour, c.observed_make AS om, c.observed_colour AS oc FROM captures c JOIN vehicle v ON v.registration_no = c.plate_id),
+c AS (SELECT c.capture_id, 1 - least(1.0::double, e.value / 100) AS u, v.make, v.colour, c.observed_make AS om, c.observed_colour AS oc FROM captures c JOIN events e ON e.event_id = c.capture_id JOIN vehicle v ON v.registration_no = c.plate_id),
 r AS (SELECT capture_id, u, CASE WHEN om IS NULL THEN 1.0 WHEN lower(om) = lower(make) THEN 0.85::double / greatest(0.01, least(0.99, m.share)) ELSE (1 - 0.85::double) / (1 - greatest(0.01, least(0.99, m.share))) END
 * CASE WHEN oc IS NULL THEN 1.0 WHEN lower(oc) = lower(colour) THEN 0.75::double / greatest(0.01, least(0.99, k.share)) ELSE (1 - 0.75::double) / (1 - greatest(0.01, least(0.99, k.share))) END AS lr
 FROM c JOIN s m ON m.a = 'make' AND m.v = lower(make) JOIN s k ON k.a = 'colour' AND k.v = lower(colour)),
@@ -106,7 +106,8 @@ def context_posterior(spark, d):
     """How likely each capture of a registered plate is of the held car, if its signs alone leave it as sure as the camera was."""
     t = sample.tables(spark, d)
     known = matching.shared(t["VEHICLE"].select(F.col("registration_no").alias("plate_id"), "make", "colour"))
-    seen = matching.context(t["CAPTURES"].join(known, "plate_id").withColumn("p_unknown", 1 - F.col("ocr_confidence")))
+    sure = sample.load(spark, d, "events")[0].select(F.col("event_id").alias("capture_id"), (1 - F.least(F.lit(1.0), F.col("value") / 100)).alias("p_unknown"))
+    seen = matching.context(t["CAPTURES"].join(sure, "capture_id").join(known, "plate_id"))
     return open_world.posterior(seen).select("capture_id", F.round("context_lr", 6).alias("context_lr"), F.round("p_held", 6).alias("p_held"))
 
 

@@ -86,6 +86,16 @@ def corroboration(frames: dict[str, DataFrame], registry: Registry) -> DataFrame
     return reduce(DataFrame.unionByName, held).groupBy("key").agg(F.count_distinct("s").alias("sources"))
 
 
+def coverage(frames: dict[str, DataFrame]) -> DataFrame:
+    """(attribute, source, n): how many keys each source has a value of each attribute for; one aggregation a source, whatever the attributes."""
+    parts = []
+    for s, df in frames.items():
+        names = [c for c in df.columns if c != "key"]
+        counted = df.agg(*(F.count(F.col(f"`{c}`")).alias(c) for c in names))
+        parts.append(counted.select(F.explode(F.array(*(F.struct(F.lit(c).alias("attribute"), F.lit(s).alias("source"), F.col(f"`{c}`").alias("n")) for c in names))).alias("_c")).select("_c.*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def integrate(frames: dict[str, DataFrame], registry: Registry, status: dict[str, str], keys: DataFrame | None = None) -> DataFrame:
     """One row per key: each attribute from the last source that has it, provenance, conflicts, availability.
 

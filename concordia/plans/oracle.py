@@ -112,7 +112,30 @@ a AS (SELECT capture_id, list_filter([CASE WHEN colour IS NULL THEN 'PLATE_NOT_R
 
 SCORED = "WITH s AS (SELECT doc_id, quality, toxic, (doc_id * 37 % 101) / 101.0::double AS p, (doc_id * 37 % 101 > 40)::int AS guess FROM labels)"
 
+_HELD = {
+    "REG": ("reg", 0.95, {a: a for a in ("owner_name", "owner_city", "vehicle_make", "vehicle_model", "vehicle_colour", "registration_status")}), "INS": ("ins", 0.9, {"policy_type": "policy_type", "insurance_start": "start", "insurance_expiry": "expiry"}),
+    "THEFT": ("theft", 0.9, {"last_incident_date": "day", "case_status": "case_status", "stolen_flag": "key", "recovered_flag": "recovered", "incident_type": "incident_type"}),
+    "CAM": ("cam", 0.6, {"last_seen_time": "seen_at", "last_seen_location": "location", "observed_make": "observed_make", "observed_model": "observed_model", "observed_colour": "observed_colour", "ocr_confidence": "ocr_confidence"}),
+}
+_MORE = {"REG": {"registration_date": "key", "rto_code": "rto_code"}, "INS": {"premium_inr": "premium_inr"}}
+_PROVENANCE = " UNION ALL ".join(f"SELECT '{a}' AS attribute, '{s}' AS source, {trust}::double AS trust, count({c}) AS n FROM {t}" for s, (t, trust, own) in _HELD.items() for a, c in own.items())
+_COVERED = " UNION ALL ".join(f"SELECT '{a}' AS attribute, " + ", ".join(f"count({c}) AS {x}" if x == s else f"0 AS {x}" for x in _HELD) + f" FROM {t}" for s, (t, _, own) in _HELD.items() for a, c in {**own, **_MORE.get(s, {})}.items())
+_COLUMNS = (("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"), ("o_totalprice", "double"), ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string"))
+_CONFUSED = "CASE read[i:i] WHEN '0' THEN ['O', 'D'] WHEN 'O' THEN ['0', 'D'] WHEN 'D' THEN ['0', 'O'] WHEN '1' THEN ['I'] WHEN 'I' THEN ['1'] WHEN '8' THEN ['B'] WHEN 'B' THEN ['8'] WHEN '5' THEN ['S'] WHEN 'S' THEN ['5'] WHEN '2' THEN ['Z'] WHEN 'Z' THEN ['2'] WHEN '6' THEN ['G'] WHEN 'G' THEN ['6'] ELSE [] END"
+
 ORACLE_SQL: dict[str, str] = {
+    "provenance": f"WITH {TABLES} {_PROVENANCE}",
+    "coverage_matrix": f"WITH {TABLES} {_COVERED}",
+    "schema_discovery": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{t}' AS type, least(20, count(DISTINCT {c})) AS n_samples, min({c}::varchar) AS first_sample FROM orders" for c, t in _COLUMNS),
+    "narrow_question": f"""WITH {TABLES}, k AS (SELECT coalesce(r.key, i.key) AS key, r.key IS NOT NULL AS registered, registration_status AS s, i.expiry, date_diff('day', i.expiry, DATE '{TODAY}') AS lapsed FROM reg r FULL JOIN ins i USING (key)),
+d AS (SELECT CASE WHEN NOT registered AND expiry IS NULL THEN 'UNKNOWN VEHICLE — NOT REGISTERED|MEDIUM' WHEN expiry IS NULL THEN 'UNINSURED — REPORT|HIGH' WHEN lapsed BETWEEN 1 AND 15 THEN 'UNINSURED — ADVISORY|MEDIUM' WHEN lapsed BETWEEN 16 AND 30 THEN 'UNINSURED — WARNING|HIGH' WHEN lapsed > 30 THEN 'UNINSURED — REPORT|HIGH' WHEN s <> 'ACTIVE' THEN 'REGISTRATION INVALID — REPORT|HIGH' ELSE 'CLEAR|MEDIUM' END AS d FROM k)
+SELECT split_part(d, '|', 1) AS decision, split_part(d, '|', 2) AS confidence, '[REG, INS]' AS asked, count(*) AS n FROM d GROUP BY ALL""",
+    "resolve_identity": f"""WITH v AS (SELECT c_custkey AS case_id, {_plate('c_custkey')} AS key, c_mktsegment AS make, {_colour('c_custkey')} AS colour FROM customer),
+r AS (SELECT case_id, 'DL' || key[3:9] || CASE WHEN key[10:10] = '0' THEN 'O' ELSE key[10:10] END AS read, make AS om, colour AS oc FROM v WHERE case_id % 50 = 0),
+t AS (SELECT r.*, unnest(list_concat([read], flatten(list_transform(range(1, length(read) + 1), lambda i: list_transform({_CONFUSED}, lambda o: read[1:i - 1] || o || read[i + 1:]))))[1:12]) AS key FROM r),
+s AS (SELECT t.case_id, t.key, read, round((lower(om) = lower(make))::int * 0.5::double + (lower(oc) = lower(colour))::int * 0.3::double + (t.key = read)::int * 0.2::double, 3) AS score FROM t JOIN v USING (key)),
+k AS (SELECT *, lead(score) OVER w AS next, row_number() OVER w AS place FROM s WINDOW w AS (PARTITION BY case_id ORDER BY score DESC, key <> read, key))
+SELECT r.case_id, k.key AS resolved, coalesce(score, 0.0::double) AS score, CASE WHEN k.key IS NULL THEN 'NONE' WHEN (next IS NULL OR round(score - next, 3) >= 0.2) AND (k.key = r.read OR score >= 0.5) THEN 'RESOLVED' ELSE 'AMBIGUOUS' END AS outcome FROM r LEFT JOIN k ON k.case_id = r.case_id AND place = 1""",
     "source_lookup_left": f"WITH {TABLES} SELECT key, owner_name, owner_city, rto_code FROM reg",
     "canonical_key": f"SELECT c_custkey, {_norm('c_name')} AS key FROM customer",
     "ocr_fold_match": f"WITH {TABLES} SELECT capture_id, registration_no FROM captures LEFT JOIN vehicle ON translate(plate_id, 'OI', '01') = translate(registration_no, 'OI', '01')",

@@ -165,14 +165,16 @@ def majority_value(spark, d):
 
 @query
 def coverage_matrix(spark, d):
-    rows = spark.createDataFrame(sample.registry().coverage(), "attribute string, source string")
-    return rows.groupBy("attribute").pivot("source", ["REG", "INS", "THEFT", "CAM"]).agg(F.count(F.lit(1))).fillna(0)
+    """By attribute, how many keys each source has a value for."""
+    reg, t = sample.registry(), sample.tables(spark, d)
+    found = mediate.coverage({s.id: mediate.unfold(s, t) for s in reg.sources})
+    return found.groupBy("attribute").pivot("source", ["REG", "INS", "THEFT", "CAM"]).agg(F.sum("n")).fillna(0)
 
 
 @query
 def schema_discovery(spark, d):
-    (n,) = load(spark, d, "nation")
-    return sinks.describe(n).select("column", "type", F.size("samples").cast("long").alias("n_samples"), F.get("samples", F.lit(0)).alias("first_sample"))
+    (o,) = load(spark, d, "orders")
+    return sinks.describe(o).select("column", "type", F.size("samples").cast("long").alias("n_samples"), F.get("samples", F.lit(0)).alias("first_sample"))
 
 
 @query
@@ -627,7 +629,7 @@ def percentiles(spark, d):
 
 @query
 def bootstrap_interval(spark, d):
-    return evaluate.bootstrap(_scored(spark, d), "quality", "doc_id").select((F.col("low") <= F.col("high")).alias("ordered"))
+    return evaluate.bootstrap(_scored(spark, d), "quality", "doc_id").select(_r("low").alias("low"), _r("high").alias("high"))
 
 
 @query

@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concordia.functions.transforms import norm_plate, parse_ts
@@ -26,13 +26,20 @@ FIELD_OF = {"PLATE_NOT_REGISTERED": "plate_number", "PLATE_SHAPE_INVALID": "plat
 TIME_FORM, TIME_NAME = "yyyy-MM-dd'T'HH:mm:ss", "iso"
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in the session's spark.checkpoint.dir; in local mode, where that is unset, in a temporary folder."""
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; only in local mode, and where it is unset, a temporary folder takes its place."""
+    home = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not home:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        home = tempfile.mkdtemp(prefix="checkpoint-")
+        spark.sparkContext.setCheckpointDir(home)
+    return home.rstrip("/")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df with its lineage cut in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from concordia.operators import adjudicate, blocking, cleansing, matching, open_world, repair, rules
 from concordia.operators import channel as channel_
 from concordia.plans import mediate
-from concordia.sources import actions, sample
+from concordia.sources import actions, logs, sample
 from concordia.sources.sample import TODAY
 
 from .oracle import TABLES, _norm, _plate
@@ -301,3 +303,16 @@ def named_writes_undone(spark, d):
     for w in reversed(writes):
         t = w.undo(t)
     return t["VEHICLE"].select("registration_id", "registration_no", "reg_status")
+
+
+# ------------------------------------------------------------------ logs
+
+
+@query(_JUDGED + ", e AS (SELECT case_id, seen_at::date AS day, verdict, reason, amount_inr FROM w JOIN cases USING (case_id)) SELECT day::varchar AS day, verdict, reason, count(*) AS n, coalesce(sum(amount_inr), 0)::bigint AS total_inr FROM e GROUP BY 1, 2, 3")
+def verdict_log(spark, d):
+    """All verdicts, logged with their details as JSON, read back and counted by day."""
+    e = judged(spark, d).select(F.col("case_id").alias("event_id"), "case_id", "at", F.lit("VERIFIED").alias("event"), F.lit("system").alias("actor"), F.struct("verdict", "reason", F.col("amount_inr").cast("long").alias("amount_inr")).alias("detail"))
+    path = f"{repair.shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    logs.append(logs.CASES, e, path)
+    rows = logs.read(logs.CASES, spark, path).select(F.to_date("at").cast("string").alias("day"), "detail.*")
+    return rows.groupBy("day", "verdict", "reason").agg(F.count("*").alias("n"), F.coalesce(F.sum("amount_inr"), F.lit(0)).alias("total_inr"))

@@ -109,7 +109,7 @@ def test_packing(docs, empty, spark):
     assert packing.pack(packing.pieces(empty)).count() == 0
 
 
-def test_local_search_empties_bins():
+def test_local_search_of_a_small_plan():
     plan = packing.best_fit({6: 2, 5: 2, 4: 3}, 15)
     assert sum(sum(b) * n for b, n in plan.items()) == 34 and all(sum(b) <= 15 for b in plan)
     better = packing.improve(packing.Counter({(9, 4): 2, (8, 3): 1, (3,): 1}), 15)

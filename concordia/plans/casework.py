@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from concordia.operators import adjudicate, blocking, cleansing, matching, open_world, repair, rules
+from concordia.operators import adjudicate, blocking, cleansing, contenders, matching, open_world, repair, rules
 from concordia.operators import channel as channel_
 from concordia.plans import mediate
 from concordia.sources import actions, logs, sample
@@ -316,3 +316,22 @@ def verdict_log(spark, d):
     logs.append(logs.CASES, e, path)
     rows = logs.read(logs.CASES, spark, path).select(F.to_date("at").cast("string").alias("day"), "detail.*")
     return rows.groupBy("day", "verdict", "reason").agg(F.count("*").alias("n"), F.coalesce(F.sum("amount_inr"), F.lit(0)).alias("total_inr"))
+
+
+# ------------------------------------------------------------------ contenders
+
+
+@query()
+def contenders_compared(spark, d):
+    """Measures, models and a stacked model on damaged reads of registered plates, by the same split and thresholds."""
+    v = sample.tables(spark, d)["VEHICLE"].select(F.col("registration_no").alias("key"))
+    reads = _damaged(spark, d).select(F.col("event_id").alias("case_id"), "truth", "read").join(v.select(F.col("key").alias("truth")), "truth").withColumn("part", contenders.part_of(F.col("truth")))
+    reads = repair.kept(reads)
+    pairs = matching.shortlist(blocking.retrieve(reads, "read", v, "key", 1), keep=10)
+    pairs = repair.kept(matching.weighted(matching.features(pairs)))
+    rows = reads.join(pairs, "read").withColumn("label", (F.col("key") == F.col("truth")).cast("int"))
+    names = ["edit", "ocr_edit", "jaro_winkler", "jaccard", "overlap", "ratcliff"]
+    texts = [*names, "length_diff", "state_agree", "exact"]
+    rows = contenders.stack(repair.kept(rows), {"logreg": (texts, "logreg"), "edits": (["edit", "ocr_edit"], "logreg")}, ["exact", "length_diff"], "truth")
+    out = contenders.compare(repair.kept(rows), reads, [*names, "score", "logreg", "stacked"])
+    return out.select("contender", "n", *(F.round(c, 4).alias(c) for c in ("top1", "mrr", "accept_precision", "accept_recall")))

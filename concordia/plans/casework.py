@@ -332,6 +332,6 @@ def contenders_compared(spark, d):
     rows = reads.join(pairs, "read").withColumn("label", (F.col("key") == F.col("truth")).cast("int"))
     names = ["edit", "ocr_edit", "jaro_winkler", "jaccard", "overlap", "ratcliff"]
     texts = [*names, "length_diff", "state_agree", "exact"]
-    rows = contenders.stack(repair.kept(rows), {"logreg": (texts, "logreg"), "edits": (["edit", "ocr_edit"], "logreg")}, ["exact", "length_diff"], "truth")
-    out = contenders.compare(repair.kept(rows), reads, [*names, "score", "logreg", "stacked"])
+    rows = contenders.stack(repair.kept(rows), {"logreg": (texts, "logreg")}, ["ocr_edit", "exact"], "truth")
+    out = contenders.compare(repair.kept(rows), reads, ["edit", "ocr_edit", "jaro_winkler", "jaccard", "score", "logreg", "stacked"])
     return out.select("contender", "n", *(F.round(c, 4).alias(c) for c in ("top1", "mrr", "accept_precision", "accept_recall")))

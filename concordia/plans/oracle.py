@@ -123,7 +123,18 @@ _COVERED = " UNION ALL ".join(f"SELECT '{a}' AS attribute, " + ", ".join(f"count
 _COLUMNS = (("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"), ("o_totalprice", "double"), ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string"))
 _CONFUSED = "CASE read[i:i] WHEN '0' THEN ['O', 'D'] WHEN 'O' THEN ['0', 'D'] WHEN 'D' THEN ['0', 'O'] WHEN '1' THEN ['I'] WHEN 'I' THEN ['1'] WHEN '8' THEN ['B'] WHEN 'B' THEN ['8'] WHEN '5' THEN ['S'] WHEN 'S' THEN ['5'] WHEN '2' THEN ['Z'] WHEN 'Z' THEN ['2'] WHEN '6' THEN ['G'] WHEN 'G' THEN ['6'] ELSE [] END"
 
+_KEY = "regexp_replace(lower({}), '[^a-z0-9]', '', 'g')"
+
 ORACLE_SQL: dict[str, str] = {
+    "lexicon_lookup": f"""WITH sp AS (SELECT {_KEY.format('p_type')} AS key, trim(p_type) AS c, count(*) AS n FROM part GROUP BY 1, 2), lex AS (SELECT key, c AS canonical FROM sp QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC, c) = 1 AND sum(n) OVER (PARTITION BY key) >= 3),
+v AS (SELECT value, {_KEY.format('value')} AS k FROM (SELECT DISTINCT CASE p_partkey % 7 WHEN 0 THEN p_type[1:4] || 'x' || p_type[5:24] WHEN 1 THEN p_type[1:3] WHEN 2 THEN lower(p_type) ELSE p_type END AS value FROM part) WHERE trim(value) <> ''),
+same AS (SELECT value, canonical, CASE WHEN trim(value) = canonical THEN 'exact' ELSE 'surface' END AS kind FROM v JOIN lex ON k = key), rest AS (SELECT * FROM v WHERE value NOT IN (SELECT value FROM same) AND length(k) >= 3 AND NOT regexp_matches(k, '[0-9]')),
+starts AS (SELECT value, min(canonical) AS canonical, 'prefix' AS kind FROM rest JOIN lex ON starts_with(key, k) GROUP BY value HAVING count(*) = 1),
+short AS (SELECT value, min(canonical) AS canonical, 'abbreviation' AS kind FROM rest JOIN lex ON k[1:1] = key[1:1] AND length(k) < length(key) AND regexp_matches(key, array_to_string(string_split(k, ''), '.*')) GROUP BY value HAVING count(*) = 1),
+guessed AS (SELECT * FROM starts UNION ALL SELECT * FROM short WHERE value NOT IN (SELECT value FROM starts)),
+near AS (SELECT value, canonical, k, levenshtein(k, key) AS d, row_number() OVER w AS place, lead(levenshtein(k, key)) OVER w AS second FROM rest JOIN lex ON levenshtein(k, key) <= 2 WHERE value NOT IN (SELECT value FROM guessed) WINDOW w AS (PARTITION BY value ORDER BY levenshtein(k, key), canonical)),
+found AS (SELECT * FROM same UNION ALL SELECT * FROM guessed UNION ALL SELECT value, canonical, 'edit' FROM near WHERE place = 1 AND d <= CASE WHEN length(k) <= 5 THEN 1 ELSE 2 END AND (second IS NULL OR second > d))
+SELECT v.value, canonical, kind FROM v LEFT JOIN found USING (value)""",
     "provenance": f"WITH {TABLES} {_PROVENANCE}",
     "coverage_matrix": f"WITH {TABLES} {_COVERED}",
     "schema_discovery": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{t}' AS type, least(20, count(DISTINCT {c})) AS n_samples, min({c}::varchar) AS first_sample FROM orders" for c, t in _COLUMNS),

@@ -25,7 +25,7 @@ def lookup(values: DataFrame, column: str, lexicon: DataFrame, aliases: DataFram
     """(column, canonical, kind) of each different value: exact, surface, alias, prefix, abbreviation, edit, or null.
 
     A prefix or abbreviation must be the only one, an edit the nearest alone; keys with digits aren't guessed. Different
-    values, not rows, meet the lexicon: by what it begins with, by its first letter, and by versions with characters left out.
+    values, not rows, meet the lexicon: by what it begins with, by three signs in order, and by versions with characters left out.
     """
     v = values.select(F.col(column).alias("value")).filter(F.trim(F.col("value")) != "").distinct().withColumn("k", norm_key(F.col("value")))
     lex = lexicon.select("key", "canonical")
@@ -37,7 +37,11 @@ def lookup(values: DataFrame, column: str, lexicon: DataFrame, aliases: DataFram
     rest = v.join(found.select("value"), "value", "left_anti").filter(~F.col("k").rlike("[0-9]") & (F.length("k") >= 3))
     only = lambda df, kind: df.groupBy("value").agg(F.count("*").alias("n"), F.min("canonical").alias("canonical")).filter("n = 1").select("value", "canonical", F.lit(kind).alias("kind"))
     starts = only(rest.join(lex.withColumn("part", F.explode(F.transform(F.sequence(F.lit(1), F.length("key")), lambda n: F.substring(F.col("key"), F.lit(1), n)))), F.col("k") == F.col("part")), "prefix")
-    first = rest.join(lex, (F.substring("k", 1, 1) == F.substring("key", 1, 1)) & (F.length("k") < F.length("key")))
+    # an abbreviation's first three signs stand in the word in that order, the first in front: words are met by all such triples of theirs
+    follow = lambda text: F.array_distinct(F.filter(F.split(text, ""), lambda c: c != ""))
+    word, after = F.col("key"), lambda c: F.substring(F.col("key"), F.call_function("locate", c, F.col("key"), F.lit(2)) + 1, F.length("key"))
+    triples = F.flatten(F.transform(follow(F.substring(word, F.lit(2), F.length(word))), lambda c: F.transform(follow(after(c)), lambda e: F.concat(F.substring(word, 1, 1), c, e))))
+    first = rest.withColumn("part", F.substring("k", 1, 3)).join(lex.withColumn("part", F.explode(triples)), "part").filter(F.length("k") < F.length("key"))
     short = only(first.filter(F.expr("key rlike array_join(split(k, ''), '.*')")), "abbreviation").join(starts.select("value"), "value", "left_anti")
     guessed = starts.unionByName(short)
     last = rest.join(guessed.select("value"), "value", "left_anti")
@@ -109,6 +113,36 @@ def propose(cases: DataFrame, tree) -> DataFrame:
     return out.withColumn("action", F.when(unsafe, "quarantine").otherwise(F.col("action")))
 
 
+def suggest(codes: Column, candidates: Column) -> Column:
+    """(decision, reason) that a person may take on the anomalies still open; null if none are.
+
+    candidates: an array of (key, decision, p) in order of rank, empty or null without any. In order: what speaks of two cars under one plate, then
+    the plate, a copy, the time, the confidence; anything else is small.
+    """
+    has = lambda *names: F.arrays_overlap(codes, F.array(*map(F.lit, names)))
+    found = F.coalesce(candidates, F.array().cast("array<struct<key:string,decision:string,p:double>>"))
+    likely, nearest = F.get(F.filter(found, lambda c: c["decision"].isin("ACCEPT", "REVIEW")), F.lit(0)), F.get(found, F.lit(0))
+    say = lambda decision, *why: F.struct(F.lit(decision).alias("decision"), F.concat(*(F.lit(w) if isinstance(w, str) else w for w in why)).alias("reason"))
+    named = F.concat(likely["key"], F.lit(" (p="), F.format_number(likely["p"], 3), F.lit(")"))
+    plate = (
+        F.when(likely["decision"] == "ACCEPT", say("accept_candidate", "the match with ", named, " is sure, but what was seen differs from that car: correct only if the picture shows it"))
+        .when(likely.isNotNull(), say("accept_candidate", "it may be ", named, ", which is not sure enough to correct without a person"))
+        .when(~has("PLATE_SHAPE_INVALID"), say("dismiss", "a valid plate that this register lacks: keep the record"))
+        .when(nearest.isNotNull(), say("dismiss", "close to ", nearest["key"], ", but another car was seen: keep it as evidence"))
+        .otherwise(say("delete_record", "no valid plate, and none that is registered is near"))
+    )
+    return (
+        F.when(codes.isNull() | (F.size(codes) == 0), None)
+        .when(has("IMPOSSIBLE_TRAVEL"), say("confirm_clone", "seen at two places too far apart for the time between"))
+        .when(F.exists(codes, lambda c: c.endswith("_DISAGREES_REGISTRATION")), say("confirm_clone", "another car was seen than is registered under the plate"))
+        .when(has("PLATE_NOT_REGISTERED", "PLATE_SHAPE_INVALID"), plate)
+        .when(has("DUPLICATE_CAPTURE"), say("delete_record", "a copy of another record"))
+        .when(has("TIMESTAMP_UNPARSEABLE", "TIMESTAMP_FUTURE"), say("delete_record", "its time can't be trusted"))
+        .when(has("LOW_OCR_CONFIDENCE"), say("dismiss", "the read is a registered plate that nothing contradicts"))
+        .otherwise(say("dismiss", "only something small is left"))
+    )
+
+
 def active_resolutions(log: DataFrame) -> DataFrame:
     """Per record the codes that its resolutions not undone cover, and the newest one's decision."""
     live = log.filter("undone_at is null")

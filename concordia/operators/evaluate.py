@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -36,35 +36,55 @@ def ece(df: DataFrame, p: str, actual: str, bins: int = 10) -> DataFrame:
 def mcnemar(df: DataFrame, a: str, b: str) -> DataFrame:
     """b01 and b10, rows that only the second, or only the first, of two 0/1 outcomes gets right, and p_value: the exact two-sided one.
 
-    The smaller count's tail of the binomial with an even chance, twice, 1 at most; summed by logarithms of its terms.
+    The smaller count's tail of the binomial with an even chance, twice, 1 at most; summed by logarithms of its terms. Of a long tail only the terms
+    within ten standard deviations and a bit of its end are summed: the others are less than 1e-80 of the last, so the work grows with the root of the counts.
     """
     one = lambda x, y: F.sum(F.when((F.col(a) == x) & (F.col(b) == y), 1).otherwise(0))
     out = df.agg(F.coalesce(one(0, 1), F.lit(0)).alias("b01"), F.coalesce(one(1, 0), F.lit(0)).alias("b10"))
     n, k = F.col("b01") + F.col("b10"), F.least("b01", "b10")
-    start = F.struct((-n * F.log(F.lit(2.0))).alias("term"), F.exp(-n * F.log(F.lit(2.0))).alias("sum"))
+    least = F.greatest(F.lit(0), k - 64 - F.ceil(10 * F.sqrt(n))).cast("long")
+    first = _log_factorial(n) - _log_factorial(least) - _log_factorial(n - least) - n * F.log(F.lit(2.0))
+    start = F.struct(first.alias("term"), F.exp(first).alias("sum"))
 
     def more(s, i):
         term = s["term"] + F.log((n - i + 1) / i)
         return F.struct(term.alias("term"), (s["sum"] + F.exp(term)).alias("sum"))
 
-    places = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>"))
+    places = F.when(k > least, F.sequence(least + 1, k)).otherwise(F.array().cast("array<bigint>"))
     return out.withColumn("p_value", F.least(F.lit(1.0), 2 * F.aggregate(places, start, more, lambda s: s["sum"])))
 
 
-#: Bins in which distinct values are summed before any running total; only their sums are ordered in one task.
+def _log_factorial(n: Column) -> Column:
+    """log n!, by Stirling's series eight places up, where it is good to 1e-11."""
+    z = n + 9.0
+    series = (z - 0.5) * F.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7)
+    return F.when(n == 0, 0.0).otherwise(series - sum((F.log(n + float(i)) for i in range(1, 9)), F.lit(0.0)))
+
+
+#: Bins, and bins of each bin, in which distinct values are summed before any running total; only their sums are ordered in one task.
 BINS = 4096
 
 
 def _running(counted: DataFrame, value: str, sums: list[str], descending: bool) -> DataFrame:
-    """Rows of distinct values with the running total of each of ``sums``: within bins of equal width, on top of the bins before."""
-    ends = counted.agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
-    width = F.greatest(F.col("_high") - F.col("_low"), F.lit(1e-300))
-    binned = counted.crossJoin(F.broadcast(ends)).withColumn("_bin", F.least(F.floor((F.col(value) - F.col("_low")) / width * BINS), F.lit(BINS - 1)).cast("int")).drop("_low", "_high")
+    """Rows of distinct values with the running total of each of ``sums``: within bins of equal width, on top of the bins before.
+
+    Each bin is cut again into bins of its own extent, so that a few far values don't leave all others in one.
+    """
     order = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
-    earlier = Window.orderBy(order("_bin")).rowsBetween(Window.unboundedPreceding, -1)
-    base = binned.groupBy("_bin").agg(*(F.sum(c).alias(c) for c in sums)).select("_bin", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{c}") for c in sums))
-    inside = Window.partitionBy("_bin").orderBy(order(value)).rowsBetween(Window.unboundedPreceding, 0)
-    return binned.join(base, "_bin").select(value, *sums, *((F.col(f"_{c}") + F.sum(c).over(inside)).alias(f"run_{c}") for c in sums))
+    place = (F.col(value) - F.col("_low")) / F.greatest(F.col("_high") - F.col("_low"), F.lit(1e-300)) * BINS
+    cut = lambda df, name: df.withColumn(name, F.least(F.floor(place), F.lit(BINS - 1)).cast("int")).drop("_low", "_high")
+    ends = [F.min(value).alias("_low"), F.max(value).alias("_high")]
+    wide = cut(counted.crossJoin(F.broadcast(counted.agg(*ends))), "_bin")
+    # at most BINS rows
+    fine = cut(wide.join(F.broadcast(wide.groupBy("_bin").agg(*ends)), "_bin"), "_part")
+
+    def before(within: list[str], by: str, name: str) -> DataFrame:
+        earlier = Window.partitionBy(*(within or [F.lit(0)])).orderBy(order(by)).rowsBetween(Window.unboundedPreceding, -1)
+        return fine.groupBy(*within, by).agg(*(F.sum(c).alias(c) for c in sums)).select(*within, by, *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{name}{c}") for c in sums))
+
+    inside = Window.partitionBy("_bin", "_part").orderBy(order(value)).rowsBetween(Window.unboundedPreceding, 0)
+    out = fine.join(before(["_bin"], "_part", "_part_"), ["_bin", "_part"]).join(F.broadcast(before([], "_bin", "_bin_")), "_bin")
+    return out.select(value, *sums, *((F.col(f"_bin_{c}") + F.col(f"_part_{c}") + F.sum(c).over(inside)).alias(f"run_{c}") for c in sums))
 
 
 def threshold(df: DataFrame, p: str, actual: str, precision: float) -> DataFrame:

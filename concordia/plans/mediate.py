@@ -186,6 +186,28 @@ def decide(profile: DataFrame, asked, status: dict[str, str], today: str) -> Dat
     return profile.withColumn("_d", out).select(*profile.columns, "_d.decision", "_d.confidence", "_d.reasons")
 
 
+# The name of the rule behind a decision, by a part of its text; the first that fits counts.
+RULE_NAMES = (
+    ("UNINSURED — ADVISORY", "Rule 5a: insurance lapsed 1-15 days (advisory)"),
+    ("UNINSURED — WARNING", "Rule 5b: insurance lapsed 16-30 days (warning)"),
+    ("UNINSURED — REPORT", "Rule 5: no policy on record, or lapsed >30 days"),
+    ("STOLEN", "Rule 2: reported stolen and police case is OPEN"),
+    ("SCRAPPED", "Rule 2b: vehicle officially scrapped/shredded"),
+    ("UNKNOWN VEHICLE", "Rule 3b: no record for this plate in any asked source"),
+    ("UNREGISTERED", "Rule 3: camera-sighted but no registration record"),
+    ("SUSPICIOUS", "Rule 4: visual identity mismatch (possible cloned plate)"),
+    ("REGISTRATION INVALID", "Rule 6: registration status is not ACTIVE"),
+    ("CLEAR", "Rule 7: all checked sources are clear"),
+    ("UNDETERMINED", "Rule 1: a required source is unavailable"),
+)
+
+
+def rule_fired(decision: Column) -> Column:
+    """The name of the rule that a decision comes from; null and unknown decisions have none."""
+    text = F.upper(F.coalesce(decision, F.lit("")))
+    return F.coalesce(*(F.when(text.contains(part), name) for part, name in RULE_NAMES), F.lit("Unmapped decision rule"))
+
+
 def risk(decided: DataFrame, asked, status: dict[str, str], today: str) -> DataFrame:
     """risk (0 to 100), risk_level and the named factors that add up to it."""
     day = F.lit(today).cast("date")

@@ -6,13 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from concordia.operators import adjudicate, blocking, cleansing, contenders, matching, open_world, repair, rules
+from concordia.operators import adjudicate, blocking, cleansing, contenders, matching, open_world, repair, retrieval, rules, universe, validation
 from concordia.operators import channel as channel_
 from concordia.plans import mediate
 from concordia.sources import actions, logs, sample
 from concordia.sources.sample import TODAY
 
-from .oracle import TABLES, _norm, _plate
+from .oracle import BLOCKS, TABLES, _norm, _plate, _profile
+from .oracle import ORACLE_SQL as _SQL
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -335,3 +336,94 @@ def contenders_compared(spark, d):
     rows = contenders.stack(repair.kept(rows), {"logreg": (texts, "logreg")}, ["ocr_edit", "exact"], "truth")
     out = contenders.compare(repair.kept(rows), reads, ["edit", "ocr_edit", "jaro_winkler", "jaccard", "score", "logreg", "stacked"])
     return out.select("contender", "n", *(F.round(c, 4).alias(c) for c in ("top1", "mrr", "accept_precision", "accept_recall")))
+
+
+# ------------------------------------------------------------------ all keys, retrieval, names of rules, suggestions, validation
+
+
+@query(
+    f"""WITH {TABLES}, o AS (SELECT key, 'REG' AS s FROM reg UNION SELECT key, 'INS' FROM policy UNION SELECT key, 'THEFT' FROM crime UNION SELECT plate_id, 'CAM' FROM captures),
+f AS (SELECT plate_id AS key, 'make' AS c, upper(left(observed_make, 1)) || lower(observed_make[2:]) AS v FROM captures WHERE ocr_confidence >= 0.6 UNION ALL SELECT plate_id, 'model', 'M' || observed_model[2:] FROM captures WHERE ocr_confidence >= 0.6 UNION ALL SELECT plate_id, 'colour', observed_colour FROM captures WHERE ocr_confidence >= 0.6),
+m AS (SELECT key, max(v) FILTER (c = 'make') AS make, max(v) FILTER (c = 'model') AS model, max(v) FILTER (c = 'colour') AS colour FROM (SELECT key, c, v, count(*) AS n, sum(count(*)) OVER (PARTITION BY key, c) AS total FROM f WHERE v IS NOT NULL GROUP BY key, c, v) WHERE n * 2 > total GROUP BY key),
+l AS (SELECT plate_id AS key, count(*) OVER (PARTITION BY plate_id) AS sightings, seen_at, 'Junction ' || camera_id AS seen_where FROM captures QUALIFY row_number() OVER (PARTITION BY plate_id ORDER BY seen_at DESC, camera_id DESC) = 1),
+u AS (SELECT key, string_agg(s, ', ' ORDER BY s <> 'REG', s) AS names FROM o GROUP BY key HAVING names <> 'CAM' OR regexp_matches(key, '^[A-Z]{{2}}[0-9]{{2}}[A-Z]{{1,3}}[0-9]{{4}}$'))
+SELECT u.key, r.key IS NOT NULL AS registered, CASE WHEN names = 'CAM' THEN 0.3::double ELSE 1.0::double END AS prior, coalesce(r.vehicle_make, m.make) AS make, coalesce(r.vehicle_model, m.model) AS model, coalesce(r.vehicle_colour, m.colour) AS colour,
+concat_ws(',', CASE WHEN r.key IS NULL AND m.make IS NOT NULL THEN 'make' END, CASE WHEN r.key IS NULL AND m.model IS NOT NULL THEN 'model' END, CASE WHEN r.key IS NULL AND m.colour IS NOT NULL THEN 'colour' END) AS fingerprint,
+coalesce(sightings, 0) AS sightings, strftime(seen_at, '%Y-%m-%d %H:%M:%S') AS seen_at, seen_where, CASE WHEN r.key IS NULL THEN 'not registered; known to ' ELSE '' END || names AS held_by FROM u LEFT JOIN reg r ON r.key = u.key LEFT JOIN m ON m.key = u.key LEFT JOIN l ON l.key = u.key"""
+)
+def live_universe(spark, d):
+    """Every key that any source knows, what it looks like by the register or else by what most sightings agree on, and who holds it."""
+    t, reg = sample.tables(spark, d), sample.registry()
+    looks = {"vehicle_make": "make", "vehicle_model": "model", "vehicle_colour": "colour"}
+    official = {"REG": mediate.unfold(reg.source("REG"), t, set(looks)).withColumnsRenamed(looks), **{s: mediate.unfold(reg.source(s), t, set(), every=True) for s in ("INS", "THEFT")}}
+    seen = mediate.unfold(reg.source("CAM"), t, every=True).withColumnsRenamed({"last_seen_time": "seen_at", "last_seen_location": "seen_where"})
+    out = universe.universe(official, seen, "REG")
+    return out.withColumns({"fingerprint": F.array_join("fingerprint", ","), "seen_at": F.date_format("seen_at", "yyyy-MM-dd HH:mm:ss")}).drop("sources")
+
+
+@query(_profile() + "SELECT key, CASE " + " ".join(f"WHEN contains(decision, '{part}') THEN '{name}'" for part, name in mediate.RULE_NAMES) + " ELSE 'Unmapped decision rule' END AS rule FROM p")
+def rules_fired(spark, d):
+    """The name of the rule behind every key's decision."""
+    out = mediate.ask(sample.registry(), sample.tables(spark, d), sample.ATTRIBUTES, TODAY)
+    return out.select("key", mediate.rule_fired(F.col("decision")).alias("rule"))
+
+
+@query(
+    _SQL["resolve_identity"].rsplit("\nSELECT", 1)[0]
+    + "\nSELECT r.case_id, r.read, k.key, coalesce(place, 1)::int AS rank, coalesce(score, 0.0::double) AS score, CASE WHEN k.key IS NULL THEN 'REJECT' WHEN place = 1 AND (next IS NULL OR round(score - next, 3) >= 0.2) AND (k.key = r.read OR score >= 0.5) THEN 'ACCEPT' ELSE 'REVIEW' END AS decision FROM r LEFT JOIN k ON k.case_id = r.case_id"
+)
+def rule_matches(spark, d):
+    """The rule of one confusion as a matcher: every registered variant of the query set's reads, ranked and decided."""
+    v = sample.tables(spark, d)["VEHICLE"]
+    truth = F.col("registration_no")
+    read = F.concat(F.lit("DL"), F.substring(truth, 3, 7), F.when(F.substring(truth, 10, 1) == "0", "O").otherwise(F.substring(truth, 10, 1)))
+    reads = v.filter("registration_id % 50 = 0").select(F.col("registration_id").alias("case_id"), read.alias("read"), F.col("make").alias("observed_make"), F.col("colour").alias("observed_colour"))
+    return matching.rule_match(reads, v.select(truth.alias("key"), "make", "colour"))
+
+
+_PARTED = "CASE WHEN (case_id // 50) % 2 = 0 THEN 'validation' ELSE 'test' END"
+_RETRIEVED = f"""{BLOCKS}, k AS (SELECT unnest([1, 2]) AS k), w AS (SELECT k, read, key FROM c JOIN rn USING (read) JOIN kn USING (key) CROSS JOIN k WHERE abs(nx - ny) <= 2 * k AND shared >= greatest(1, greatest(nx, ny) - 2 * k)),
+e AS (SELECT p.k, p.read, truth, part, count(w.key) AS cost, count(*) FILTER (w.key = truth) AS hit FROM (SELECT k, read, truth, {_PARTED} AS part FROM reads CROSS JOIN k) p LEFT JOIN w ON w.k = p.k AND w.read = p.read GROUP BY ALL),
+t AS (SELECT strategy, k AS edits, part, count(*) AS n, avg(hit) AS recall, avg(cost) AS mean_candidates FROM e CROSS JOIN (SELECT unnest(['prefix', 'position']) AS strategy) GROUP BY ALL UNION ALL SELECT 'none', 0, {_PARTED}, count(*), 1.0::double, (SELECT count(*) FROM v)::double FROM reads GROUP BY ALL)"""
+
+
+def _retrieved(spark, d):
+    v = sample.tables(spark, d)["VEHICLE"].select(F.col("registration_no").alias("key"), "registration_id")
+    part = F.when(F.floor(F.col("registration_id") / 50) % 2 == 0, "validation").otherwise("test")
+    reads = v.filter("registration_id % 50 = 0").select(F.concat(F.substring("key", 1, 8), F.lit("7"), F.substring("key", 10, 1)).alias("read"), F.col("key").alias("truth"), part.alias("part"))
+    return retrieval.retrieval(reads, v, edits=(1, 2))
+
+
+@query(_RETRIEVED + " SELECT strategy, edits, part, n, round(recall, 6) AS recall, round(mean_candidates, 6) AS mean_candidates FROM t")
+def retrieval_table(spark, d):
+    """What each way of finding candidates keeps of the query set's keys, and how many candidates it costs."""
+    return _retrieved(spark, d).withColumns({c: F.round(c, 6) for c in ("recall", "mean_candidates")})
+
+
+@query(_RETRIEVED + ", o AS (SELECT edits, recall, max(recall) OVER () AS best FROM t WHERE strategy = 'position' AND part = 'validation') SELECT coalesce(min(edits) FILTER (recall >= 0.99), min(edits) FILTER (recall >= best - 0.005)) AS edits, count(*) FILTER (recall >= 0.99) > 0 AS reached FROM o")
+def edits_chosen(spark, d):
+    """The fewest edits that find enough of the validation part's keys."""
+    return retrieval.choose_edits(_retrieved(spark, d))
+
+
+@query(
+    _DIRTY + _screen("dirty", "x") + _MENDED + _screen("mended", "y")
+    + """ SELECT record_id, CASE WHEN list_contains(codes, 'IMPOSSIBLE_TRAVEL') OR len(list_filter(codes, lambda c: ends_with(c, '_DISAGREES_REGISTRATION'))) > 0 THEN 'confirm_clone' WHEN list_contains(codes, 'PLATE_SHAPE_INVALID') THEN 'delete_record' WHEN list_contains(codes, 'PLATE_NOT_REGISTERED') THEN 'dismiss'
+WHEN list_contains(codes, 'DUPLICATE_CAPTURE') OR list_contains(codes, 'TIMESTAMP_UNPARSEABLE') OR list_contains(codes, 'TIMESTAMP_FUTURE') THEN 'delete_record' ELSE 'dismiss' END AS suggested FROM ya WHERE len(codes) > 0"""
+)
+def suggestions(spark, d):
+    """What a person may decide on each record that repair leaves with anomalies; plates aren't matched."""
+    none = F.array().cast("array<struct<key:string,decision:string,p:double>>")
+    after = repair.repair(*dirty(spark, d)).after
+    return after.withColumn("_s", cleansing.suggest(F.col("anomalies"), none)).filter("_s is not null").select("record_id", F.col("_s.decision").alias("suggested"))
+
+
+@query()
+def noise_validation(spark, d):
+    """All captures of registered cars as a faultless camera had seen them; the clean ones damaged each in one known way, screened and repaired with the matcher: what of each kind is noticed and put right."""
+    records, held = dirty(spark, d)
+    looks = held.registered.select("key", *(F.col(c).alias(f"_{c}") for c in ("make", "model", "colour")))
+    seen = records.join(looks, F.col("plate_number") == F.col("key")).withColumns({f"observed_{c}": F.col(f"_{c}") for c in ("make", "model", "colour")})
+    records = seen.select(*records.columns)
+    done = validation.damaged(repair.kept(validation.pool(records, held)), held)
+    return validation.report(validation.scored(repair.kept(done), held, match={"edits": 1}))

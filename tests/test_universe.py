@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from concordia.functions import boxes
-from concordia.operators import cleansing, evaluate, matching, retrieval, universe
+from concordia.operators import blocking, cleansing, evaluate, matching, retrieval, universe
 from concordia.plans import mediate
 
 
@@ -40,6 +40,14 @@ def test_retrieval(spark):
     assert (got["none", 0, "test"].n, got["none", 0, "test"].recall, got["none", 0, "test"].mean_candidates) == (3, 0.0, 1.0)
     for s in ("prefix", "position"):
         assert got[s, 1, "validation"].recall == pytest.approx(2 / 3) and got[s, 2, "validation"].recall == 1.0 and got[s, 1, "test"].recall == 0.0
+    with pytest.raises(ValueError):
+        retrieval.retrieval(reads, keys, strategies=("index",))
+    # what is counted once is what each strategy finds by itself
+    for s in retrieval.EXACT:
+        for k in (1, 2, 3):
+            n = blocking.candidates(reads.filter("part = 'validation'"), "read", keys, "key", s, k).groupBy("read").count()
+            n = {r.read: r["count"] for r in n.collect()}
+            assert got["position", k, "validation"].mean_candidates == pytest.approx((2 * n.get("DL01AB1234", 0) + n.get("DLO1AB1Z34", 0)) / 3)
     assert retrieval.choose_edits(table).first()[:] == (2, True)
     assert retrieval.choose_edits(table.filter("edits < 2")).first()[:] == (1, False)
     assert retrieval.choose_edits(table, slack=0.5, wanted=1.1).first()[:] == (1, False)

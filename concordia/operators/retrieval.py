@@ -15,7 +15,7 @@ WANTED, SLACK = 0.99, 0.005
 EDITS = (1, 2, 3, 4, 5)
 
 
-#: Ways that keep the same pairs and differ in what they touch to find them.
+#: Ways that keep the same pairs.
 EXACT = ("size", "prefix", "position")
 
 

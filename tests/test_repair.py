@@ -1,5 +1,7 @@
 """Record repair on a fixture whose result is known, matcher included."""
 
+from pyspark.sql import functions as F
+
 from concordia.operators import repair
 from concordia.operators.rules import Tree
 
@@ -54,3 +56,16 @@ def test_rounds_are_bounded_and_empty_tables_pass(spark):
     assert repair.repair(records, of, swing, most=2).rounds == 2
     none = repair.repair(records.filter("false"), of)
     assert none.rounds == 0 and none.records.count() == none.after.count() == repair.rollup(none).count() == 0
+
+
+def test_rows_of_one_id_are_changed_alike(spark):
+    """Two rows of one id that set the same field: neither fails nor multiplies what is resolved."""
+    records, of = fixture(spark)
+    twice = records.filter("record_id <> 10").withColumn("record_id", F.when(F.col("record_id") == 4, 3).otherwise(F.col("record_id")))
+    done = repair.repair(twice, of)
+    assert {(r.plate_number, r.observed_make) for r in done.records.filter("record_id = 3").collect()} == {("HR26EF4000", "Tata"), ("HR26EF4111", "Tata")}
+    ruled = spark.createDataFrame([(3, ["TIMESTAMP_UNPARSEABLE"]), (3, ["X"])], "record_id long, codes array<string>")
+    left = done.after.select("record_id", F.explode("anomalies").alias("code")).filter("record_id = 3")
+    got = repair.dispositions(done, ruled).filter("record_id = 3 and code = 'TIMESTAMP_UNPARSEABLE'").collect()
+    rows = done.proposals.filter((F.col("round") == done.rounds + 1) & (F.col("record_id") == 3) & (F.col("field") == "last_seen_time")).count()
+    assert len(got) == rows * left.filter("code = 'TIMESTAMP_UNPARSEABLE'").count() and {r.disposition for r in got} <= {"resolved"}

@@ -85,3 +85,23 @@ def test_all_rows_of_a_key(spark, every):
     t = sample.tables(spark, "/root/testdata/sf0.001")
     got = mediate.unfold(sample.registry().source("CAM"), t, {"last_seen_time"}, every=every)
     assert (got.count() > got.select("key").distinct().count()) == every
+
+
+def test_evidence_reads_its_sources_once(spark):
+    read = {n: spark.sparkContext.accumulator(0) for n in ("cases", "policies")}
+
+    def counted(df, name, column, kind):
+        def touch(v):
+            read[name].add(1)
+            return v
+
+        return df.withColumn(column, F.udf(touch, kind).asNondeterministic()(column))
+
+    d = dt.date(2026, 1, 1)
+    cases = spark.createDataFrame([(i, f"DL01AB111{i}", None, None, dt.datetime(2026, 1, 5), 28.6, 77.2) for i in range(5)], "case_id int, read string, observed_make string, observed_colour string, at timestamp_ntz, lat double, lon double")
+    official = spark.createDataFrame([(f"DL01AB111{i}", "Kia", "Red", "ACTIVE") for i in range(5)], "key string, vehicle_make string, vehicle_colour string, registration_status string")
+    policies = spark.createDataFrame([("DL01AB1111", d, d)] * 4, "key string, insurance_start date, insurance_expiry date")
+    thefts = spark.createDataFrame([], "key string, stolen_status string, last_incident_date date")
+    out = adjudicate.verify(adjudicate.evidence(counted(cases, "cases", "read", "string"), official, thefts, counted(policies, "policies", "insurance_start", "date")))
+    assert out.count() == len(out.collect()) == 5
+    assert read["policies"].value == 4 and read["cases"].value <= 10

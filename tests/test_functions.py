@@ -67,3 +67,15 @@ def test_keys(spark):
     assert list(r) == ["DL-01-AB-1234", "dl 01 ab 1234", "DL******34", "LLDDLLDDDD", "S^+^", "+^+^"]
     with pytest.raises(Exception, match="empty key"):
         spark.createDataFrame([("--",)], "p string").select(T.canonical_plate(F.col("p"))).collect()
+
+
+def test_what_a_form_keeps_from_the_parsers_they_refuse(spark):
+    texts = ["1/2/2000", "01/02/2000 3:4", "1/2/2000 03:04:05", "1-2-2000 3:4", "1-2-2000 3:4:5", "2000/1/2 3:4:5", "2000-1-2", "2000-1-2 3:4", "+2000/1/2 3:4:5", "-1/2/2000", "12/-3/2000", "1/2/20000", "31/2/2000", "1/2/2000 ", " 1/2/2000", "1/2/2000\n", "1 / 2/2000", "1/2", "a/b/c", "", "2000-1-2x", "١/2/2000", None]
+    c = F.col("t")
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert df.select(T.parse_ddmmyyyy(c)).collect() == df.select(F.coalesce(F.try_to_date(c, "d/M/yyyy"), F.try_to_date(c, "yyyy-M-d"))).collect()
+    got = [r.p for r in df.select(T.parse_ts(c).alias("p")).collect()]
+    for name, form in T.TIME_FORMATS.items():
+        plain = [r[0] for r in df.select(F.try_to_timestamp(F.trim(c), F.lit(form)).cast("timestamp_ntz")).collect()]
+        assert all(g.format for g, p in zip(got, plain) if p) and all(g.moment == p for g, p in zip(got, plain) if g.format == name)
+    assert df.select(T.parse_ddmmyyyy(F.lit("2000-01-02 03:04:05").cast("timestamp")).cast("string")).first()[0] == "2000-01-02"

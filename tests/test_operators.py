@@ -223,6 +223,27 @@ def test_schema_matching(spark):
     assert [(c, a) for c, a, _ in got] == [("vehicle_reg", "plate_number"), ("colour", "vehicle_colour"), ("policy_until", "insurance_expiry")]
 
 
+def test_value_shares_of_many_columns(spark):
+    """Each test stands once in the plan: a wide table's plan is no longer than a narrow one's, but for the columns themselves."""
+    kinds = {"plate_number": "string", "vehicle_colour": "string", "insurance_expiry": "date"}
+    rows = [("DL01AB1234", "Red", "04/09/2024", 1), (None, "red ", "no date", 2), ("x", "Blue", "2024-09-04", None), ("HR26EF4455", None, None, 4)]
+    df = spark.createDataFrame(rows, "reg string, `a.b` string, until string, n int")
+    got = schema_match.value_shares(df, kinds)
+    assert got == {(c, a): {("reg", "plate_number"): 0.5, ("a.b", "vehicle_colour"): 0.75, ("until", "insurance_expiry"): 0.5}.get((c, a), 0.0) for c in df.columns for a in kinds}
+    assert set(schema_match.value_shares(df.filter("false"), kinds).values()) == {0.0} and schema_match.value_shares(df, {"owner_name": "string"}) == {}
+    sizes, own = [], type(df).groupBy
+    for n in (2, 12):
+        wide = df.select(*(F.col("until").alias(f"c{i}") for i in range(n)))
+        plans = []
+        try:
+            type(df).groupBy = lambda self, *by: plans.append(self) or own(self, *by)
+            schema_match.value_shares(wide, kinds)
+        finally:
+            type(df).groupBy = own
+        sizes.append(len(plans))
+    assert sizes == [1, 1]
+
+
 def test_repaired_reads(spark):
     get = lambda r: spark.createDataFrame([(r,)], "r string").select(blocking.repaired(F.col("r"))).first()[0]
     assert get("DLO1AB1234")[:2] == ["DL01AB1234", "DLO1AB1234"] and get("DL01AB1234") == ["DL01AB1234"]

@@ -13,12 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, prefix_hash, span_hash, texts, word_hashes, words
+from .common import chunks, kept, mix, prefix_hash, span_hash, texts, word_hashes, words
 
 #: Hash buckets of a model: what the driver and the tasks hold of the corpus, whatever its size.
 BUCKETS = 1 << 16
-#: Labelled rows that the target model and the threshold are fitted on, at most.
-LABELLED = 20_000
 SHARE = 0.5
 SEED = 8
 _BINS = 1 << 12
@@ -40,20 +38,53 @@ def features(column: pa.Array):
         yield i, j, (grams >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64), np.concatenate([row, row[pair], row])
 
 
-def labelled(labels: DataFrame, id_col: str, label_col: str, limit: int = LABELLED) -> DataFrame:
-    """At most ``limit`` labelled ids, chosen by hash: (id, good, fold); fold 0 fits the model, fold 1 the threshold."""
+def labelled(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """All labelled ids: (id, good, fold); fold 0 fits the model, fold 1 the threshold."""
     own = labels.groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("good")).filter("_id is not null and good is not null")
-    return own.orderBy(F.xxhash64("_id", F.lit(SEED)), "_id").limit(limit).withColumn("fold", F.pmod(F.xxhash64("_id", F.lit(SEED + 1)), F.lit(2)))
+    return own.withColumn("fold", F.pmod(F.xxhash64("_id", F.lit(SEED + 1)), F.lit(2)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", limit: int = LABELLED) -> tuple[np.ndarray, float]:
+def cut_of(seen: DataFrame, few: int = _FEW) -> float:
+    """The cut on ``mean`` that gives the best mean of the recalls of good (1) and bad (0) rows, exactly; of equal ones the lowest between two values, or
+    below all of them if nothing is better than that. Minus infinity without rows of both kinds.
+
+    Different values are counted and put in order in ranges, so neither the driver nor a task holds them all.
+    """
+    totals = {r["good"]: r["count"] for r in seen.filter("good in (0, 1)").groupBy("good").count().collect()}
+    if not totals.get(1) or not totals.get(0):
+        return -np.inf
+    counted = seen.filter("good in (0, 1)").groupBy("mean").agg(F.count_if(F.col("good") == 1).alias("g"), F.count_if(F.col("good") == 0).alias("b"))
+    n = max(1, -(-sum(totals.values()) // few))
+    # what a range begins with is the sum of those before, of which there are few
+    ranged = kept(counted.repartitionByRange(n, "mean").withColumn("part", F.spark_partition_id()))
+    sums, at, low = {}, [0, 0], None
+    for r in ranged.groupBy("part").agg(F.sum("g").alias("g"), F.sum("b").alias("b"), F.min("mean").alias("low")).orderBy("part").collect():
+        sums[r["part"]] = tuple(at)
+        at = [at[0] + r["g"], at[1] + r["b"]]
+        low = r["low"] if low is None else min(low, r["low"])
+    start = lambda i: F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for p, v in sums.items() for x in (p, v[i]))), F.col("part")), F.lit(0))
+    before = Window.partitionBy("part").orderBy("mean").rowsBetween(Window.unboundedPreceding, -1)
+    edges = ranged.select("part", "mean", F.lag("mean").over(Window.partitionBy("part").orderBy("mean")).alias("last"), *((F.coalesce(F.sum(c).over(before), F.lit(0)) + start(i)).alias(f"{c}0") for i, c in enumerate("gb")))
+    ends = {r["part"]: r["high"] for r in ranged.groupBy("part").agg(F.max("mean").alias("high")).collect()}
+    order = sorted(ends)
+    previous = F.create_map(*(F.lit(x) for a, b in zip(order[1:], order) for x in (a, ends[b]))) if len(order) > 1 else None
+    if previous is not None:
+        edges = edges.withColumn("last", F.coalesce("last", F.try_element_at(previous, F.col("part"))))
+    # as in whole numbers: recall of good ones that stay, and of bad ones that go
+    value = (1 - F.col("g0") / totals[1]) + F.col("b0") / totals[0]
+    middle = (F.col("mean") + F.col("last")) / 2  # not above the lower of two values that are next to each other
+    best = edges.filter("last is not null").select(F.when(middle > F.col("last"), middle).otherwise(F.col("mean")).alias("cut"), value.alias("value")).orderBy(F.desc("value"), "cut").first()
+    return float(best["cut"]) if best and best["value"] >= 1 else float(low - 1)
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[np.ndarray, float]:
     """The log ratio of each bucket (of the target's share to the raw text's) and the threshold on a document's mean.
 
     Raw counts are over all documents. The threshold gives the best mean of the two classes' recalls on fold 1;
-    without labels of both kinds everything is kept (threshold minus infinity). Driver and tasks hold BUCKETS
-    numbers, and the scores of at most ``limit`` rows.
+    without labels of both kinds everything is kept (threshold minus infinity). All labelled rows count; driver and tasks hold BUCKETS
+    numbers.
     """
-    chosen = F.broadcast(labelled(labels, id_col, label_col, limit))
+    chosen = labelled(labels, id_col, label_col)
     base = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
 
     def count(batches):
@@ -74,14 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     raw = (totals[0] + 1) / (totals[0].sum() + BUCKETS)
     target = (totals[1] + BUCKETS * raw) / (totals[1].sum() + BUCKETS)
     weights = np.log(target / raw) if totals[1].sum() else np.zeros(BUCKETS)
-    seen = score(base.join(chosen, "_id").filter("fold = 1").select("_id", "_text", "good"), weights, ["good"], "_text").select("good", "mean").collect()
-    good, bad = (np.sort([r["mean"] for r in seen if r["good"] == g]) for g in (1, 0))
-    if not len(good) or not len(bad):
-        return weights, -np.inf
-    at = np.unique(np.concatenate([good, bad]))
-    cuts = np.append((at[1:] + at[:-1]) / 2, at[0] - 1)
-    value = (1 - np.searchsorted(good, cuts) / len(good)) + np.searchsorted(bad, cuts) / len(bad)
-    return weights, float(cuts[int(np.argmax(value))])
+    return weights, cut_of(kept(score(base.join(chosen, "_id").filter("fold = 1").select("_id", "_text", "good"), weights, ["good"], "_text").select("good", "mean")))
 
 
 def score(docs: DataFrame, weights: np.ndarray, carry: list[str], text_col: str = "text") -> DataFrame:
@@ -136,16 +160,14 @@ def gumbel(id_col: str, seed: int = SEED):
     return -F.log(-F.log(u))
 
 
-def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", share: float = SHARE, limit: int = LABELLED, seed: int = SEED) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", share: float = SHARE, seed: int = SEED) -> DataFrame:
     """id, log_ratio, mean, kept (the classifier's verdict), gumbel_key and selected (a sample of ``share`` of the rows).
 
     The key uses the log ratio itself, so rows are drawn in proportion to their importance weight; the mean only says
     what is kept. Null and blank texts have ratio 0 and aren't kept if that's below
     the threshold. Rows of equal ids share their noise; other columns aren't read.
     """
-    from .common import kept as written
-
-    weights, cut = fit(docs, labels, id_col, text_col, label_col, limit)
+    weights, cut = fit(docs, labels, id_col, text_col, label_col)
     scored = score(docs, weights, [id_col], text_col)
-    keyed = written(scored.withColumns({"kept": F.col("mean") >= F.lit(cut), "gumbel_key": F.col("log_ratio") + gumbel(id_col, seed)}))
+    keyed = kept(scored.withColumns({"kept": F.col("mean") >= F.lit(cut), "gumbel_key": F.col("log_ratio") + gumbel(id_col, seed)}))
     return top_k(keyed, "gumbel_key", int(share * keyed.count()), id_col)

@@ -15,10 +15,11 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .importance import LABELLED, labelled
+from .common import kept
+from .importance import labelled
 
 #: Knots (bytes, lowest ratio, highest ratio) where nothing is fitted, ratio = compressed / raw bytes: only extremes are out.
 BANDS = ((1, 0.0, 20.0), (200, 0.18, 1.02), (1_000, 0.15, 0.85), (4_000, 0.12, 0.75), (16_000, 0.10, 0.70), (65_536, 0.08, 0.66))
@@ -62,29 +63,39 @@ def in_band(n_bytes: int, ratio: float, bands=BANDS) -> bool:
     return float(np.interp(x, at, [b[1] for b in bands])) - beyond <= ratio <= float(np.interp(x, at, [b[2] for b in bands])) + beyond
 
 
-def fitted(n_bytes: np.ndarray, ratio: np.ndarray, outside: float = OUTSIDE, in_band: int = IN_BAND):
-    """Knots of the limits that all but a share of the given good texts keep; BANDS if there are fewer than ``in_band``."""
-    if len(n_bytes) < in_band:
+def fitted(seen: DataFrame, outside: float = OUTSIDE, in_band: int = IN_BAND):
+    """Knots of the limits that all but a share of the given good texts (n, ratio) keep; BANDS if there are fewer than ``in_band``.
+
+    The curve comes from sums, the bands' edges from the counts of each length, and a band's limits from ranks within it: rows never come to the driver.
+    """
+    x = F.log2(F.greatest("n", F.lit(1)))
+    rows, low, high, lengths = seen.agg(F.count("*"), F.min(x), F.max(x), F.count_distinct("n")).first()
+    if rows < in_band:
         return BANDS
-    order = np.lexsort((ratio, n_bytes))
-    x, y = np.log2(np.maximum(n_bytes[order], 1)), ratio[order]
-    curve = np.polynomial.Polynomial.fit(x, y, min(3, len(np.unique(x)) - 1))
-    off = y - curve(x)
-    knots = []
-    for part in np.array_split(np.arange(len(x)), max(1, min(32, len(x) // in_band))):
-        low, high = np.quantile(off[part], [outside, 1 - outside], method="lower"), np.quantile(off[part], 1 - outside, method="higher")
-        middle = float(np.median(x[part]))
-        knots.append((2**middle, float(curve(middle) + low[0]), float(curve(middle) + high)))
-    ends = [(2 ** float(at), float(curve(at)) + k[1] - float(curve(np.log2(k[0]))), float(curve(at)) + k[2] - float(curve(np.log2(k[0])))) for at, k in ((x[0], knots[0]), (x[-1], knots[-1]))]
+    bands, degree = max(1, min(32, rows // in_band)), min(3, lengths - 1)
+    at = lambda v: (2 * v - (low + high)) / (high - low) if high > low else v * 0.0
+    part = [i / bands for i in range(1, bands)]
+    sums = seen.select("n", "ratio", at(x).alias("u")).agg(*(F.sum(F.pow("u", F.lit(k))) for k in range(2 * degree + 1)), *(F.sum(F.pow("u", F.lit(k)) * F.col("ratio")) for k in range(degree + 1)), F.percentile("n", F.array(*map(F.lit, part))) if part else F.lit(None)).first()
+    powers, right, edges = sums[: 2 * degree + 1], sums[2 * degree + 1 : -1], sums[-1] or []
+    factors = np.linalg.lstsq(np.array([[powers[i + j] for j in range(degree + 1)] for i in range(degree + 1)]), np.array(right), rcond=None)[0].tolist()
+    curve = lambda v: sum((c * at(v) ** k for k, c in enumerate(factors[1:], 1)), v * 0.0 + factors[0])
+    band = sum((F.when(F.col("n") >= e, 1).otherwise(0) for e in edges), F.lit(0))
+    placed = seen.select(band.alias("band"), x.alias("x"), (F.col("ratio") - curve(x)).alias("off"))
+    w = Window.partitionBy("band")
+    ranked = placed.withColumns({"r": F.row_number().over(w.orderBy("off")) - 1, "m": F.count("*").over(w) - 1})
+    limit = lambda place: F.max(F.when(F.col("r") == place, F.col("off")))
+    found = ranked.groupBy("band").agg(F.median("x").alias("x"), limit(F.floor(outside * F.col("m"))).alias("low"), limit(F.ceil((1 - outside) * F.col("m"))).alias("high")).orderBy("band").collect()
+    knots = [(2 ** r["x"], curve(r["x"]) + r["low"], curve(r["x"]) + r["high"]) for r in found]
+    ends = [(2**v, curve(v) + r["low"], curve(v) + r["high"]) for v, r in ((low, found[0]), (high, found[-1]))]
     return tuple(sorted({k[0]: k for k in (ends[0], *knots, ends[1])}.values()))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", limit: int = LABELLED, level: int = LEVEL):
-    """Limits fitted to at most ``limit`` labelled rows, of which the good ones that pass the base rules count; only their lengths and ratios come to the driver.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", level: int = LEVEL):
+    """Limits fitted to all rows that are labelled good and pass the base rules.
 
     Null ids and labels are passed over; without enough good rows the limits are BANDS.
     """
-    chosen = labelled(labels, id_col, label_col, limit).filter("good = 1")
+    chosen = labelled(labels, id_col, label_col).filter("good = 1")
 
     def measure(batches):
         press = zstandard.ZstdCompressor(level=level).compress
@@ -94,8 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             n, ratio = zip(*good) if good else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(ratio, pa.float64())], names=["n", "ratio"])
 
-    seen = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")).join(F.broadcast(chosen), "_id").select("_text").mapInArrow(measure, "n long, ratio double").collect()
-    return fitted(np.array([r[0] for r in seen], np.int64), np.array([r[1] for r in seen], float))
+    return fitted(kept(docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")).join(chosen, "_id").select("_text").mapInArrow(measure, "n long, ratio double")))
 
 
 def judge(text: bytes, press, bands=BANDS, chunk: int = CHUNK_BYTES, bad_chunks: float = BAD_CHUNKS) -> tuple:

@@ -28,7 +28,7 @@ def op3_substring_dedup(spark, sf_dir):
 
 
 def op4_quality_rules(spark, sf_dir):
-    """Limits are fitted to at most 20,000 labelled rows; every document is judged."""
+    """Limits are fitted to all labelled rows; every document is judged."""
     docs = table(spark, sf_dir, "documents")
     return quality_rules.compression_bands(docs, bands=quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 

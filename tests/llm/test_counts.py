@@ -314,3 +314,21 @@ def test_license_containment_at_its_bound(spark):
         finally:
             license_scan.BLOCK = old
     assert license_scan.scan(docs, templates={}).count() == 0
+
+
+def test_all_labelled_rows_count(spark):
+    """More labels than a sample of 20,000 would take; the cut equals that of a plain search, however the ranges fall."""
+    many = spark.range(25_000).select("id", (F.col("id") % 3 > 0).cast("int").alias("quality"))
+    assert importance.labelled(many, "id", "quality").count() == 25_000
+    r = np.random.default_rng(4)
+    for n, few in ((0, 10), (1, 10), (60, 7), (400, 50), (400, 10_000)):
+        good = r.integers(0, 2, n)
+        mean = np.round(r.normal(size=n) + 0.4 * good, 1)
+        seen = spark.createDataFrame([*zip(good.tolist(), mean.tolist())], "good int, mean double")
+        g, b = np.sort(mean[good == 1]), np.sort(mean[good == 0])
+        want = -np.inf
+        if len(g) and len(b):
+            at = np.unique(mean)
+            cuts = np.append((at[1:] + at[:-1]) / 2, at[0] - 1)
+            want = cuts[int(np.argmax((1 - np.searchsorted(g, cuts) / len(g)) + np.searchsorted(b, cuts) / len(b)))]
+        assert importance.cut_of(seen, few) == want

@@ -82,7 +82,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Raw counts are over all documents. The threshold gives the best mean of the two classes' recalls on fold 1;
     without labels of both kinds everything is kept (threshold minus infinity). All labelled rows count; driver and tasks hold BUCKETS
-    numbers.
+    numbers, and the ids of the target's rows.
     """
     chosen = labelled(labels, id_col, label_col)
     base = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
@@ -97,7 +97,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         kind, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int64()), pa.array(bucket, pa.int64()), pa.array(total[kind, bucket])], names=["kind", "bucket", "n"])
 
-    marked = base.join(chosen, "_id", "left").select("_text", F.coalesce((F.col("good") == 1) & (F.col("fold") == 0), F.lit(False)).alias("target"))
+    # only the target's ids are sent to all, whatever their number: no text is shuffled
+    own = F.broadcast(chosen.filter("good = 1 and fold = 0").select("_id", F.lit(True).alias("target")))
+    marked = base.join(own, "_id", "left").select("_text", F.coalesce("target", F.lit(False)).alias("target"))
     totals = np.zeros((2, BUCKETS))
     for r in marked.mapInArrow(count, "kind long, bucket long, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
         totals[r["kind"], r["bucket"]] = r["n"]
@@ -105,7 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     raw = (totals[0] + 1) / (totals[0].sum() + BUCKETS)
     target = (totals[1] + BUCKETS * raw) / (totals[1].sum() + BUCKETS)
     weights = np.log(target / raw) if totals[1].sum() else np.zeros(BUCKETS)
-    return weights, cut_of(kept(score(base.join(chosen, "_id").filter("fold = 1").select("_id", "_text", "good"), weights, ["good"], "_text").select("good", "mean")))
+    return weights, cut_of(kept(score(base, weights, ["_id"], "_text").select("_id", "mean").join(chosen.filter("fold = 1"), "_id").select("good", "mean")))
 
 
 def score(docs: DataFrame, weights: np.ndarray, carry: list[str], text_col: str = "text") -> DataFrame:

@@ -11,8 +11,11 @@ share it, wherever they stand. So
 3. an anchor with more different segments than a block should hold (the edge of a passage that very many documents quote) is
    dealt out finer: its windows are parted by how far from their start the anchor stands, which equal windows share too,
    and at last by what they are. What is found, and how, doesn't depend on how fine the parts are;
-4. found runs go back to all occurrences of their segment, in 64 slices of each so that no task gets a whole hot segment,
-   are gathered by text and removed.
+4. found runs go back to all occurrences of their segment by a join, of which Spark splits what is skewed, are gathered by
+   text and removed.
+
+Texts are wide and shuffles cost disk: bodies are written once and dealt out once, by anchor. What the map of anchors
+lets through though they stand once is not joined away, but stands alone in its part.
 """
 
 from __future__ import annotations
@@ -35,8 +38,8 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Bytes of segments that a task searches at a time, and different segments of one part that are dealt out together.
 BLOCK = 1 << 15
 TOGETHER = 4_000
-#: Slices in which the occurrences of one segment get back what was found of it.
-SLICES = 64
+#: Rows of an anchor that one step may hand on to be counted; of more only those with an extreme value go on.
+MANY = 8
 
 
 def _segments(column: pa.Array, by_words: bool, length: int, k: int):
@@ -66,6 +69,18 @@ def _place(key: np.ndarray, start: np.ndarray) -> np.ndarray:
     return mix(key.view(np.uint64) ^ mix(start.astype(np.uint64) + np.uint64(1)))
 
 
+def _extremes(group: np.ndarray, *columns: np.ndarray, many: int = MANY) -> np.ndarray:
+    """Rows enough for each group's least and largest values: all of those of up to ``many`` rows, else those that have such a value."""
+    _, group, count = np.unique(group, return_inverse=True, return_counts=True)
+    use = count[group] <= many
+    crowd = np.flatnonzero(~use)
+    for c in columns if len(crowd) else ():
+        order = crowd[np.lexsort((c[crowd], group[crowd]))]
+        new = np.append(True, group[order[1:]] != group[order[:-1]])
+        use[order[new]] = use[order[np.append(new[1:], True)]] = True
+    return np.flatnonzero(use)
+
+
 def find(keyed: DataFrame, by_words: bool, length: int, k: int, block: int = BLOCK, together: int = TOGETHER) -> DataFrame:
     """(key, start, end) of runs to remove; keyed has key (long), rank (long) and text.
 
@@ -77,13 +92,19 @@ def find(keyed: DataFrame, by_words: bool, length: int, k: int, block: int = BLO
             rank, key = (b.column(c).to_numpy(zero_copy_only=False) for c in (1, 2))
             for i, s, *_ in _segments(b.column(0), by_words, length, k):
                 row = s["row"] + i
-                yield _arrow(anchor=_signed(s["anchor"]), segment=_signed(s["segment"]), inner=s["inner"], rank=rank[row], place=_signed(_place(key[row], s["start"])))
+                # words that only texts of one rank have are nobody's copy; bytes may repeat within a segment
+                mark = rank[row] if by_words else s["inner"].astype(np.int64)
+                # the maps that tell places apart have fewer bits
+                place = (_place(key[row], s["start"]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                use = _extremes(s["anchor"], s["segment"], mark, place)
+                yield _arrow(anchor=_signed(s["anchor"][use]), segment=_signed(s["segment"][use]), mark=mark[use], place=place[use])
 
     source = keyed.select("text", "rank", "key")
-    counted = source.mapInArrow(count, "anchor long, segment long, inner boolean, rank long, place long").groupBy("anchor")
-    counted = counted.agg(F.count("*").alias("n"), F.min("segment").alias("low"), F.max("segment").alias("high"), F.max(F.col("inner").cast("int")).alias("inner"), F.min("rank").alias("least"), F.max("rank").alias("most"), F.min("place").alias("one"), F.max("place").alias("two"))
-    # words that only texts of one rank have are nobody's copy; bytes may repeat within a segment
-    again = stored(counted.filter("least < most" if by_words else "n > 1 or inner = 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed"), "one", "two"))
+    # nearly all anchors differ: to count them before they are dealt out would only make their rows wider
+    counted = source.mapInArrow(count, "anchor long, segment long, mark long, place int").repartition("anchor").groupBy("anchor")
+    counted = counted.agg(F.count("*").alias("n"), F.min("segment").alias("low"), F.max("segment").alias("high"), F.min("mark").alias("least"), F.max("mark").alias("most"), F.min("place").alias("one"), F.max("place").alias("two"))
+    place = [F.shiftleft(F.col(c).cast("long"), 32).alias(c) for c in ("one", "two")]
+    again = stored(counted.filter("least < most" if by_words else "n > 1 or most = 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed"), *place))
     context = keyed.sparkSession.sparkContext
     maps = context.broadcast((bitmap(again, "anchor"), bitmap(again.filter("mixed"), "anchor"), bitmap(again.filter("not mixed").select(F.explode(F.array("one", "two")).alias("place")), "place")))
 
@@ -97,52 +118,68 @@ def find(keyed: DataFrame, by_words: bool, length: int, k: int, block: int = BLO
                 place = _place(key[row + i], start)
                 at, to = (starts[start], ends[end - 1]) if by_words else (start, end)
                 raw = part.tobytes()
+                # of many equal segments some stand for all
+                stands = np.zeros(len(use), bool)
+                stands[_extremes(mix(s["segment"][use]) ^ s["anchor"][use], rank[row + i], _signed(place))] = True
                 # where all segments of an anchor are equal, two of them show their text
-                body = [raw[x:y] if m else None for x, y, m in zip(at.tolist(), to.tolist(), (marked(mixed, s["anchor"][use]) | marked(shown, place)).tolist())]
-                yield _arrow(anchor=_signed(s["anchor"][use]), segment=_signed(s["segment"][use]), key=key[row + i], rank=rank[row + i], start=(start - first[row]).astype(np.int32), end=(end - first[row]).astype(np.int32), place=_signed(place), body=pa.array(body, pa.binary()))
-
-    seen = source.mapInArrow(occurrences, "anchor long, segment long, key long, rank long, start int, end int, place long, body binary").join(again.select("anchor"), "anchor", "left_semi")
-    seen = stored(seen.withColumn("slice", F.pmod("place", F.lit(SLICES)).cast("int")))
-    shown = F.when(F.col("body").isNotNull(), F.struct("rank", "place", "body"))
-    sliced = seen.select("anchor", "segment", "slice").distinct()
-    distinct = seen.groupBy("anchor", "segment").agg(F.min(shown).alias("one"), F.max(shown).alias("two"), F.min("rank").alias("rank"), F.count("*").alias("n"))
-    # rows equal in id and text share their places: the second occurrence is then as the first
-    second = F.when(F.col("one.place") != F.col("two.place"), F.col("two.body")).when(F.col("n") > 1, F.col("one.body"))
-    distinct = distinct.select(F.col("anchor").alias("part"), "segment", "anchor", F.col("one.body").alias("body"), second.alias("second"), "rank")
+                show = stands & (marked(mixed, s["anchor"][use]) | marked(shown, place))
+                body = [raw[x:y] if m else None for x, y, m in zip(at.tolist(), to.tolist(), show.tolist())]
+                yield _arrow(anchor=_signed(s["anchor"][use]), segment=_signed(s["segment"][use]), key=key[row + i], rank=rank[row + i], start=(start - first[row]).astype(np.int32), stands=stands, body=pa.array(body, pa.binary()))
+
+    seen = stored(source.mapInArrow(occurrences, "anchor long, segment long, key long, rank long, start int, stands boolean, body binary"))
+
+    def summed(rows: DataFrame) -> DataFrame:
+        place = F.xxhash64("key", "start").alias("place")
+        shown = F.when(F.col("body").isNotNull(), F.struct("rank", place, "body"))
+        # dealt out by part, so that the segments of a part are summed, and searched, where they are
+        rows = rows.repartition(partitions(rows, 2), "part").groupBy("part", "segment").agg(F.min(shown).alias("one"), F.max(shown).alias("two"), F.min("rank").alias("rank"), F.count("*").alias("n"))
+        # rows equal in id and text share their places: the second occurrence is then as the first
+        second = F.when(F.col("one.place") != F.col("two.place"), F.col("two.body")).when(F.col("n") > 1, F.col("one.body"))
+        # of an anchor that stands once nobody may have asked for the text
+        return rows.filter("one is not null").select("part", "segment", F.col("part").alias("anchor"), F.col("one.body").alias("body"), second.alias("second"), "rank")
+
     wide = length - k + 1
-    found = _searched(distinct, seen.select(F.col("anchor").alias("part"), "segment").distinct(), by_words, length, k, block, together, (max(2, wide // 8), 1))
+    found = _searched(seen.filter("stands").withColumnRenamed("anchor", "part"), summed, by_words, length, k, block, together, (max(2, wide // 8), 1))
     found = found.select(F.col("part").alias("anchor"), "segment", "least", "from", "to")
-    runs = _handed(seen.select("anchor", "segment", "slice", "key", "rank", "start"), sliced, found, ["anchor", "segment"])
+    runs = seen.select("anchor", "segment", "key", "rank", "start").join(found, ["anchor", "segment"])
     if by_words:
         runs = runs.filter(F.col("rank") > F.col("least"))
     return runs.select("key", (F.col("start") + F.col("from")).alias("start"), (F.col("start") + F.col("to")).alias("end"))
 
 
-def _handed(rows: DataFrame, sliced: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
-    """rows joined to what was found of their group; a group's rows are dealt by slice, and what was found goes to each slice that it has."""
-    return rows.join(sliced.select(*by, "slice").join(found, by), [*by, "slice"])
+def _searched(rows: DataFrame, summed, by_words: bool, length: int, k: int, block: int, together: int, widths: tuple[int, ...]) -> DataFrame:
+    """(part, segment, least, from, to): repeated runs within the segments of each part.
 
-
-def _searched(distinct: DataFrame, parts: DataFrame, by_words: bool, length: int, k: int, block: int, together: int, widths: tuple[int, ...]) -> DataFrame:
-    """(part, segment, least, from, to): repeated runs within the segments (part, segment, anchor, body, second, rank) of each part; parts: their keys alone."""
-    search, n = (_by_automaton if by_words else _by_bwt), partitions(distinct, 2)
-    rows = distinct.select("part", "segment", "body", "second", "rank")
+    rows: the segments' occurrences; summed: makes of some of them one row a segment (part, segment, anchor, body, second, rank),
+    whole parts to a task.
+    """
+    search = _by_automaton if by_words else _by_bwt
     out = "part long, segment long, least long, from int, to int"
-    crowds = kept(parts.groupBy("part").agg(F.count("*").alias("m")).filter(F.col("m") > together).select("part")) if widths else None
-    if crowds is None or crowds.isEmpty():
-        return rows.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_blocks(search, length, block), out)
-    few = rows.join(crowds, "part", "left_anti").repartition(n, "part").sortWithinPartitions("part").mapInArrow(_blocks(search, length, block), out)
-    cut = distinct.join(crowds, "part", "left_semi").select("part", "segment", "anchor", "body", "second", "rank")
-    cut = cut.mapInArrow(_finer(by_words, length, k, widths[0], len(widths) == 1), "part long, segment long, at int, anchor long, finer long, cut long, body binary, second binary, rank long")
-    cut = stored(cut.withColumn("slice", F.pmod("segment", F.lit(SLICES)).cast("int")))
-    text = F.struct("segment", "at", "body", "second")
-    sliced = cut.select("finer", "cut", "slice").distinct()
-    inner = cut.groupBy("finer", "cut").agg(F.first("anchor").alias("anchor"), F.min(text).alias("one"), F.max(text).alias("two"), F.min("rank").alias("rank"))
-    other = F.when((F.col("one.segment") != F.col("two.segment")) | (F.col("one.at") != F.col("two.at")), F.col("two.body")).otherwise(F.col("one.second"))
-    inner = inner.select(F.col("finer").alias("part"), F.col("cut").alias("segment"), "anchor", F.col("one.body").alias("body"), other.alias("second"), "rank")
-    hits = _searched(inner, cut.select(F.col("finer").alias("part"), F.col("cut").alias("segment")).distinct(), by_words, length, k, block, together, widths[1:])
+
+    def searched(rows):
+        dealt = summed(rows).select("part", "segment", "body", "second", "rank").sortWithinPartitions("part")
+        return dealt.mapInArrow(_blocks(search, length, block), out)
+
+    if not widths:
+        return searched(rows)
+    # at most one part for each ``together`` segments
+    crowds = kept(rows.select("part", "segment").distinct().groupBy("part").agg(F.count("*").alias("m")).filter(F.col("m") > together).select("part"))
+    if crowds.isEmpty():
+        return searched(rows)
+    few = searched(rows.join(F.broadcast(crowds), "part", "left_anti"))
+    cut = summed(rows.join(F.broadcast(crowds), "part", "left_semi")).select("part", "segment", "anchor", "body", "second", "rank")
+    cut = stored(cut.mapInArrow(_finer(by_words, length, k, widths[0], len(widths) == 1), "part long, segment long, at int, anchor long, finer long, cut long, body binary, second binary, rank long"))
+
+    def narrower(rows: DataFrame) -> DataFrame:
+        text = F.struct("of", "at", "body", "second")
+        rows = rows.repartition(partitions(rows, 2), "part").groupBy("part", "segment").agg(F.first("anchor").alias("anchor"), F.min(text).alias("one"), F.max(text).alias("two"), F.min("rank").alias("rank"))
+        other = F.when((F.col("one.of") != F.col("two.of")) | (F.col("one.at") != F.col("two.at")), F.col("two.body")).otherwise(F.col("one.second"))
+        return rows.select("part", "segment", "anchor", F.col("one.body").alias("body"), other.alias("second"), "rank")
+
+    inner = cut.select(F.col("finer").alias("part"), F.col("cut").alias("segment"), F.col("segment").alias("of"), "at", "anchor", "body", "second", "rank")
+    hits = _searched(inner, narrower, by_words, length, k, block, together, widths[1:])
     hits = hits.select(F.col("part").alias("finer"), F.col("segment").alias("cut"), "least", "from", "to")
-    hits = _handed(cut.select("part", "segment", "at", "finer", "cut", "slice"), sliced, hits, ["finer", "cut"])
+    hits = cut.select("part", "segment", "at", "finer", "cut").join(hits, ["finer", "cut"])
     return few.unionByName(hits.select("part", "segment", "least", (F.col("at") + F.col("from")).alias("from"), (F.col("at") + F.col("to")).alias("to")))
 
 

@@ -1,10 +1,15 @@
 import random
+import re
+import time
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from concordia.llm import passages
 from concordia.llm.automaton import SuffixAutomaton
 from concordia.llm.bwt import intervals, merged, repeated, shards
+from concordia.llm.common import stored
 
 from . import brute
 
@@ -114,3 +119,39 @@ def test_what_is_kept_of_equal_windows_covers_them_all():
             cover = lambda x: {i for b in x for i in range(b, b + length)}
             assert cover(all_) == cover(some)
     assert len(passages._needed(np.zeros(10_000, np.uint64), np.arange(10_000), 200)) < 300
+
+
+def test_rows_of_a_crowded_anchor_are_few_before_they_are_dealt_out():
+    rng = np.random.default_rng(5)
+    group = np.append(np.zeros(50_000, np.uint64), rng.integers(1, 5_000, 10_000).astype(np.uint64))
+    columns = [rng.integers(-9, 9, len(group)), rng.integers(0, 2**63, len(group)).astype(np.uint64)]
+    use = passages._extremes(group, *columns)
+    assert (group[use] == 0).sum() <= 4
+    for g in np.unique(group):
+        for c in columns:
+            every, left = c[group == g], c[use][group[use] == g]
+            assert (every.min(), every.max(), len(every) > 1) == (left.min(), left.max(), len(left) > 1)
+    assert not len(passages._extremes(group[:0], *(c[:0] for c in columns)))
+
+
+def test_bodies_are_dealt_out_once(spark):
+    # before, they went through joins with the anchors and with the crowded ones, and were dealt out by segment and then by anchor
+    docs = spark.createDataFrame(brute.documents(4), brute.SCHEMA).selectExpr("xxhash64(doc_id, text) key", "hash(doc_id, text) + 0L rank", "coalesce(text, '') text")
+    plan = passages.find(docs, True, 13, 5)._jdf.queryExecution().executedPlan().toString()
+    assert [x.strip() for x in re.findall(r"Exchange hashpartitioning\(([a-z, ]+)", re.sub(r"#[0-9]+L?", "", plan))].count("part,") == 1 and len(re.findall("Join", plan)) == 1
+
+
+def test_shuffles_of_a_stored_table_are_deleted(spark):
+    # before, they stayed until the driver collected its garbage
+    def files():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f.getName() for f in (blocks.apply(i) for i in range(blocks.size())) if f.getName().startswith("shuffle_")}
+
+    before = files()
+    kept = stored(spark.range(1000, numPartitions=3).groupBy(F.col("id") % 7).count())
+    for _ in range(50):
+        if not (files() - before):
+            break
+        time.sleep(0.1)
+    assert not (files() - before)
+    assert kept.count() == 7

@@ -65,6 +65,15 @@ def test_fines(spark):
     assert adjudicate.verify(adjudicate.evidence(cases.filter("false"), official, thefts, policies)).count() == 0
 
 
+def test_fines_try_all_variants_of_a_read(spark):
+    """The registered plate is the last of 16 versions of its read."""
+    cases = spark.createDataFrame([(1, "DL00AB001O", "Kia", "Red", dt.datetime(2026, 1, 5), 28.6, 77.2)], "case_id int, read string, observed_make string, observed_colour string, at timestamp_ntz, lat double, lon double")
+    official = spark.createDataFrame([("DL00AB0010", "Kia", "Red", "ACTIVE")], "key string, vehicle_make string, vehicle_colour string, registration_status string")
+    none = spark.createDataFrame([], "key string, stolen_status string, last_incident_date date, insurance_start date, insurance_expiry date")
+    got = adjudicate.verify(adjudicate.evidence(cases, official, none, none)).first()
+    assert (got.resolved, got.verdict, got.amount_inr) == ("DL00AB0010", "ISSUE", 2000)
+
+
 def test_prevented(spark):
     df = spark.createDataFrame([(s,) for s in ("ISSUED", "REJECTED", "CANCELLED", "REJECTED", "HOLD")], "status string")
     assert {r.status: r.n for r in adjudicate.prevented(df).collect()}["PREVENTED"] == 3

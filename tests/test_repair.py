@@ -1,5 +1,9 @@
 """Record repair on a fixture whose result is known, matcher included."""
 
+import datetime as dt
+import shutil
+
+import pytest
 from pyspark.sql import functions as F
 
 from concordia.operators import repair
@@ -69,3 +73,22 @@ def test_rows_of_one_id_are_changed_alike(spark):
     got = repair.dispositions(done, ruled).filter("record_id = 3 and code = 'TIMESTAMP_UNPARSEABLE'").collect()
     rows = done.proposals.filter((F.col("round") == done.rounds + 1) & (F.col("record_id") == 3) & (F.col("field") == "last_seen_time")).count()
     assert len(got) == rows * left.filter("code = 'TIMESTAMP_UNPARSEABLE'").count() and {r.disposition for r in got} <= {"resolved"}
+
+
+@pytest.mark.parametrize("query", ["record_repair"])
+def test_repairs_are_made_once(spark, tmp_path, query):
+    """Two captures of one car at one place and second, whose times have two forms, are only copies once the times are put right: what is left, not a second repair."""
+    import duckdb
+
+    from concordia.plans import casework
+
+    at = dt.datetime(2024, 1, 5, 10)
+    events = [(18, at, 5, "view", 90.0), (25, at, 5, "view", 90.0), (26, at, 6, "view", 90.0)]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    for t in ("customer", "nation", "region", "orders"):
+        shutil.copy(f"/root/testdata/sf0.001/{t}.parquet", tmp_path)
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    got = sorted(map(tuple, casework.QUERIES[query](spark, str(tmp_path)).collect()))
+    assert got and got == sorted(db.execute(casework.ORACLE_SQL[query]).fetchall())

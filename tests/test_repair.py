@@ -75,7 +75,7 @@ def test_rows_of_one_id_are_changed_alike(spark):
     assert len(got) == rows * left.filter("code = 'TIMESTAMP_UNPARSEABLE'").count() and {r.disposition for r in got} <= {"resolved"}
 
 
-@pytest.mark.parametrize("query", ["record_repair", "record_dispositions"])
+@pytest.mark.parametrize("query", ["record_repair", "record_dispositions", "suggestions"])
 def test_repairs_are_made_once(spark, tmp_path, query):
     """Two captures of one car at one place and second, whose times have two forms, are only copies once the times are put right: what is left, not a second repair."""
     import duckdb

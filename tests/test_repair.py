@@ -75,6 +75,19 @@ def test_rows_of_one_id_are_changed_alike(spark):
     assert len(got) == rows * left.filter("code = 'TIMESTAMP_UNPARSEABLE'").count() and {r.disposition for r in got} <= {"resolved"}
 
 
+def test_records_are_read_once(spark):
+    records, of = fixture(spark)
+    read = spark.sparkContext.accumulator(0)
+
+    def touch(v):
+        read.add(1)
+        return v
+
+    enriched = repair.enrich(records.withColumn("last_seen_time", F.udf(touch, "string").asNondeterministic()("last_seen_time")), of)
+    assert enriched.count() == len(enriched.collect()) == 10
+    assert read.value == 10
+
+
 @pytest.mark.parametrize("query", ["record_repair", "record_dispositions", "suggestions"])
 def test_repairs_are_made_once(spark, tmp_path, query):
     """Two captures of one car at one place and second, whose times have two forms, are only copies once the times are put right: what is left, not a second repair."""

@@ -79,3 +79,19 @@ def test_what_a_form_keeps_from_the_parsers_they_refuse(spark):
         plain = [r[0] for r in df.select(F.try_to_timestamp(F.trim(c), F.lit(form)).cast("timestamp_ntz")).collect()]
         assert all(g.format for g, p in zip(got, plain) if p) and all(g.moment == p for g, p in zip(got, plain) if g.format == name)
     assert df.select(T.parse_ddmmyyyy(F.lit("2000-01-02 03:04:05").cast("timestamp")).cast("string")).first()[0] == "2000-01-02"
+
+
+def test_measures_of_many_pairs_together(monkeypatch):
+    """Exactly those of each pair by itself, which they don't fall back to."""
+    import random
+
+    r = random.Random(3)
+    for m, n in ((1, 1), (1, 9), (10, 10), (10, 9), (4, 12)):
+        xs, ys = (["".join(r.choice("01OIDB8é𝄞") for _ in range(k)) for _ in range(60)] for k in (m, n))
+        ys[:5] = xs[:5] if m == n else ys[:5]
+        want = [S.weighted_distance(x, y, S.confusion_cost) for x, y in zip(xs, ys)], [S._jaro(x, y) for x, y in zip(xs, ys)]
+        with monkeypatch.context() as only:
+            only.setattr(S, "weighted_distance", None)
+            only.setattr(S, "_jaro", None)
+            assert (S.weighted_distances(xs, ys, S.confusion_cost).tolist(), S.jaros(xs, ys).tolist()) == want
+    assert S.jaros(["AB"], ["BA"]).tolist() == [S._jaro("AB", "BA")]
